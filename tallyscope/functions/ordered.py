@@ -1,13 +1,15 @@
-"""Exact ordered statistics that never put a whole group into one task.
+"""Exact ordered statistics that never put a large group into one task.
 
 A plain ``sum() over (partition by key order by v)`` sends every row of a key
-to one task.  Here a large key is cut into value ranges first, the ranges are
-summed on their own, and the (few) range totals carry the offsets:
-
-* the cut points are the values whose hash falls into a sparse class, so they
-  are the same on every recomputation, whatever executor is lost;
-* keys at or below ``split_rows`` distinct values are not cut, and the two joins
-  that serve cut keys have an empty side then, which adaptive execution removes.
+to one task, which is right for small inputs and fatal when a third of a huge
+table shares one key.  The input is therefore sized before the plan is chosen:
+
+* up to ``SMALL_INPUT`` bytes behind the frame: one plain window;
+* beyond it (or on request) a large key is cut into value ranges, the ranges are
+  summed on their own, and the few range totals carry the offsets.  The frame is
+  checkpointed first, because it is read several times, and the cut points are
+  the values whose hash falls into a sparse class, so no sort or collect of the
+  key is needed to find them.
 """
 
 from __future__ import annotations
@@ -17,10 +19,18 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyscope.functions.session import checkpointed, input_bytes
+
+SMALL_INPUT = 256 << 20
 SPLIT_ROWS = 500_000
 RANGES = 256
 
 
+def is_small(df: DataFrame, split_rows: int | None) -> bool:
+    """Plain windows are safe: nothing was forced and little data is behind the frame."""
+    return split_rows is None and input_bytes(df) <= SMALL_INPUT
+
+
 def compress(df: DataFrame, by: Sequence[str], value: str, weights: Mapping[str, object] | None = None) -> DataFrame:
     """One row per (by, value) with summed weights (default: a row count ``n``)."""
     weights = weights or {"n": F.count(F.lit(1))}
@@ -30,7 +40,7 @@ def compress(df: DataFrame, by: Sequence[str], value: str, weights: Mapping[str,
 
 
 def running_totals(
-    df: DataFrame, by: Sequence[str], order: str, sums: Sequence[str], split_rows: int = SPLIT_ROWS
+    df: DataFrame, by: Sequence[str], order: str, sums: Sequence[str], split_rows: int | None = None
 ) -> DataFrame:
     """Add ``cum_<s>``, ``total_<s>`` for each ``s`` and ``next_<order>``.
 
@@ -41,6 +51,16 @@ def running_totals(
     added = not by
     if added:
         df, by = df.withColumn("_k", F.lit(0)), ["_k"]
+    if is_small(df, split_rows):
+        whole = Window.partitionBy(*by)
+        ordered = whole.orderBy(order)
+        upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        out = df.select(
+            "*", *[F.sum(s).over(upto).alias(f"cum_{s}") for s in sums], *[F.sum(s).over(whole).alias(f"total_{s}") for s in sums],
+            F.lead(order).over(ordered).alias(f"next_{order}"),
+        )
+        return out.drop("_k") if added else out
+    df, split_rows = checkpointed(df), split_rows or SPLIT_ROWS
     large = (
         df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > split_rows)
         .select(*by, F.greatest(F.floor(F.col("_n") / RANGES), F.lit(1)).cast("long").alias("_stride"))
@@ -88,13 +108,18 @@ def running_totals(
 
 def exact_quantiles(
     df: DataFrame, by: Sequence[str], value: str, probs: Mapping[str, float],
-    weight: str | None = None, split_rows: int = SPLIT_ROWS,
+    weight: str | None = None, split_rows: int | None = None,
 ) -> DataFrame:
     """Linear-interpolated quantiles (the numpy default), exact at any group size.
 
     ``weight`` is an optional integer multiplicity of the row.  Groups without
     a non-NULL value do not appear.
     """
+    if is_small(df, split_rows):
+        args = [F.col(weight)] if weight else []
+        rows = df.where(F.col(value).isNotNull())
+        g = rows.groupBy(*by).agg(*[F.percentile(value, F.lit(float(p)), *args).alias(name) for name, p in probs.items()])
+        return g
     c = compress(df, by, value, {"_w": F.sum(weight) if weight else F.count(F.lit(1))})
     t = running_totals(c, by, value, ["_w"], split_rows)
     first, last, total = F.col("cum__w") - F.col("_w"), F.col("cum__w"), F.col("total__w")
@@ -110,7 +135,7 @@ def exact_quantiles(
     return t.groupBy(*by).agg(*aggs) if by else t.agg(*aggs)
 
 
-def average_ranks(df: DataFrame, by: Sequence[str], value: str, split_rows: int = SPLIT_ROWS) -> DataFrame:
+def average_ranks(df: DataFrame, by: Sequence[str], value: str, split_rows: int | None = None) -> DataFrame:
     """Per distinct value: multiplicity ``n``, average rank ``avg_rank``, group size ``total_n``."""
     t = running_totals(compress(df, by, value), by, value, ["n"], split_rows)
     return t.select(
@@ -119,7 +144,7 @@ def average_ranks(df: DataFrame, by: Sequence[str], value: str, split_rows: int
     )
 
 
-def positions(df: DataFrame, by: Sequence[str], order: str, name: str = "pos", split_rows: int = SPLIT_ROWS) -> DataFrame:
+def positions(df: DataFrame, by: Sequence[str], order: str, name: str = "pos", split_rows: int | None = None) -> DataFrame:
     """0-based position by a unique ``order`` column, without a one-task sort."""
     t = running_totals(df.withColumn("_one", F.lit(1)), by, order, ["_one"], split_rows)
     return t.select(*df.columns, (F.col("cum__one") - 1).cast("long").alias(name))

@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", app: str = "tallyscope", memory: str = "8g") -> SparkSession:
@@ -36,3 +36,21 @@ def checkpoint_folder(spark: SparkSession) -> str:
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """The frame written once to the shared checkpoint folder, its lineage cut."""
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def input_bytes(df: DataFrame) -> float:
+    """Bytes of the sources behind a frame, from the planner's leaf statistics.
+
+    Unknown counts as infinite, so callers fall back to the plan for large data.
+    """
+    try:
+        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+        return float(sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())))
+    except Exception:  # noqa: BLE001  no such statistics in this session
+        return float("inf")

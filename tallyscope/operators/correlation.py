@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyscope.functions.exprs import attach, finite, pearson, pearson_from_sums
-from tallyscope.functions.ordered import SPLIT_ROWS, average_ranks, running_totals
+from tallyscope.functions.ordered import average_ranks, running_totals
 from tallyscope.operators.stats import class_means, n_obs
 
 
@@ -67,7 +67,7 @@ def _zero_block_ranks(counts: DataFrame, n: DataFrame, by: Sequence[str], split_
 
 
 def column_spearman(
-    a: DataFrame, b: DataFrame, obs: DataFrame, by: Sequence[str] = (), split_rows: int = SPLIT_ROWS
+    a: DataFrame, b: DataFrame, obs: DataFrame, by: Sequence[str] = (), split_rows: int | None = None
 ) -> DataFrame:
     """Per feature, average ranks; a value's rank is looked up, zeros share one.
 
@@ -88,7 +88,7 @@ def column_spearman(
     return column_pearson(*shifted, obs, by).withColumnRenamed("pearson", "spearman")
 
 
-def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = (), name: str = "spearman", split_rows: int = SPLIT_ROWS) -> DataFrame:
+def spearman(df: DataFrame, x: str, y: str, by: Sequence[str] = (), name: str = "spearman", split_rows: int | None = None) -> DataFrame:
     """Rank correlation of two columns over rows where both are finite."""
     rows = df.select(*by, finite(x).alias("_x"), finite(y).alias("_y")).where(
         F.col("_x").isNotNull() & F.col("_y").isNotNull()

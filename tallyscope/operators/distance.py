@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyscope.functions.exprs import attach, plogp
-from tallyscope.functions.ordered import SPLIT_ROWS, exact_quantiles, running_totals
+from tallyscope.functions.ordered import exact_quantiles, running_totals
 from tallyscope.operators.correlation import paired_cells
 from tallyscope.operators.stats import class_means, label_sizes, n_obs
 from tallyscope.operators.transform import explode_vector
@@ -30,7 +30,7 @@ def _cdf_gap(samples: DataFrame, by: Sequence[str], split_rows: int) -> DataFram
     return t.withColumn("gap", F.abs(fa - fb))
 
 
-def wasserstein_from_samples(samples: DataFrame, by: Sequence[str] = (), name: str = "wasserstein", split_rows: int = SPLIT_ROWS) -> DataFrame:
+def wasserstein_from_samples(samples: DataFrame, by: Sequence[str] = (), name: str = "wasserstein", split_rows: int | None = None) -> DataFrame:
     """W1 = Σ |F − G| · (next value − value); needs both samples, else NULL."""
     g = _cdf_gap(samples, by, split_rows)
     step = F.col("gap") * F.coalesce(F.col("next_v") - F.col("v"), F.lit(0.0))
@@ -38,11 +38,11 @@ def wasserstein_from_samples(samples: DataFrame, by: Sequence[str] = (), name: s
     return g.groupBy(*by).agg(agg)
 
 
-def wasserstein(a: DataFrame, b: DataFrame, value: str, by: Sequence[str] = (), name: str = "wasserstein", split_rows: int = SPLIT_ROWS) -> DataFrame:
+def wasserstein(a: DataFrame, b: DataFrame, value: str, by: Sequence[str] = (), name: str = "wasserstein", split_rows: int | None = None) -> DataFrame:
     return wasserstein_from_samples(two_sample(a, b, by, value), by, name, split_rows)
 
 
-def ks_stat(a: DataFrame, b: DataFrame, value: str, by: Sequence[str] = (), name: str = "ks", split_rows: int = SPLIT_ROWS) -> DataFrame:
+def ks_stat(a: DataFrame, b: DataFrame, value: str, by: Sequence[str] = (), name: str = "ks", split_rows: int | None = None) -> DataFrame:
     """Two-sample Kolmogorov–Smirnov statistic."""
     g = _cdf_gap(two_sample(a, b, by, value), by, split_rows)
     return g.groupBy(*by).agg(F.max("gap").alias(name))
@@ -55,7 +55,7 @@ def _labelled(counts: DataFrame, obs: DataFrame, by: Sequence[str], label: str)
 
 def expression_w1(
     a: DataFrame, a_obs: DataFrame, b: DataFrame, b_obs: DataFrame, by: Sequence[str] = (), label: str = "label",
-    split_rows: int = SPLIT_ROWS,
+    split_rows: int | None = None,
 ) -> DataFrame:
     """W1 per (label, feature) between two sparse tables, absent cells as zeros.
 
@@ -85,7 +85,7 @@ def label_shares(obs: DataFrame, by: Sequence[str] = (), label: str = "label", n
 
 def conditional_expression_w1(
     target: DataFrame, target_obs: DataFrame, cand: DataFrame, cand_obs: DataFrame, features: DataFrame,
-    by: Sequence[str] = (), label: str = "label", split_rows: int = SPLIT_ROWS,
+    by: Sequence[str] = (), label: str = "label", split_rows: int | None = None,
 ) -> DataFrame:
     """Median over the panel of the share-weighted per-label W1.
 

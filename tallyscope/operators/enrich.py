@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyscope.functions.exprs import attach, finite, ratio
-from tallyscope.functions.ordered import SPLIT_ROWS, exact_quantiles, positions, running_totals
+from tallyscope.functions.ordered import exact_quantiles, positions, running_totals
 from tallyscope.operators.correlation import spearman
 from tallyscope.operators.stats import label_sizes, n_obs
 
@@ -32,7 +32,7 @@ def gene_set_coverage(sets: DataFrame, universe: DataFrame, minimum: int = 15, m
     })
 
 
-def rank_features(values: DataFrame, obs: DataFrame, by: Sequence[str] = (), label: str = "label", split_rows: int = SPLIT_ROWS) -> DataFrame:
+def rank_features(values: DataFrame, obs: DataFrame, by: Sequence[str] = (), label: str = "label", split_rows: int | None = None) -> DataFrame:
     """Signed, tie-corrected Wilcoxon rank-sum z of each label against the rest.
 
     Average ranks come from (value, count) pairs with the absent cells as one
