@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("quality", "statistics", "comparison", "joining")
+MODULES = ("quality", "statistics", "comparison", "joining", "spatial")
 
 
 def load():

@@ -163,7 +163,7 @@ def permutation_null(ranking: DataFrame, sizes: DataFrame, by: Sequence[str], pe
     schema = T.StructType([*fields.fields, T.StructField("n_hits", T.LongType()), T.StructField("permutation", T.IntegerType()), T.StructField("null_es", T.DoubleType())])
     names, n_keys = schema.names, len(by)
 
-    def draw(key, genes: pd.DataFrame, want: pd.DataFrame) -> pd.DataFrame:
+    def draw(key: tuple, genes: pd.DataFrame, want: pd.DataFrame) -> pd.DataFrame:
         if not len(genes) or not len(want):
             return pd.DataFrame({n: [] for n in names})
         chunk = int(key[n_keys])

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyscope.functions.exprs import attach, finite, pearson, plogp
@@ -27,10 +27,12 @@ def _moran_parts(counts: DataFrame, edges: DataFrame, obs: DataFrame, by: Sequen
     cells = counts.where(F.col("value") != 0).select(
         *by, "obs_id", "feature_id", F.col("value").cast("double").alias("x")
     )
-    out_w = edges.groupBy(*by, F.col("src").alias("obs_id")).agg(F.sum("weight").alias("_out"))
-    in_w = edges.groupBy(*by, F.col("dst").alias("obs_id")).agg(F.sum("weight").alias("_in"))
+    ends = edges.select(*by, F.explode(F.array(
+        F.struct(F.col("src").alias("obs_id"), F.col("weight").alias("o"), F.lit(0.0).alias("i")),
+        F.struct(F.col("dst").alias("obs_id"), F.lit(0.0).alias("o"), F.col("weight").alias("i")),
+    )).alias("_e")).select(*by, "_e.*")
     o = [*by, "obs_id"]
-    strength = out_w.join(in_w, o, "full").fillna(0.0, ["_out", "_in"])
+    strength = ends.groupBy(*o).agg(F.sum("o").alias("_out"), F.sum("i").alias("_in"))
     own = cells.join(strength, o, "left").fillna(0.0, ["_out", "_in"]).groupBy(*keys).agg(
         F.sum("x").alias("sx"), F.sum(F.col("x") * F.col("x")).alias("sxx"),
         F.sum((F.col("_out") + F.col("_in")) * F.col("x")).alias("_lin"),
@@ -40,7 +42,7 @@ def _moran_parts(counts: DataFrame, edges: DataFrame, obs: DataFrame, by: Sequen
     # neighbour sums first: Σ_j w·xj per (src, feature), reduced before it meets xi
     lag = edges.join(dst, [*by, "dst"]).groupBy(*by, "src", "feature_id").agg(F.sum(F.col("weight") * F.col("xj")).alias("wx"))
     cross = src.join(lag, [*by, "src", "feature_id"]).groupBy(*keys).agg(F.sum(F.col("xi") * F.col("wx")).alias("_cross"))
-    total = edges.groupBy(*by).agg(F.sum("weight").alias("_w"))
+    total = strength.groupBy(*by).agg(F.sum("_out").alias("_w"))
     base = own.join(cross, keys, "left").fillna(0.0, ["_cross"])
     base = attach(attach(base, total, by), n_obs(obs, by), by)
     m = F.col("sx") / F.col("n_obs")
@@ -325,3 +327,109 @@ def select_resolution(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return scored.where(F.col("modularity").isNotNull()).groupBy(*by).agg(best.alias("_b")).select(
         *by, F.col("_b.r").alias("resolution"), (-F.col("_b.m")).alias("modularity")
     )
+
+
+def nn_transfer(edges: DataFrame, query: DataFrame, ref: DataFrame, identity: str, label: str = "label", by: Sequence[str] = (), id_col: str = "obs_id") -> DataFrame:
+    """Identity and label agreement with the nearest reference, and its mean distance."""
+    q = query.select(*by, F.col(id_col).alias("src"), F.col(identity).alias("_qi"), F.col(label).alias("_ql"))
+    r = ref.select(*by, F.col(id_col).alias("dst"), F.col(identity).alias("_ri"), F.col(label).alias("_rl"))
+    j = edges.where(F.col("rank") == 1).join(q, [*by, "src"]).join(r, [*by, "dst"])
+    return j.groupBy(*by).agg(
+        F.avg((F.col("_qi") == F.col("_ri")).cast("double")).alias("identity_accuracy"),
+        F.avg((F.col("_ql") == F.col("_rl")).cast("double")).alias("region_accuracy"), F.avg(F.sqrt("d2")).alias("mean_distance"),
+    )
+
+
+# --- centroid and rule classifiers -------------------------------------------
+
+
+def centroids(values: DataFrame, obs: DataFrame, by: Sequence[str] = (), label: str = "label") -> DataFrame:
+    """(by…, label, feature_id, c): label means of sparse features."""
+    from tallyscope.operators.stats import class_means
+
+    return class_means(values, obs, by, label).select(*by, label, "feature_id", F.col("mean").alias("c"))
+
+
+def centroid_similarities(values: DataFrame, cents: DataFrame, obs: DataFrame, by: Sequence[str] = (), label: str = "label") -> DataFrame:
+    """(by…, obs_id, label, score): cosine clipped to [0, 1]; an empty row scores 0 everywhere.
+
+    Labels are a declared few, so a row meets one centroid vector per label.
+    """
+    o = [*by, "obs_id"]
+    norm = values.groupBy(*o).agg(F.sqrt(F.sum(F.col("value").cast("double") * F.col("value"))).alias("_nv"))
+    cn = cents.groupBy(*by, label).agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("_nc"))
+    dot = values.join(cents, [*by, "feature_id"]).groupBy(*o, label).agg(F.sum(F.col("value") * F.col("c")).alias("_dot"))
+    names = cn.groupBy(*by).agg(F.collect_list(F.struct(F.col(label).alias("l"), F.col("_nc").alias("n"))).alias("_l"))
+    grid = attach(obs.select(*o).distinct(), names, by).withColumn("_e", F.explode("_l")).select(
+        *o, F.col("_e.l").alias(label), F.col("_e.n").alias("_nc")
+    )
+    j = grid.join(dot, [*o, label], "left").join(norm, o, "left")
+    s = F.col("_dot") / F.greatest("_nv", F.lit(1e-8)) / F.greatest("_nc", F.lit(1e-8))
+    return j.select(*o, label, F.coalesce(F.greatest(F.least(s, F.lit(1.0)), F.lit(0.0)), F.lit(0.0)).alias("score"))
+
+
+def best_label(scores: DataFrame, by: Sequence[str] = (), label: str = "label") -> DataFrame:
+    """Best label, its score and the lead over the second; ties in label order.
+
+    Scores equal to nine decimals are ties.
+    """
+    ranked = F.array_sort(F.collect_list(F.struct((-F.round("score", 9)).alias("o"), F.col(label).alias("l"), F.col("score").alias("s"))))
+    return scores.groupBy(*by, "obs_id").agg(ranked.alias("_r")).select(
+        *by, "obs_id", F.col("_r")[0]["l"].alias("best"), F.col("_r")[0]["s"].alias("best_score"),
+        (F.col("_r")[0]["s"] - F.try_element_at("_r", F.lit(2))["s"]).alias("confidence"),
+    )
+
+
+def centroid_classify(values: DataFrame, cents: DataFrame, obs: DataFrame, other_threshold: float | None = None, by: Sequence[str] = (), label: str = "label") -> DataFrame:
+    b = best_label(centroid_similarities(values, cents, obs, by, label), by, label)
+    name = F.col("best").cast("string")
+    if other_threshold is not None:
+        name = F.when(F.col("best_score") < other_threshold, F.lit("Other")).otherwise(name)
+    return b.select(*by, "obs_id", name.alias("predicted"), "best_score", "confidence")
+
+
+def rule_max(*markers: Column) -> Column:
+    return F.greatest(*markers)
+
+
+def rule_product(a: Column, b: Column) -> Column:
+    return F.sqrt(F.greatest(a, F.lit(0.0)) * F.greatest(b, F.lit(0.0)))
+
+
+def rule_difference(a: Column, b: Column, share: float) -> Column:
+    return F.greatest(a - F.lit(share) * b, F.lit(0.0))
+
+
+def rule_scores(wide: DataFrame, rules: Mapping[str, Column], keys: Sequence[str]) -> DataFrame:
+    """Named marker rules of a wide marker table as (keys, region, score)."""
+    return wide.select(*keys, *[c.alias(n) for n, c in rules.items()]).unpivot(list(keys), list(rules), "region", "score")
+
+
+def tune_grid(cells: DataFrame, params: Sequence[str], fold: str, label: str = "label") -> DataFrame:
+    """Best parameter row by leave-one-fold-out centroid classification.
+
+    ``cells`` is (params…, fold, obs_id, label, feature_id, value), dense or
+    sparse.  Grid points and folds are key columns of one job: the training
+    sums of a fold are the sums of all folds minus its own.
+    """
+    from tallyscope.operators.scores import classification_summary
+
+    g, f = [*params, label, "feature_id"], [*params, fold]
+    own = cells.groupBy(*g, fold).agg(F.sum("value").alias("_s"))
+    size = cells.select(*params, fold, "obs_id", label).distinct().groupBy(*params, label, fold).agg(F.count(F.lit(1)).alias("_n"))
+    folds = cells.select(*f).distinct()
+    total = own.groupBy(*g).agg(F.sum("_s").alias("_ts"))
+    n_total = size.groupBy(*params, label).agg(F.sum("_n").alias("_tn"))
+    rest = (
+        total.join(n_total, [*params, label]).join(folds, list(params))
+        .join(own, [*g, fold], "left").join(size, [*params, label, fold], "left").fillna(0, ["_s", "_n"])
+        .where(F.col("_tn") > F.col("_n"))
+        .select(*f, label, "feature_id", ((F.col("_ts") - F.col("_s")) / (F.col("_tn") - F.col("_n"))).alias("c"))
+    )
+    obs = cells.select(*f, "obs_id", F.col(label).alias("_truth")).distinct()
+    scores = centroid_similarities(cells.select(*f, "obs_id", "feature_id", "value"), rest, obs, f, label)
+    pred = best_label(scores, f, label).join(obs, [*f, "obs_id"])
+    s = classification_summary(pred, "_truth", "best", cells.select(label), params, label)
+    return s.where(F.col("macro_f1").isNotNull()).orderBy(
+        F.round("macro_f1", 9).desc(), F.round("accuracy", 9).desc(), F.col("n").desc(), *params
+    ).limit(1)

@@ -30,10 +30,12 @@ from pyspark.sql import types as T
 
 from tallyscope.functions.exprs import attach, squared_distance
 from tallyscope.functions.ordered import exact_quantiles
+from tallyscope.functions.session import input_bytes
 
 FINEST = 30
 CROWDED = 16
 BLOCK_ROWS = 4096
+SMALL_POINTS = 2 << 20
 
 
 def _cell_columns(dims: Sequence[str]) -> list[str]:
@@ -55,13 +57,27 @@ def _at_level(df: DataFrame, dims: Sequence[str], level) -> DataFrame:
 
 def nearest(
     query: DataFrame, ref: DataFrame, k: int, dims: Sequence[str] = ("x", "y"), by: Sequence[str] = (),
-    id_col: str = "obs_id", same: bool = False,
+    id_col: str = "obs_id", same: bool = False, small: bool | None = None,
 ) -> DataFrame:
     """(by…, src, dst, rank, d2): the k nearest ``ref`` rows of every query row.
 
     Order is squared distance, then id.  With ``same`` the two tables are one
-    and a row is not its own neighbour.
+    and a row is not its own neighbour.  Little data is searched block against
+    block in a few tasks, anything else through the grid; both are exact.
     """
+    if small is None:
+        small = max(input_bytes(query), input_bytes(ref)) <= SMALL_POINTS
+    if not small:
+        return grid_nearest(query, ref, k, dims, by, id_col, same)
+    query = query.withColumn("_xy", F.array(*dims))
+    return knn_vectors(query, None if same else ref.withColumn("_xy", F.array(*dims)), k, by, id_col, "_xy")
+
+
+def grid_nearest(
+    query: DataFrame, ref: DataFrame, k: int, dims: Sequence[str] = ("x", "y"), by: Sequence[str] = (),
+    id_col: str = "obs_id", same: bool = False,
+) -> DataFrame:
+    """``nearest`` through levels of grid cells, see the head of this module."""
     need = k + 1 if same else k
     keys, added = list(by), not by
     if added:
@@ -170,8 +186,9 @@ def knn_transfer(query: DataFrame, ref: DataFrame, k: int = 1, dims: Sequence[st
 
 def _in_blocks(df: DataFrame, keys: Sequence[str], id_col: str, vec: str, extra: Sequence[str], block_rows: int, side: str):
     sizes = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(f"_n{side}"))
+    # fresh aliases: both sides may stem from one frame
     rows = df.select(
-        *keys, F.col(id_col).alias("id"), F.transform(vec, lambda v: v.cast("double")).alias("vec"), *extra
+        *[F.col(k).alias(k) for k in keys], F.col(id_col).alias("id"), F.transform(vec, lambda v: v.cast("double")).alias("vec"), *[F.col(c).alias(c) for c in extra]
     ).join(sizes, keys)
     block = F.pmod(F.xxhash64("id"), F.col(f"_n{side}")).cast("int")
     return rows.withColumn(f"_b{side}", block).drop(f"_n{side}"), sizes
@@ -198,7 +215,7 @@ def blocked(
     key_fields = T.StructType([f for f in lrows.schema.fields if f.name in by])
     n_keys = len(key_fields)
 
-    def reduce_pair(key, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+    def reduce_pair(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
             return pd.DataFrame({f: [] for f in names})
         out = fn(a, b)
@@ -364,7 +381,7 @@ def mmd2_rbf(df: DataFrame, batch: str, first, second, by: Sequence[str] = (), i
     fields = T.StructType([f for f in s.schema.fields if f.name in by])
     schema = T.StructType([*fields.fields, T.StructField("mmd2", T.DoubleType()), T.StructField("bandwidth", T.DoubleType())])
 
-    def score(key, pdf: pd.DataFrame) -> pd.DataFrame:
+    def score(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         d2 = np.concatenate([d for _, d in distance_chunks(pdf, pdf)])
         d = np.sqrt(d2)
         positive = d[d > 0]
