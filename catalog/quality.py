@@ -150,7 +150,7 @@ CROP = {"plate": "SELECT min(x) AS x0, max(x) AS x1, min(y) AS y0, max(y) AS y1
     "SELECT count(*) FILTER (WHERE inside) AS n_kept, count(*) FILTER (WHERE NOT inside) AS n_dropped, count(*) FILTER (WHERE inside) / CAST(count(*) AS DOUBLE) AS kept_fraction FROM (SELECT x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1 AS inside FROM rot CROSS JOIN plate)",
     "kept_fraction", extra=CROP))
 def _(t: Tables):
-    from tallyscope.operators.scores import rotate_points
+    from tallyscope.operators.alignment import rotate_points
 
     p = t.points().select("obs_id", "x", "y", "label")
     rotated = rotate_points(p, 20.0).select("obs_id", F.col("rx").alias("x"), F.col("ry").alias("y"))

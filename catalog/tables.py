@@ -139,13 +139,14 @@ def sql(body: str, d: str = "", i: str = "", extra: dict[str, str] | None = None
     """Prefix the roles that ``body`` uses; ``d`` / ``i`` name double and integer columns."""
     known = {**CTES, **(extra or {})}
     order: list[str] = []
+    open_: set[str] = set()
 
     def visit(text: str) -> None:
         for name in _NAME.findall(text):
-            if name in known and name not in order:
-                visit(known[name].replace(name, " ") if name in known[name] else known[name])
-                if name not in order:
-                    order.append(name)
+            if name in known and name not in open_:
+                open_.add(name)
+                visit(known[name])
+                order.append(name)
 
     visit(body)
     with_ = "WITH " + ",\n".join(f"{n} AS ({known[n]})" for n in order) + "\n" if order else ""

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyscope.functions.exprs import attach, finite, pearson, plogp
-from tallyscope.functions.session import checkpoint_folder
+from tallyscope.functions.session import checkpoint_folder, checkpointed
 from tallyscope.operators.stats import label_sizes, n_obs
 
 
@@ -414,6 +414,7 @@ def tune_grid(cells: DataFrame, params: Sequence[str], fold: str, label: str = "
     """
     from tallyscope.operators.scores import classification_summary
 
+    cells = checkpointed(cells)  # read six times below
     g, f = [*params, label, "feature_id"], [*params, fold]
     own = cells.groupBy(*g, fold).agg(F.sum("value").alias("_s"))
     size = cells.select(*params, fold, "obs_id", label).distinct().groupBy(*params, label, fold).agg(F.count(F.lit(1)).alias("_n"))

@@ -273,6 +273,23 @@ def knn_vectors(
     return part.withColumn("rank", rank).where(F.col("rank") <= k).select(*by, "src", "dst", "rank", "d2")
 
 
+def within_radius(
+    query: DataFrame, ref: DataFrame, radius: float, by: Sequence[str] = (), id_col: str = "obs_id", vec: str = "vec",
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """(by…, src, dst, d2) of all pairs closer than ``radius``: the support of a coupling."""
+
+    def close(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        ids, others, out = a["id"].to_numpy(), b["id"].to_numpy(), []
+        for part, d2 in distance_chunks(a, b):
+            i, j = np.nonzero(np.sqrt(d2) < radius)
+            out.append(pd.DataFrame({"src": ids[part][i], "dst": others[j], "d2": d2[i, j]}))
+        return pd.concat(out)
+
+    schema = f"src {_id_type(query, id_col)}, dst {_id_type(ref, id_col)}, d2 double"
+    return blocked(query, ref, close, schema, by, id_col, vec, block_rows=block_rows).select(*by, "src", "dst", "d2")
+
+
 def distance_sums(df: DataFrame, label: str, by: Sequence[str] = (), id_col: str = "obs_id", vec: str = "vec", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Σ distance and row count from every row to every label (self included, distance 0)."""
 

@@ -98,9 +98,8 @@ def select_panel(counts: DataFrame, obs: DataFrame, n_top: int, span: float = 0.
     cells = grid.groupBy("_b").agg(
         F.count(F.lit(1)).alias("w"), F.avg("x").alias("x"), F.avg("y").alias("y"), F.max("_all").alias("_all")
     )
-    knots = cells.select(F.col("_b").alias("_kb"), F.col("x").alias("kx"))
-    gap = F.abs(F.col("x") - F.col("kx"))
-    near = cells.join(knots, F.lit(True)).withColumn("gap", gap)
+    knots = cells.agg(F.collect_list(F.struct(F.col("_b").alias("_kb"), F.col("x").alias("kx"))).alias("_knots"))
+    near = attach(cells, knots, ()).select(*cells.columns, F.inline("_knots")).withColumn("gap", F.abs(F.col("x") - F.col("kx")))
     # bandwidth: the gap at which the span of features is covered
     order = Window.partitionBy("_kb").orderBy("gap", "_b")
     near = near.withColumn("_cum", F.sum("w").over(order))
