@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES = ("quality", "statistics", "comparison", "joining", "spatial", "scoring", "ordering")
+MODULES = ("files", "quality", "statistics", "comparison", "joining", "spatial", "scoring", "ordering", "sampling", "auditing", "composites")
 
 
 def load():

@@ -97,7 +97,7 @@ class Tables:
         w = j.groupBy("method", F.col("l_linenumber").alias("sample")).agg(
             F.avg("l_quantity").alias("quantity"), F.avg("l_discount").alias("discount"), F.avg("l_tax").alias("tax")
         )
-        return w.select("method", "sample", F.round("quantity", 6).alias("quantity"), F.round("discount", 9).alias("discount"), F.round("tax", 9).alias("tax"))
+        return w.select("method", "sample", F.round("quantity", 9).alias("quantity"), F.round("discount", 9).alias("discount"), F.round("tax", 9).alias("tax"))
 
 
 METRICS = ("quantity", "discount", "tax")
@@ -123,7 +123,7 @@ CTES = {
     "comp0": "SELECT spot, type, v / CAST(sum(v) OVER (PARTITION BY spot) AS DOUBLE) AS p FROM (SELECT o_custkey AS spot, o_orderpriority AS type, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) AS v FROM orders WHERE o_orderkey % 2 = 0 GROUP BY 1, 2)",
     "comp1": "SELECT spot, type, v / CAST(sum(v) OVER (PARTITION BY spot) AS DOUBLE) AS p FROM (SELECT o_custkey AS spot, o_orderpriority AS type, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS DOUBLE) AS v FROM orders WHERE o_orderkey % 2 = 1 GROUP BY 1, 2)",
     "axis_obs": "SELECT event_id AS obs_id, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS z, event_type AS label, user_id % 20 AS feature_id, CAST(round(value * 100) AS BIGINT) AS value FROM events",
-    "metric_wide": "SELECT label AS method, l_linenumber AS sample, round(avg(l_quantity), 6) AS quantity, round(avg(l_discount), 9) AS discount, round(avg(l_tax), 9) AS tax FROM lineitem JOIN obs ON obs_id = l_suppkey GROUP BY 1, 2",
+    "metric_wide": "SELECT label AS method, l_linenumber AS sample, round(avg(l_quantity), 9) AS quantity, round(avg(l_discount), 9) AS discount, round(avg(l_tax), 9) AS tax FROM lineitem JOIN obs ON obs_id = l_suppkey GROUP BY 1, 2",
     "metric_long": "SELECT method, sample, metric, value FROM metric_wide UNPIVOT (value FOR metric IN (quantity, discount, tax))",
     # brute-force neighbours of the 2-D points and of the vectors
     "knn6": "SELECT src, dst, rank, d2 FROM (SELECT a.obs_id AS src, b.obs_id AS dst, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2, row_number() OVER (PARTITION BY a.obs_id ORDER BY (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y), b.obs_id) AS rank FROM points a JOIN points b ON a.obs_id <> b.obs_id) WHERE rank <= 6",

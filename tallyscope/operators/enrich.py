@@ -43,16 +43,16 @@ def rank_features(values: DataFrame, obs: DataFrame, by: Sequence[str] = (), lab
     sizes = label_sizes(obs, by, label)
     ok = F.when(F.col("n_obs") >= 2, F.lit(True)).otherwise(F.raise_error("label with fewer than two rows").cast("boolean"))
     sizes = sizes.where(ok).withColumnRenamed("n_obs", "n_label")
-    total = n_obs(obs, by, "N")
+    total = n_obs(obs, by, "n_all")
     stored = values.where(F.col("value") != 0).join(obs.select(*by, "obs_id", label), [*by, "obs_id"])
     cells = stored.groupBy(*f, label, "value").agg(F.count(F.lit(1)).alias("n"))
     per_value = cells.groupBy(*f, "value").agg(F.sum("n").alias("n"))
     t = attach(running_totals(per_value, f, "value", ["n"], split_rows), total, by)
-    zeros = F.col("N") - F.col("total_n")
+    zeros = F.col("n_all") - F.col("total_n")
     # negative values rank below the zero block, positive ones above it
     above = F.when(F.col("value") > 0, zeros).otherwise(0)
     ranked = t.select(
-        *f, "value", "n", "total_n", "N",
+        *f, "value", "n", "total_n", "n_all",
         (above + F.col("cum_n") - F.col("n") + (F.col("n") + 1) / F.lit(2.0)).alias("rank"),
     )
 
@@ -61,20 +61,20 @@ def rank_features(values: DataFrame, obs: DataFrame, by: Sequence[str] = (), lab
         return x * x * x - x
 
     per_feature = ranked.groupBy(*f).agg(
-        F.sum(cubes(F.col("n"))).alias("_ties"), F.max("total_n").alias("_nz"), F.max("N").alias("N"),
+        F.sum(cubes(F.col("n"))).alias("_ties"), F.max("total_n").alias("_nz"), F.max("n_all").alias("n_all"),
         F.coalesce(F.sum(F.when(F.col("value") < 0, F.col("n"))), F.lit(0)).alias("_neg"),
-    ).withColumn("_ties", F.col("_ties") + cubes(F.col("N") - F.col("_nz")))
+    ).withColumn("_ties", F.col("_ties") + cubes(F.col("n_all") - F.col("_nz")))
     sums = cells.join(ranked.select(*f, "value", "rank"), [*f, "value"]).groupBy(*f, label).agg(
         F.sum(F.col("n") * F.col("rank")).alias("_r"), F.sum("n").alias("_c")
     )
     names = sizes.groupBy(*by).agg(F.collect_list(F.struct(F.col(label).alias("l"), F.col("n_label").alias("n"))).alias("_l"))
     grid = attach(per_feature, names, by).withColumn("_e", F.explode("_l")).select(
-        *f, "_ties", "_nz", "N", "_neg", F.col("_e.l").alias(label), F.col("_e.n").alias("n_label")
+        *f, "_ties", "_nz", "n_all", "_neg", F.col("_e.l").alias(label), F.col("_e.n").alias("n_label")
     )
     j = grid.join(sums, [*f, label], "left").fillna(0.0, ["_r"]).fillna(0, ["_c"])
-    zero_rank = F.col("_neg") + (F.col("N") - F.col("_nz") + 1) / F.lit(2.0)
+    zero_rank = F.col("_neg") + (F.col("n_all") - F.col("_nz") + 1) / F.lit(2.0)
     w = F.col("_r") + (F.col("n_label") - F.col("_c")) * zero_rank
-    n1, n = F.col("n_label").cast("double"), F.col("N").cast("double")
+    n1, n = F.col("n_label").cast("double"), F.col("n_all").cast("double")
     correction = 1.0 - F.col("_ties") / (n * n * n - n)
     var = F.greatest(correction, F.lit(0.0)) * n1 * (n - n1) * (n + 1.0) / 12.0
     return j.select(
@@ -87,14 +87,14 @@ def log_fold_change(values: DataFrame, obs: DataFrame, by: Sequence[str] = (), l
     f = [*by, "feature_id"]
     s = values.join(obs.select(*by, "obs_id", label), [*by, "obs_id"]).groupBy(*f, label).agg(F.sum("value").alias("_s"))
     whole = s.groupBy(*f).agg(F.sum("_s").alias("_all"))
-    sizes, total = label_sizes(obs, by, label), n_obs(obs, by, "N")
+    sizes, total = label_sizes(obs, by, label), n_obs(obs, by, "n_all")
     names = sizes.groupBy(*by).agg(F.collect_list(F.struct(F.col(label).alias("l"), F.col("n_obs").alias("n"))).alias("_l"))
     grid = attach(whole, names, by).withColumn("_e", F.explode("_l")).select(
         *f, "_all", F.col("_e.l").alias(label), F.col("_e.n").alias("_n")
     )
     j = attach(grid.join(s, [*f, label], "left").fillna(0.0, ["_s"]), total, by)
-    here, rest = F.col("_s") / F.col("_n"), (F.col("_all") - F.col("_s")) / (F.col("N") - F.col("_n"))
-    return j.where(F.col("N") > F.col("_n")).select(
+    here, rest = F.col("_s") / F.col("_n"), (F.col("_all") - F.col("_s")) / (F.col("n_all") - F.col("_n"))
+    return j.where(F.col("n_all") > F.col("_n")).select(
         *f, label, F.log2((F.expm1(here) + 1e-9) / (F.expm1(F.greatest(rest, F.lit(0.0))) + 1e-9)).alias("log2_fold_change")
     )
 
@@ -156,8 +156,10 @@ def permutation_null(ranking: DataFrame, sizes: DataFrame, by: Sequence[str], pe
     The permutations of one ranking are spread over ``chunks`` tasks, each
     seeing the scores of one panel; ``sizes`` is (by…, n_hits).
     """
-    ordered = order_ranking(ranking, by).select(*by, "score", "pos").withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    wanted = sizes.select(*by, "n_hits").distinct().withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    # fresh aliases: both sides may stem from one frame
+    own = [F.col(c).alias(c) for c in by]
+    ordered = order_ranking(ranking, by).select(*own, "score", "pos").withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
+    wanted = sizes.select(*own, F.col("n_hits").alias("n_hits")).distinct().withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
     keys = [*by, "_chunk"]
     fields = T.StructType([f for f in ordered.schema.fields if f.name in by])
     schema = T.StructType([*fields.fields, T.StructField("n_hits", T.LongType()), T.StructField("permutation", T.IntegerType()), T.StructField("null_es", T.DoubleType())])
