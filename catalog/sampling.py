@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.registry import query
 from catalog.tables import METRICS, Tables, sql
+from tallyscope.functions.session import checkpointed
 from tallyscope.operators import enrich, resample, stats, topk, transform
 
 DRAWS = {
@@ -155,7 +156,7 @@ def _(t: Tables):
 
 def _significance(t: Tables, permutations: int = 200):
     r = _ranking(t)
-    e = enrich.enrichment_scores(r, _sets(t), ["label"])
+    e = checkpointed(enrich.enrichment_scores(r, _sets(t), ["label"]))
     null = enrich.permutation_null(r, e.select("label", "n_hits"), ["label"], permutations)
     return enrich.enrichment_significance(e.select("label", "term", "n_hits", "es"), null, ["label"])
 

@@ -39,9 +39,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """The frame written once to the shared checkpoint folder, its lineage cut."""
-    checkpoint_folder(df.sparkSession)
-    return df.checkpoint()
+    """The frame written once as a table in the shared folder and read back.
+
+    That cuts the lineage, survives lost executors, runs the plan once
+    (``Dataset.checkpoint`` runs its last stage twice) and tells the planner the
+    true size.  The files stay in the checkpoint folder until it is cleared.
+    """
+    path = scratch_path(df.sparkSession, "frame")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def input_bytes(df: DataFrame) -> float:

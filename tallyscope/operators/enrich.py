@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from tallyscope.functions.exprs import attach, finite, ratio
 from tallyscope.functions.ordered import exact_quantiles, positions, running_totals
+from tallyscope.functions.session import checkpointed
 from tallyscope.operators.correlation import spearman
 from tallyscope.operators.stats import label_sizes, n_obs
 
@@ -170,20 +171,22 @@ def permutation_null(ranking: DataFrame, sizes: DataFrame, by: Sequence[str], pe
             return pd.DataFrame({n: [] for n in names})
         chunk = int(key[n_keys])
         mine = np.arange(chunk, permutations, chunks)
+        if not len(mine):
+            return pd.DataFrame({n: [] for n in names})
         power = np.abs(genes.sort_values("pos")["score"].to_numpy()) ** weight
         n, out = len(power), []
         for m in sorted(int(v) for v in want["n_hits"]):
             if m >= n:
                 continue
-            for p in mine:
-                at = np.sort(np.random.default_rng([seed, m, int(p)]).choice(n, m, replace=False))
-                w = power[at]
-                total = w.sum()
-                cum = np.cumsum(w) / total if total > 0 else np.arange(1, m + 1) / m
-                before = np.concatenate([[0.0], cum[:-1]])
-                miss = (at - np.arange(m)) / (n - m)
-                up, down = (cum - miss).max(), (before - miss).min()
-                out.append((m, int(p), up if abs(up) >= abs(down) else down))
+            at = np.stack([np.sort(np.random.default_rng([seed, m, int(p)]).choice(n, m, replace=False)) for p in mine])
+            w = power[at]
+            total = w.sum(axis=1, keepdims=True)
+            cum = np.where(total > 0, np.cumsum(w, axis=1) / np.where(total > 0, total, 1.0), np.arange(1, m + 1) / m)
+            before = np.concatenate([np.zeros((len(mine), 1)), cum[:, :-1]], axis=1)
+            miss = (at - np.arange(m)) / (n - m)
+            up, down = (cum - miss).max(axis=1), (before - miss).min(axis=1)
+            best = np.where(np.abs(up) >= np.abs(down), up, down)
+            out.extend((m, int(p), float(b)) for p, b in zip(mine, best, strict=True))
         frame = pd.DataFrame(out, columns=["n_hits", "permutation", "null_es"])
         for i, f in enumerate(fields.names):
             frame.insert(i, f, key[i])
@@ -198,6 +201,7 @@ def enrichment_significance(scores: DataFrame, null: DataFrame, by: Sequence[str
     Fewer than ``minimum_null`` null values of the same sign leave all three NULL.
     The FDR counts come from running totals over the pooled normalised values.
     """
+    scores, null = checkpointed(scores), checkpointed(null)  # both are read several times below
     g = [*by, "n_hits"]
     sign = F.signum("null_es")
     stats = null.withColumn("_s", sign).groupBy(*g, "_s").agg(

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyscope.functions.exprs import attach, finite, pearson, plogp
-from tallyscope.functions.session import checkpoint_folder, checkpointed
+from tallyscope.functions.session import checkpointed
 from tallyscope.operators.stats import label_sizes, n_obs
 
 
@@ -165,14 +165,12 @@ def components(edges: DataFrame, nodes: DataFrame, by: Sequence[str] = (), id_co
     """Weak components: every node with the smallest id it is connected to.
 
     Alternating large-star / small-star rounds (logarithmic in the diameter).
-    Each round is written to the checkpoint folder, which cuts the lineage and
+    Each round is written to the shared folder, which cuts the lineage and
     survives lost executors.
     """
-    spark = edges.sparkSession
-    checkpoint_folder(spark)
     keys = list(by)
     e = edges.select(*keys, F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).where("u <> v").distinct()
-    e = e.checkpoint()
+    e = checkpointed(e)
 
     def star(df: DataFrame, large: bool) -> DataFrame:
         if large:
@@ -194,7 +192,7 @@ def components(edges: DataFrame, nodes: DataFrame, by: Sequence[str] = (), id_co
 
     seen = mark(e)
     for _ in range(max_rounds):
-        e = star(star(e, True), False).checkpoint()
+        e = checkpointed(star(star(e, True), False))
         now = mark(e)
         if now == seen:
             break
