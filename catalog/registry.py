@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyscope.functions.session import guard_against_skew
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 QUERIES: dict[str, Query] = {}
@@ -28,7 +30,7 @@ def query(name: str, sql: str | None = None):
         from catalog.tables import Tables
 
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return rounded(fn(Tables(spark, sf_dir)))
+            return rounded(fn(Tables(guard_against_skew(spark), sf_dir)))
 
         run.__name__, run.__doc__ = name, fn.__doc__
         if name in QUERIES:

@@ -76,6 +76,9 @@ def running_totals(
             F.size(F.filter("_cuts", lambda c: c <= F.col(order)))
         ),
     )
+    # spread by key and range: the partitioning left by the join on the key alone
+    # would satisfy the windows below and put a cut key back into one task
+    placed = placed.repartition(*[F.col(b) for b in by], F.col("_range"))
     inner = Window.partitionBy(*by, "_range")
     run = inner.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     local = placed

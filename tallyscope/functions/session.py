@@ -9,9 +9,25 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+# Aggregations and windows over (label, feature) must not inherit a partitioning by
+# label alone from a join before them: a label may hold a third of all rows.
+SKEW_SETTINGS = {
+    "spark.sql.requireAllClusterKeysForDistribution": "true",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+}
+
+
+def guard_against_skew(spark: SparkSession) -> SparkSession:
+    """Runtime settings the operators count on; safe to repeat."""
+    for key, value in SKEW_SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
+
+
 def local_session(cores: int | str = "*", app: str = "tallyscope", memory: str = "8g") -> SparkSession:
     n = os.cpu_count() if cores == "*" else int(cores)
-    return (
+    return guard_against_skew(
         SparkSession.builder.master(f"local[{cores}]").appName(app)
         .config("spark.sql.shuffle.partitions", str(n))
         .config("spark.sql.adaptive.enabled", "true")
