@@ -45,8 +45,6 @@ def checkpoint_folder(spark: SparkSession) -> str:
     if not folder:
         folder = getattr(checkpoint_folder, "_local", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         checkpoint_folder._local = folder
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
     return folder
 
 

@@ -68,6 +68,7 @@ def pairing_diagnostics(
     j = attach(ids, coords, by)
     dup = (F.col("n_reference_duplicate_rows") > 0) | (F.col("n_simulated_duplicate_rows") > 0)
     whole = (F.col("n_coordinate_overlap") == F.col("n_reference")) & (F.col("n_coordinate_overlap") == F.col("n_simulated"))
+    # The reason codes of the pairing contract.
     issue = (
         F.when(F.col("_dup_id"), "nonunique_observation_identifier")
         .when(F.col("_common") > 0, "")
