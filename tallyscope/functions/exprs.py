@@ -68,16 +68,19 @@ def attach(df: DataFrame, stats: DataFrame, by: Keys, how: str = "inner") -> Dat
     return df.crossJoin(F.broadcast(stats))
 
 
-def keyed(by: Keys) -> list[str]:
-    return list(by)
+NO_KEY = "_k"
 
 
-def const(df: DataFrame, name: str = "_k") -> DataFrame:
-    return df.withColumn(name, F.lit(0))
+def attach_keyed(df: DataFrame, stats: DataFrame, keys: Keys, how: str = "inner") -> DataFrame:
+    """``attach`` where an absent key was replaced by the constant ``NO_KEY``.
 
-
-def null_safe_eq(a: str, b: str) -> Column:
-    return F.col(a).eqNullSafe(F.col(b))
+    ``stats`` then has one row or none, which is sent along instead of joining
+    on the constant.
+    """
+    keys = list(keys)
+    if keys != [NO_KEY]:
+        return df.join(stats, keys, how)
+    return df.join(F.broadcast(stats.drop(NO_KEY)), F.lit(True), how)
 
 
 def squared_distance(a: Iterable[Column], b: Iterable[Column]) -> Column:

@@ -19,6 +19,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyscope.functions.exprs import attach_keyed
 from tallyscope.functions.session import checkpointed, input_bytes
 
 SMALL_INPUT = 256 << 20
@@ -66,11 +67,11 @@ def running_totals(
         .select(*by, F.greatest(F.floor(F.col("_n") / RANGES), F.lit(1)).cast("long").alias("_stride"))
     )
     cuts = (
-        df.select(*by, order).join(large, by)
+        attach_keyed(df.select(*by, order), large, by)
         .where(F.pmod(F.xxhash64(order), F.col("_stride")) == 0)
         .groupBy(*by).agg(F.sort_array(F.collect_set(order)).alias("_cuts"))
     )
-    placed = df.join(cuts, by, "left").withColumn(
+    placed = attach_keyed(df, cuts, by, "left").withColumn(
         "_range",
         F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(
             F.size(F.filter("_cuts", lambda c: c <= F.col(order)))

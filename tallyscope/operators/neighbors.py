@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyscope.functions.exprs import attach, squared_distance
+from tallyscope.functions.exprs import attach, attach_keyed, squared_distance
 from tallyscope.functions.ordered import exact_quantiles
 from tallyscope.functions.session import input_bytes
 
@@ -103,8 +103,8 @@ def grid_nearest(
         *keys, *[f"_lo_{d}" for d in dims], F.when(F.col("_side") > 0, F.col("_side")).otherwise(1.0).alias("_side"),
         F.least(F.floor(per_axis), F.lit(FINEST)).cast("int").alias("_base"),
     )
-    cand = _at_level(cand.join(box, keys), dims, F.col("_base"))
-    spots = _at_level(spots.join(box, keys), dims, F.col("_base"))
+    cand = _at_level(attach_keyed(cand, box, keys), dims, F.col("_base"))
+    spots = _at_level(attach_keyed(spots, box, keys), dims, F.col("_base"))
 
     # levels at or above the base come from base-cell counts, finer ones only from crowded cells
     base = cand.groupBy(*keys, "_base", *cells).agg(F.count(F.lit(1)).alias("_m"))
@@ -145,7 +145,7 @@ def grid_nearest(
 
     used = search.groupBy(*keys).agg(F.collect_set("_level").alias("_levels"))
     stock = _at_level(
-        cand.drop(*cells).join(used, keys).withColumn("_level", F.explode("_levels")), dims, F.col("_level")
+        attach_keyed(cand.drop(*cells), used, keys).withColumn("_level", F.explode("_levels")), dims, F.col("_level")
     ).select(*keys, "_level", *cells, *[F.col(d).alias(f"_x_{d}") for d in dims], "dst")
     probe = search.select(
         *place, "_level", "_side", *cells
@@ -187,9 +187,9 @@ def knn_transfer(query: DataFrame, ref: DataFrame, k: int = 1, dims: Sequence[st
 def _in_blocks(df: DataFrame, keys: Sequence[str], id_col: str, vec: str, extra: Sequence[str], block_rows: int, side: str):
     sizes = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(f"_n{side}"))
     # fresh aliases: both sides may stem from one frame
-    rows = df.select(
+    rows = attach_keyed(df.select(
         *[F.col(k).alias(k) for k in keys], F.col(id_col).alias("id"), F.transform(vec, lambda v: v.cast("double")).alias("vec"), *[F.col(c).alias(c) for c in extra]
-    ).join(sizes, keys)
+    ), sizes, keys)
     block = F.pmod(F.xxhash64("id"), F.col(f"_n{side}")).cast("int")
     return rows.withColumn(f"_b{side}", block).drop(f"_n{side}"), sizes
 
@@ -209,8 +209,8 @@ def blocked(
         left, right, keys = left.withColumn("_k", F.lit(0)), right.withColumn("_k", F.lit(0)), ["_k"]
     lrows, lsize = _in_blocks(left, keys, id_col, vec, left_extra, block_rows, "l")
     rrows, rsize = _in_blocks(right, keys, id_col, vec, right_extra, block_rows, "r")
-    lrows = lrows.join(rsize, keys).withColumn("_br", F.explode(F.sequence(F.lit(0), F.col("_nr") - 1))).drop("_nr")
-    rrows = rrows.join(lsize, keys).withColumn("_bl", F.explode(F.sequence(F.lit(0), F.col("_nl") - 1))).drop("_nl")
+    lrows = attach_keyed(lrows, rsize, keys).withColumn("_br", F.explode(F.sequence(F.lit(0), F.col("_nr") - 1))).drop("_nr")
+    rrows = attach_keyed(rrows, lsize, keys).withColumn("_bl", F.explode(F.sequence(F.lit(0), F.col("_nl") - 1))).drop("_nl")
     pair = [*keys, "_bl", "_br"]
     key_fields = T.StructType([f for f in lrows.schema.fields if f.name in by])
     n_keys = len(key_fields)
