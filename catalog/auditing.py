@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.registry import query
 from catalog.tables import METRICS, Tables, sql
-from tallyscope.operators import audit, axis, scores, stats
+from tallyscope.operators import audit, axis, stats
 
 WIDE = {
     "old": "SELECT l_suppkey AS k, round(avg(l_discount), 9) AS discount, CASE WHEN l_suppkey % 4 <> 0 THEN round(avg(l_tax), 9) END AS tax, CAST(count(*) AS DOUBLE) AS n FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1",

@@ -6,11 +6,9 @@ from pyspark.sql import functions as F
 
 from catalog.registry import query
 from catalog.tables import Tables, sql
-from tallyscope.operators import pairing, qc, stats, transform
+from tallyscope.operators import qc, stats, transform
 
 RULES = {"min_counts": 12000, "min_genes": 400, "min_cells": 28, "max_pct_mt": 43.0}
-RULES_SQL = """kept_obs AS (SELECT obs_id FROM obs_qc WHERE total_counts >= 12000 AND n_genes_by_counts >= 400 AND (pct_counts_mt IS NULL OR pct_counts_mt <= 43.0)),
-kept_features AS (SELECT feature_id FROM counts WHERE value > 0 GROUP BY 1 HAVING count(*) >= 28)"""
 QC_EXTRA = {
     "obs_qc": "SELECT o.obs_id, CAST(coalesce(t, 0) AS BIGINT) AS total_counts, coalesce(g, 0) AS n_genes_by_counts, CASE WHEN coalesce(t, 0) > 0 THEN m / CAST(t AS DOUBLE) * 100.0 ELSE 0.0 END AS pct_counts_mt FROM obs o LEFT JOIN (SELECT obs_id, sum(value) AS t, count(*) FILTER (WHERE value > 0) AS g, coalesce(sum(value) FILTER (WHERE mt), 0) AS m FROM counts JOIN features USING (feature_id) GROUP BY 1) s ON s.obs_id = o.obs_id",
     "kept_obs": "SELECT obs_id FROM obs_qc WHERE total_counts >= 12000 AND n_genes_by_counts >= 400 AND (pct_counts_mt IS NULL OR pct_counts_mt <= 43.0)",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog.registry import query
 from catalog.tables import METRICS, Tables, sql
 from tallyscope.functions.session import checkpointed
-from tallyscope.operators import enrich, resample, stats, topk, transform
+from tallyscope.operators import enrich, resample, stats, transform
 
 DRAWS = {
     "src": "SELECT obs_id, label, row_number() OVER (PARTITION BY label ORDER BY obs_id) - 1 AS idx, count(*) OVER (PARTITION BY label) AS n FROM obs WHERE nation % 2 = 0",

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog.registry import query
-from catalog.tables import Tables, pear, sql
-from tallyscope.operators import correlation, graph, neighbors, stats, topk, transform
+from catalog.tables import Tables, sql
+from tallyscope.operators import graph, neighbors, stats, topk, transform
 
 
 def knn_sql(k: int, where: str = "a.obs_id <> b.obs_id", points: str = "points") -> str:

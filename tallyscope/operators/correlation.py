@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyscope.functions.exprs import attach, finite, pearson, pearson_from_sums
-from tallyscope.functions.ordered import average_ranks, running_totals
-from tallyscope.operators.stats import class_means, n_obs
+from tallyscope.functions.ordered import running_totals
+from tallyscope.operators.stats import n_obs
 
 
 def safe_pearson(df: DataFrame, x: str, y: str, by: Sequence[str] = (), name: str = "pearson") -> DataFrame:

@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyscope.functions.exprs import attach, col
+from tallyscope.functions.exprs import attach
 from tallyscope.functions.ordered import exact_quantiles
-from tallyscope.operators.stats import class_means, gene_stats, label_sizes
+from tallyscope.operators.stats import class_means, gene_stats
 
 
 def library(counts: DataFrame, by: Sequence[str] = (), name: str = "library_size") -> DataFrame:

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyscope.functions.exprs import attach
 from tallyscope.operators.qc import INTEGER_TOLERANCE, normalize_label
 
 POSITION_NAMES = {
