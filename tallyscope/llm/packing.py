@@ -19,32 +19,35 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from tallyscope.llm.common import fields
+from tallyscope.llm.textbytes import BLANKS, LETTERS, LOWER, Hasher, blocks, buffer_of, runs
 
 TIERS = (256, 512, 1024, 2048)
 GROUP_TOKENS = 4_000_000
 STEP_TOKENS = 131_072
-KNOWN_WORDS = 400_000
+KNOWN_WORDS = 1_500_000
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
     "tier int, step_group long, ids array<int>"
 )
-# The pre-tokenizer pattern of the vocabulary file, and the characters for which Python and the
-# tokenizer agree on lower case, white space and normal form (anything else goes through the tokenizer itself).
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-OTHER = regex.compile("[^\\t\\n\\r -~¡-įı-ɏ]")
+# The bytes of texts whose pre-tokens are plain runs: printable ASCII but the apostrophe (contractions),
+# the blanks, and after 0xC3 the letters of Latin-1.  Any other text goes through the tokenizer as a whole.
+PLAIN = np.zeros(256, bool)
+PLAIN[[9, 10, 13, *range(32, 39), *range(40, 127), 0xC3]] = True
+PLAIN_PAIR = np.zeros(256, bool)
+PLAIN_PAIR[[*range(0x80, 0x97), *range(0x98, 0xB7), *range(0xB8, 0xC0)]] = True
 
 
 class WordTokens:
     """Token ids of texts, looked up word by word.
 
     In this vocabulary a text's ids are those of its pre-tokens one after the
-    other, and the last id of each pre-token marks its end.  New pre-tokens are
-    encoded together, known ones are looked up.
+    other, and the last id of each pre-token marks its end.  Pre-tokens are
+    found and hashed over a buffer of many texts at once; new ones are encoded
+    together, known ones are looked up by a 64-bit hash in an open table.
     """
 
     def __init__(self, path: str, known: int = KNOWN_WORDS) -> None:
@@ -55,18 +58,32 @@ class WordTokens:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
-        self.limit = known
+        self.known = known
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[str, int] = {}
-        self.flat, self.first, self.size = np.zeros(1 << 16, np.uint32), np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int32)
-        self.used = 0
+        self.mask = (1 << max(12, (2 * self.known).bit_length())) - 1
+        self.key, self.row = np.zeros(self.mask + 1, np.uint64), np.full(self.mask + 1, -1, np.int32)
+        self.first, self.size = np.zeros(self.known, np.int64), np.zeros(self.known, np.int32)
+        self.flat, self.used, self.count = np.zeros(8 * self.known, np.uint32), 0, 0
 
     def _whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _learn(self, words: list[str]) -> None:
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Rows of known hashes, -1 for others."""
+        out, open_ = np.full(len(hashes), -1, np.int32), np.arange(len(hashes))
+        slot = (hashes & np.uint64(self.mask)).astype(np.int64)
+        while len(open_):
+            row = self.row[slot]
+            met = self.key[slot] == hashes[open_]
+            out[open_[met & (row >= 0)]] = row[met & (row >= 0)]
+            on = ~met & (row >= 0)
+            open_, slot = open_[on], (slot[on] + 1) & self.mask
+        return out
+
+    def _learn(self, hashes: np.ndarray, words: list[str]) -> None:
+        """Adds distinct new words; the caller leaves room for them."""
         ids = self._whole(" ".join(words))
         last = np.flatnonzero(self.ends[ids])
         if len(last) == len(words):
@@ -74,46 +91,69 @@ class WordTokens:
         else:
             each = [self._whole(w) for w in words]
             ids, sizes = np.concatenate(each), np.array([len(e) for e in each])
-        n, k = len(self.index), len(words)
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-        while n + k > len(self.size):
-            self.first, self.size = (np.concatenate([a, np.zeros_like(a)]) for a in (self.first, self.size))
+        rows = np.arange(self.count, self.count + len(words))
         self.flat[self.used : self.used + len(ids)] = ids
-        self.size[n : n + k] = sizes
-        self.first[n : n + k] = self.used + np.cumsum(sizes) - sizes
+        self.size[rows], self.first[rows] = sizes, self.used + np.cumsum(sizes) - sizes
         self.used += len(ids)
-        self.index.update(zip(words, range(n, n + k), strict=True))
-
-    def encode(self, texts: Sequence[str]) -> list[np.ndarray]:
-        """One array of ids per text."""
-        if len(self.index) > self.limit:
-            self._clear()
-        out: list[np.ndarray | None] = [None] * len(texts)
-        words, counts, quick = [], [], []
-        for i, text in enumerate(texts):
-            if OTHER.search(text):
-                out[i] = self._whole(text)
-                continue
-            found = PIECES.findall(text.lower())
-            words += found
-            counts.append(len(found))
-            quick.append(i)
-        get = self.index.get
-        at = list(map(get, words))
-        new = list(dict.fromkeys(w for w, k in zip(words, at, strict=True) if k is None))
-        if new:
-            self._learn(new)
-            at = list(map(get, words))
-        at = np.array(at, np.int64)
-        sizes = self.size[at].astype(np.int64)
+        self.count += len(words)
+        slot = (hashes & np.uint64(self.mask)).astype(np.int64)
+        while len(rows):
+            free = self.row[slot] < 0
+            self.row[slot[free]] = rows[free]
+            won = self.row[slot] == rows
+            self.key[slot[won]] = hashes[won]
+            rows, hashes, slot = rows[~won], hashes[~won], (slot[~won] + 1) & self.mask
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, bounds) of a string column; NULL is empty."""
+        raw, offsets = buffer_of(texts)
+        before = np.concatenate([[0], raw[:-1]]).astype(np.uint8)
+        after_mark = (before == 0xC3) & PLAIN_PAIR[raw]
+        odd = np.concatenate([[0], np.cumsum(~(PLAIN[raw] | after_mark))])
+        slow = odd[offsets[1:]] > odd[offsets[:-1]]
+        data = LOWER[raw] + 32 * (after_mark & (raw < 0x9F)).astype(np.uint8)
+        kinds = np.where(BLANKS[data], 0, np.where(LETTERS[data], 1, 2)).astype(np.uint8)
+        digit = np.flatnonzero((data >= 48) & (data < 58))
+        kinds[digit] = 3 + digit % 2
+        kinds[np.repeat(slow, np.diff(offsets))] = 0
+        t = runs(kinds, offsets)
+        hashes = Hasher(data)(t.start, t.end)
+        row = self._find(hashes)
+        new = np.flatnonzero(row < 0)
+        if len(new):
+            fresh, at = np.unique(hashes[new], return_index=True)
+            if self.count + len(fresh) > self.known:
+                self._clear()
+                fresh, at = np.unique(hashes, return_index=True)
+                new = np.arange(len(hashes))
+                if len(fresh) > self.known:
+                    self.known = 2 * len(fresh)
+                    self._clear()
+            at = new[at]
+            view = data.tobytes()
+            self._learn(fresh, [view[a:b].decode() for a, b in zip(t.start[at].tolist(), t.end[at].tolist(), strict=True)])
+            row[new] = self._find(hashes[new])
+        sizes = self.size[row].astype(np.int64)
         ends = np.cumsum(sizes)
-        source = np.repeat(self.first[at] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)
-        ids = self.flat[source]
-        upto = np.concatenate([[0], ends])[np.cumsum([0, *counts])]
-        for i, a, b in zip(quick, upto[:-1], upto[1:], strict=True):
-            out[i] = ids[a:b]
-        return out
+        ids = self.flat[np.repeat(self.first[row] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        bounds = np.concatenate([[0], ends])[t.bounds]
+        if not slow.any():
+            return ids, bounds
+        values = texts.to_pylist()
+        parts = [self._whole(values[i]) if slow[i] else ids[bounds[i] : bounds[i + 1]] for i in range(len(values))]
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+
+
+_CODERS: dict[str, WordTokens] = {}
+
+
+def coder(path: str) -> WordTokens:
+    """The coder of this worker process; what it has learned serves the worker's next tasks too."""
+    if path not in _CODERS:
+        _CODERS[path] = WordTokens(path)
+    return _CODERS[path]
 
 
 def plan_group(tokens: np.ndarray, tiers: Sequence[int] = TIERS) -> tuple[np.ndarray, ...]:
@@ -201,9 +241,8 @@ def pack_documents(
     """
     tiers = tuple(tiers)
 
-    def emit(ids: list, lens: list[int], stream: list[np.ndarray], first: int, base: int):
-        tokens = np.array(lens, np.int64)
-        flat = np.concatenate(stream)
+    def emit(keys: list[pa.Array], lens: list[np.ndarray], stream: list[np.ndarray], first: int, base: int):
+        tokens, flat, names_ = np.concatenate(lens), np.concatenate(stream), pa.concat_arrays(keys)
         at = np.cumsum(tokens) - tokens
         doc, start, length, sequence, offset, kind = plan_group(tokens, tiers)
         group = step_groups(kind, step_tokens)
@@ -211,7 +250,7 @@ def pack_documents(
         view = memoryview(flat.astype("<u4", copy=False)).cast("B")
         crc = [zlib.crc32(view[4 * a : 4 * b]) for a, b in zip(lo.tolist(), (lo + length).tolist(), strict=True)]
         columns = [
-            pa.array([ids[d] for d in doc.tolist()], pa.int64()), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(tokens[doc]),
+            names_.take(pa.array(doc)), pa.array(start), pa.array(length), pa.array(crc, pa.int64()), pa.array(tokens[doc]),
             pa.array(base + first + sequence), pa.array(offset), pa.array(kind[sequence].astype(np.int32)), pa.array(base + first + group[sequence]),
         ]
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "tier", "step_group"]
@@ -223,24 +262,25 @@ def pack_documents(
         return len(kind), pa.RecordBatch.from_arrays(columns, names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, base, first = WordTokens(tokenizer_path), TaskContext.get().partitionId() << 33, 0
-        ids, lens, stream, held = [], [], [], 0
+        words, base, first = coder(tokenizer_path), TaskContext.get().partitionId() << 33, 0
+        keys, lens, stream, held = [], [], [], 0
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                keys = part.column(0).to_pylist()
-                for key, found in zip(keys, coder.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                    ids.append(key)
-                    lens.append(len(found) + 1)
-                    stream += [found, np.array([end_id], np.uint32)]
-                    held += len(found) + 1
+            for part in blocks(batch, 1, 4 << 20):
+                found, bounds = words.encode(part.column(1))
+                sizes = np.diff(bounds) + 1
+                closed = np.full(len(found) + part.num_rows, end_id, np.uint32)
+                closed[np.arange(len(found)) + np.repeat(np.arange(part.num_rows), sizes - 1)] = found
+                keys.append(part.column(0).cast(pa.int64()))
+                lens.append(sizes)
+                stream.append(closed)
+                held += len(closed)
                 if held >= group_tokens:
-                    count, out = emit(ids, lens, stream, first, base)
+                    count, out = emit(keys, lens, stream, first, base)
                     first += count
-                    ids, lens, stream, held = [], [], [], 0
+                    keys, lens, stream, held = [], [], [], 0
                     yield out
-        if ids:
-            yield emit(ids, lens, stream, first, base)[1]
+        if lens:
+            yield emit(keys, lens, stream, first, base)[1]
 
     schema = SCHEMA if with_ids else SCHEMA.removesuffix(", ids array<int>")
     return fields(docs, id_col, text_col).mapInArrow(run, schema)
