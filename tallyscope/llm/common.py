@@ -29,3 +29,11 @@ def fold(text_id: Column, modulus: int) -> Column:
 def fields(df: DataFrame, *names: str) -> DataFrame:
     """Just the named columns, so that extra columns of the caller cannot clash with ours."""
     return df.select(*[F.col(f"`{n}`") for n in names])
+
+
+def free_name(df: DataFrame, base: str) -> str:
+    """``base``, or ``base`` with marks behind it, so that no column of ``df`` has the name."""
+    taken = {c.lower() for c in df.columns}
+    while base.lower() in taken:
+        base += "_"
+    return base

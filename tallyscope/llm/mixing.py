@@ -88,7 +88,7 @@ def _overlap(lo: Column, hi: Column, start: Column, end: Column) -> Column:
 
 def mix_sources(
     docs: DataFrame, weight: Column, seed: int = 7, block: int = BLOCK_WORDS, shards: int = SHARDS, repeats: int = REPEATS,
-    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", with_rows: bool = False,
 ) -> DataFrame:
     """How much of each document the mix takes.
 
@@ -97,26 +97,30 @@ def mix_sources(
     document), run_start and run_words (the words from ``run_start`` on, counted
     in the document and wrapping round at its end, that the last, partial pass
     takes), taken = passes * size + run_words, blocks (quota of the source) and
-    key (a hash of seed, id and text).
+    key (a hash of seed, id and text).  ``with_rows`` adds the whole row of
+    ``docs`` as a struct.
 
     Rows with equal id and text are interchangeable.  NULL ids and sources are
     values like others.  An empty table gives an empty result.  Reruns agree:
     order and run are hashes of seed, id, text and source.
     """
     ident, text, source = F.col(f"`{id_col}`"), F.col(f"`{text_col}`"), F.col(f"`{source_col}`")
-    sized = checkpointed(docs.select(
+    measured = docs.select(
         ident.alias("doc_id"), source.alias("source"),
+        F.when(source.isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), source)).alias("_sk"),
         F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
         F.xxhash64(F.lit(seed), ident.cast("string"), text).alias("key"),
-    ))
-    rows = sized.count()
-    buckets = max(256, math.ceil(rows / ROWS_PER_BUCKET))
+        *([F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")] if with_rows else []),
+    )
+    sized = checkpointed(measured.select("doc_id", "source", "_sk", "size", "key"))
+    buckets = max(256, math.ceil(sized.count() / ROWS_PER_BUCKET))
+    bucket = F.pmod("key", F.lit(buckets)).alias("_bucket")
     per_source = sized.groupBy("source").agg(F.sum("size").alias("source_size"))
     targets = checkpointed(source_targets(per_source, weight, repeats))
     quotas = shard_quotas(targets, block, shards).where(F.col("shard") == shards - 1)
     plan = targets.join(quotas.select("_rank", "upto"), "_rank").select(
-        "source", "source_size", "target", "_rank",
-        F.ceil(F.col("source_size") / block).alias("_line"), F.col("upto").alias("_quota"),
+        F.when(F.col("source").isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), F.col("source"))).alias("_sk"),
+        "source", "source_size", "target", F.ceil(F.col("source_size") / block).alias("_line"), F.col("upto").alias("_quota"),
     )
     plan = plan.withColumn("blocks", F.least("_quota", F.col("_line") * repeats))
     some = F.col("_line") > 0
@@ -125,31 +129,49 @@ def mix_sources(
         F.when(some, F.pmod(F.xxhash64(F.lit(seed), "source"), "_line")).otherwise(F.lit(0)).alias("_first"),
     )
     last = F.col("_first") + F.col("blocks") - F.col("passes") * F.col("_line")
-    plan = checkpointed(plan.select(
-        F.col("source").alias("_source"), "source_size", "target", "blocks", "passes",
-        (F.col("_first") * block).alias("_lo"), (F.least(last, F.col("_line")) * block).alias("_hi"),
-        (F.greatest(last - F.col("_line"), F.lit(0)) * block).alias("_wrap"),
-    ))
-
-    placed = sized.withColumn("_bucket", F.pmod("key", F.lit(buckets)))
-    inside = Window.partitionBy("source", "_bucket").orderBy("key", "size", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
-    placed = placed.withColumn("_before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-    sums = sized.groupBy("source", F.pmod("key", F.lit(buckets)).alias("_bucket")).agg(F.sum("size").alias("_sum"))
-    across = Window.partitionBy("source").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = sums.select(F.col("source").alias("_osource"), F.col("_bucket").alias("_obucket"), F.coalesce(F.sum("_sum").over(across), F.lit(0)).alias("_offset"))
-    offsets = offsets.join(plan, F.col("_osource").eqNullSafe(F.col("_source")))
-    joined = placed.join(offsets, F.col("source").eqNullSafe(F.col("_osource")) & (F.col("_bucket") == F.col("_obucket")))
-    start = F.col("_before") + F.col("_offset")
-    at = joined.select("doc_id", "source", "size", "source_size", "target", "passes", "blocks", "key", "_lo", "_hi", "_wrap", start.alias("_start"), (start + F.col("size")).alias("_end"))
-    late = _overlap(F.col("_lo"), F.least("_hi", "source_size"), F.col("_start"), F.col("_end"))
-    early = _overlap(F.lit(0), F.col("_wrap"), F.col("_start"), F.col("_end"))
-    at = at.select("*", late.alias("_late"), early.alias("_early"))
+    plan = plan.select(
+        "_sk", "source_size", "target", "blocks", "passes", (F.col("_first") * block).alias("_lo"),
+        (F.least(last, F.col("_line")) * block).alias("_hi"), (F.greatest(last - F.col("_line"), F.lit(0)) * block).alias("_wrap"),
+    )
+    sums = sized.groupBy("_sk", bucket).agg(F.sum("size").alias("_sum"))
+    across = Window.partitionBy("_sk").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sums.select("_sk", "_bucket", F.coalesce(F.sum("_sum").over(across), F.lit(0)).alias("_offset")).join(plan, "_sk")
+    offsets = checkpointed(offsets)
+
+    rows = measured if with_rows else sized
+    inside = Window.partitionBy("_sk", "_bucket").orderBy("key", "size", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    placed = rows.withColumn("_bucket", bucket).withColumn("_before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    at = placed.join(offsets, ["_sk", "_bucket"]).withColumn("_start", F.col("_before") + F.col("_offset"))
+    at = at.withColumn("_end", F.col("_start") + F.col("size"))
+    at = at.withColumn("_late", _overlap(F.col("_lo"), F.least("_hi", "source_size"), F.col("_start"), F.col("_end")))
+    at = at.withColumn("_early", _overlap(F.lit(0), F.col("_wrap"), F.col("_start"), F.col("_end")))
     return at.select(
         "doc_id", "source", "size", "source_size", "target", "passes",
         F.when(F.col("_late") > 0, F.greatest(F.col("_lo") - F.col("_start"), F.lit(0))).otherwise(F.lit(0)).alias("run_start"),
         (F.col("_late") + F.col("_early")).alias("run_words"),
         (F.col("passes") * F.col("size") + F.col("_late") + F.col("_early")).alias("taken"), "blocks", "key",
+        *(["row"] if with_rows else []),
+    )
+
+
+def mixed_documents(docs: DataFrame, weight: Column, seed: int = 7, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: ``docs`` with every row as often as the mix takes it.
+
+    Whole passes give whole copies; a document at an end of its source's run is
+    cut to the words taken, with the blanks behind them.  Texts without words
+    weigh nothing and stay as they are.
+    """
+    mixed = mix_sources(docs, weight, seed, id_col=id_col, text_col=text_col, source_col=source_col, with_rows=True)
+    text = F.col("row").getField(text_col)
+    words = F.filter(F.split(text, "(?<=[\\x20\\x09-\\x0D])(?=[^\\x20\\x09-\\x0D])"), lambda w: w.rlike(WORD))
+    first = F.least(F.col("size") - F.col("run_start"), F.col("run_words"))
+    piece = F.concat(
+        F.slice(words, (F.col("run_start") + 1).cast("int"), first.cast("int")), F.slice(words, F.lit(1), (F.col("run_words") - first).cast("int"))
     )
+    run = F.when(F.col("run_words") == 0, F.array().cast("array<string>")).when(F.col("run_words") == F.col("size"), F.array(text)).otherwise(F.array(F.array_join(piece, "")))
+    texts = F.when(F.col("size") == 0, F.array(text)).otherwise(F.concat(F.array_repeat(text, F.col("passes").cast("int")), run))
+    out = mixed.select("row", F.explode(texts).alias("_text"))
+    return out.select(*[F.col("_text").alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 def cyclic_weight(weights: tuple[int, ...] = (1, 2, 3)) -> Column:

@@ -159,3 +159,45 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = fields(table(spark, sf_dir, "documents"), "doc_id", "text")
     return replace_entities(docs, SURROGATE_KEY, count_col="n_replaced")
+
+
+@query("op3_bottom_k_fingerprints")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all documents and their edited texts, and how alike they are."""
+    from tallyscope.llm.fingerprints import edited_fingerprints
+
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
+@query("op4_parse_dedup", r"""
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, octet_length(encode(coalesce(text, ''))) AS n FROM documents),
+g AS (
+  SELECT doc_id, s, md5(substr(h, 2 * s + 1, 200)) AS k FROM (SELECT doc_id, h, unnest(range(0, n - 99)) AS s FROM d WHERE n >= 100)
+),
+r AS (SELECT doc_id, s FROM (SELECT doc_id, s, row_number() OVER (PARTITION BY k ORDER BY doc_id, s) AS i FROM g) WHERE i > 1),
+b AS (SELECT doc_id, s, s + 100 AS e, max(s + 100) OVER (PARTITION BY doc_id ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM r),
+m AS (SELECT *, sum(CASE WHEN before IS NULL OR s > before THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY s) AS span FROM b),
+p AS (SELECT doc_id, span, min(s) AS s, max(e) AS e FROM m GROUP BY 1, 2),
+q AS (SELECT doc_id, s, e, coalesce(lag(e) OVER (PARTITION BY doc_id ORDER BY s), 0) AS since FROM p),
+k AS (
+  SELECT d.doc_id, d.n, coalesce(sum(q.e - q.s), 0) AS gone, count(q.s) AS spans,
+    coalesce(string_agg(substr(d.h, 2 * q.since + 1, 2 * (q.s - q.since)), '' ORDER BY q.s), '') || substr(any_value(d.h), 2 * coalesce(max(q.e), 0) + 1) AS kept
+  FROM d LEFT JOIN q ON q.doc_id = d.doc_id GROUP BY d.doc_id, d.n
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(gone AS BIGINT) AS n_removed, CAST(spans AS BIGINT) AS n_spans, sha256(unhex(kept)) AS kept_sha256 FROM k""")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the bytes of 100-byte strings that start earlier too."""
+    from tallyscope.llm.parse_dedup import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def _register_pipeline() -> None:
+    import corpus_pipeline
+
+    QUERIES["pipeline"] = corpus_pipeline.run
+    if corpus_pipeline.ORACLE_SQL is not None:
+        ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
+
+
+_register_pipeline()
