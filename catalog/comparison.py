@@ -86,10 +86,11 @@ def _(t: Tables):
 
 
 @query("cr8_pseudobulk_corr", sql(
-    f"SELECT avg(r) AS pseudobulk_corr, count(r) AS n_labels FROM (SELECT label, {pear('a', 'b')} AS r FROM (SELECT label, feature_id, avg(a) AS a, avg(b) AS b FROM cells_ab GROUP BY 1, 2 HAVING sum(a) + sum(b) > 0) GROUP BY 1)",
+    f"SELECT avg(r) AS pseudobulk_corr, count(r) AS n_labels FROM (SELECT label, {pear('a', 'b')} AS r FROM (SELECT label, feature_id, avg(a) AS a, avg(b) AS b FROM cells_ab GROUP BY 1, 2) GROUP BY 1)",
     "pseudobulk_corr", "n_labels"))
 def _(t: Tables):
-    return corr.pseudobulk_corr(stats.class_means(t.ref(), t.obs()), stats.class_means(t.cand(), t.obs()))
+    f = t.features()
+    return corr.pseudobulk_corr(stats.class_means(t.ref(), t.obs(), features=f), stats.class_means(t.cand(), t.obs(), features=f))
 
 
 @query("ds1_wasserstein", sql(
@@ -263,12 +264,12 @@ def _(t: Tables):
     """SELECT l.label, sqrt(avg((l.log_mu - g.log_mu) ** 2)) AS rmse_log_mu, sqrt(avg((l.omega - g.omega) ** 2)) AS rmse_omega, sqrt(avg((l.logit_pi0 - g.logit_pi0) ** 2)) AS rmse_logit_pi0,
     sqrt(avg(((l.log_mu - g.log_mu) ** 2 + (l.omega - g.omega) ** 2 + (l.logit_pi0 - g.logit_pi0) ** 2) / 3.0)) AS rmse_theta FROM th l JOIN th2 g ON g.label = l.label AND g.feature_id = l.feature_id GROUP BY 1""",
     "rmse_log_mu rmse_omega rmse_logit_pi0 rmse_theta", extra={
-        name: f"SELECT label, feature_id, ln(greatest(mean, 1e-10)) AS log_mu, ln(greatest(variance / greatest(mean, 1e-10), 1e-10)) AS omega, ln(p / (1.0 - p)) AS logit_pi0 FROM (SELECT *, least(greatest(zf, 1e-10), 1.0 - 1e-10) AS p FROM (SELECT label, feature_id, avg({c}) AS mean, greatest(avg({c} * {c}) - avg({c}) * avg({c}), 0.0) AS variance, avg(CASE WHEN {c} = 0 THEN 1.0::DOUBLE ELSE 0.0 END) AS zf FROM cells_ab GROUP BY 1, 2 HAVING sum({c}) > 0))"
+        name: f"SELECT label, feature_id, ln(greatest(mean, 1e-10)) AS log_mu, ln(greatest(variance / greatest(mean, 1e-10), 1e-10)) AS omega, ln(p / (1.0 - p)) AS logit_pi0 FROM (SELECT *, least(greatest(zf, 1e-10), 1.0 - 1e-10) AS p FROM (SELECT label, feature_id, avg({c}) AS mean, greatest(avg({c} * {c}) - avg({c}) * avg({c}), 0.0) AS variance, avg(CASE WHEN {c} = 0 THEN 1.0::DOUBLE ELSE 0.0 END) AS zf FROM cells_ab GROUP BY 1, 2))"
         for name, c in (("th", "a"), ("th2", "b"))}))
 def _(t: Tables):
     lab = t.obs().select("obs_id", "label")
 
     def theta(c):
-        return transform.gene_theta(c.join(lab, "obs_id"), lab, ["label"])
+        return transform.gene_theta(c.join(lab, "obs_id"), lab, ["label"], t.features())
 
     return dist.theta_rmse(theta(t.ref()), theta(t.cand()), ["label"])

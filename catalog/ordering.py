@@ -25,17 +25,17 @@ def _(t: Tables):
 
 
 @query("wn2_complete_case", sql(
-    """SELECT metric, method, avg(value) AS mean, count(*) AS n_samples FROM (SELECT *, count(value) OVER (PARTITION BY metric, sample) AS c FROM (SELECT method, sample, metric, CASE WHEN NOT (sample = 3 AND method = 1) THEN value END AS value FROM metric_long)) WHERE c = 5 GROUP BY 1, 2""", "mean", "n_samples"))
+    """SELECT *, rank() OVER (PARTITION BY metric ORDER BY CASE WHEN metric = 'tax' THEN mean ELSE -mean END) AS rank FROM (SELECT metric, method, round(avg(value), 9) AS mean, count(*) AS n_samples FROM (SELECT *, count(value) OVER (PARTITION BY metric, sample) AS c FROM (SELECT method, sample, metric, CASE WHEN NOT (sample = 3 AND method = 1) THEN value END AS value FROM metric_long)) WHERE c = 5 GROUP BY 1, 2)""", "mean", "n_samples rank"))
 def _(t: Tables):
     long = stats.melt(t.metric_long(), ["method", "sample"], METRICS)
     long = long.withColumn("value", F.when(~((F.col("sample") == 3) & (F.col("method") == 1)), F.col("value")))
-    return axis.complete_case(long)
+    return axis.complete_case(long, ["tax"])
 
 
 # feature means per day and event type; user groups of the type present that day
 AXIS = {
     "sz": "SELECT z, label, count(*) AS n FROM axis_obs GROUP BY 1, 2",
-    "am": "SELECT a.z, a.label, a.feature_id, sum(a.value) / CAST(max(n) AS DOUBLE) AS mean FROM axis_obs a JOIN sz ON sz.z = a.z AND sz.label = a.label GROUP BY 1, 2, 3",
+    "am": "SELECT sz.z, sz.label, f.feature_id, coalesce(sum(a.value), 0) / CAST(max(n) AS DOUBLE) AS mean FROM sz CROSS JOIN (SELECT DISTINCT feature_id FROM axis_obs) f LEFT JOIN axis_obs a ON sz.z = a.z AND sz.label = a.label AND f.feature_id = a.feature_id GROUP BY 1, 2, 3",
     "pairs": """SELECT z, label, feature_id, sum(a) AS a, sum(b) AS b FROM (SELECT z, label, feature_id, mean AS a, 0.0::DOUBLE AS b FROM am UNION ALL SELECT z - 1, label, feature_id, 0.0, mean FROM am) WHERE (z, label) IN (SELECT (z, label) FROM sz) AND (z + 1, label) IN (SELECT (z, label) FROM sz) GROUP BY 1, 2, 3""",
     "adj": f"SELECT z, count(DISTINCT label) AS shared_labels, {pear('a', 'b')} AS pearson, {pear('ln(1 + a)', 'ln(1 + b)')} AS log1p_pearson, avg(abs(ln(1 + b) - ln(1 + a))) AS mean_abs_log_change, avg(abs(b - a)) AS mean_abs_change FROM pairs GROUP BY 1",
 }
@@ -44,7 +44,7 @@ AXIS = {
 def _axis_means(t: Tables):
     o = t.axis_obs()
     counts = o.groupBy("z", "obs_id", "feature_id").agg(F.sum("value").alias("value"))
-    m = stats.class_means(counts, o.select("z", "obs_id", "label"), ["z"])
+    m = stats.class_means(counts, o.select("z", "obs_id", "label"), ["z"], features=o)
     return m.select("z", "label", "feature_id", "mean")
 
 
@@ -56,7 +56,8 @@ def _(t: Tables):
 HALF = {
     "ho": "SELECT event_id AS obs_id, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 3 AS z, event_type AS label, user_id % 20 AS feature_id, CAST(round(value * 100) AS BIGINT) AS value FROM events",
     "hp": "SELECT *, row_number() OVER (PARTITION BY z, label ORDER BY (obs_id * 7919) % 1000003, obs_id) AS r, count(*) OVER (PARTITION BY z, label) AS n FROM ho",
-    "hm": "SELECT z, label, feature_id, sum(CASE WHEN r <= n // 2 THEN value ELSE 0 END) / CAST(max(n) // 2 AS DOUBLE) AS lh, sum(CASE WHEN r > n // 2 THEN value ELSE 0 END) / CAST(max(n) - max(n) // 2 AS DOUBLE) AS rh FROM hp GROUP BY 1, 2, 3",
+    "hs": "SELECT z, label, max(n) AS n FROM hp GROUP BY 1, 2 HAVING max(n) >= 2",
+    "hm": "SELECT s.z, s.label, f.feature_id, sum(CASE WHEN r <= s.n // 2 THEN value ELSE 0 END) / CAST(max(s.n) // 2 AS DOUBLE) AS lh, sum(CASE WHEN r > s.n // 2 THEN value ELSE 0 END) / CAST(max(s.n) - max(s.n) // 2 AS DOUBLE) AS rh FROM hs s CROSS JOIN (SELECT DISTINCT feature_id FROM ho) f LEFT JOIN hp ON hp.z = s.z AND hp.label = s.label AND hp.feature_id = f.feature_id GROUP BY 1, 2, 3",
     "co": f"SELECT label, feature_id, count(DISTINCT z) AS n_z_levels, min(z) AS z_min, max(z) AS z_max, {pear('lh', 'rh')} AS z_coherence FROM hm GROUP BY 1, 2",
 }
 
@@ -65,7 +66,7 @@ def _halves(t: Tables):
     o = t.axis_obs().withColumn("z", F.floor(F.col("z") / 3).cast("long"))
     key = F.struct((F.col("obs_id") * 7919 % 1000003).alias("a"), F.col("obs_id").alias("b"))
     halves = axis.split_half(o.select("z", "obs_id", "label").withColumn("_o", key), ["z"], order="_o")
-    return axis.split_half_means(o.select("z", "obs_id", "feature_id", "value"), halves, ["z"])
+    return axis.split_half_means(o.select("z", "obs_id", "feature_id", "value"), halves, ["z"], features=o)
 
 
 @query("wn4_z_coherence", sql("SELECT * FROM co WHERE n_z_levels >= 3 AND z_coherence IS NOT NULL", "z_coherence", "n_z_levels z_min z_max", HALF))

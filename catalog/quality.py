@@ -221,21 +221,21 @@ def _(t: Tables):
 
 
 THETA = {
-    "gstats": "SELECT feature_id, avg(value) AS mean, greatest(avg(value * value) - avg(value) * avg(value), 0.0) AS variance, avg(CASE WHEN value = 0 THEN 1.0::DOUBLE ELSE 0.0 END) AS zf FROM dense GROUP BY 1 HAVING sum(value) > 0",
+    "gstats": "SELECT feature_id, avg(value) AS mean, greatest(avg(value * value) - avg(value) * avg(value), 0.0) AS variance, avg(CASE WHEN value = 0 THEN 1.0::DOUBLE ELSE 0.0 END) AS zf FROM dense GROUP BY 1",
     "theta": "SELECT feature_id, ln(greatest(mean, 1e-10)) AS log_mu, ln(greatest(variance / greatest(mean, 1e-10), 1e-10)) AS omega, ln(p / (1.0 - p)) AS logit_pi0 FROM (SELECT *, least(greatest(zf, 1e-10), 1.0 - 1e-10) AS p FROM gstats)",
 }
 
 
 @query("tr8_gene_theta", sql("SELECT * FROM theta", "log_mu omega logit_pi0", extra=THETA))
 def _(t: Tables):
-    return transform.gene_theta(t.counts(), t.obs())
+    return transform.gene_theta(t.counts(), t.obs(), (), t.features())
 
 
 @query("tr9_theta_axes", sql(
     "SELECT *, log_mu + omega AS log_variance, 1.0 / (1.0 + exp(-logit_pi0)) AS zero_proportion FROM theta",
     "log_mu omega logit_pi0 log_variance zero_proportion", extra=THETA))
 def _(t: Tables):
-    return transform.theta_axes(transform.gene_theta(t.counts(), t.obs()))
+    return transform.theta_axes(transform.gene_theta(t.counts(), t.obs(), (), t.features()))
 
 
 DELTA = {"delta": "SELECT feature_id, ln(1.0 + a) - ln(1.0 + b) AS d, a, b FROM cells_ab"}

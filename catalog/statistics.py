@@ -189,9 +189,9 @@ def _(t: Tables):
 
 
 @query("ag21_perturbation_audit", sql(
-    """SELECT avg(cm) / avg(bm) AS global_mean_ratio, avg(cz) / avg(bz) AS zero_fraction_ratio, count(r) AS n_positive_genes, quantile_cont(r, 0.5::DOUBLE) AS median_gene_ratio, avg(cm) / avg(bm) > 1 AS mean_increased, avg(cz) / avg(bz) > 1 AS sparsity_increased
-    FROM (SELECT *, CASE WHEN bm > 0 AND cm > 0 THEN cm / bm END AS r FROM (SELECT feature_id, avg(a) AS bm, avg(b) AS cm, avg(CASE WHEN a = 0 THEN 1.0::DOUBLE ELSE 0.0 END) AS bz, avg(CASE WHEN b = 0 THEN 1.0::DOUBLE ELSE 0.0 END) AS cz FROM cells_ab GROUP BY 1))""",
-    "global_mean_ratio zero_fraction_ratio median_gene_ratio", "n_positive_genes"))
+    """SELECT avg(cm) / avg(bm) AS global_mean_ratio, avg(cv) / avg(bv) AS global_variance_ratio, avg(cz) / avg(bz) AS zero_fraction_ratio, avg(cz) - avg(bz) AS zero_fraction_delta, count(r) AS n_positive_genes, quantile_cont(r, 0.5::DOUBLE) AS median_gene_ratio, avg(cm) / avg(bm) > 1 AS mean_increased, avg(cz) / avg(bz) > 1 AS sparsity_increased
+    FROM (SELECT *, CASE WHEN bm > 0 THEN cm / bm END AS r FROM (SELECT feature_id, avg(a) AS bm, avg(b) AS cm, greatest(avg(a * a) - avg(a) * avg(a), 0.0) AS bv, greatest(avg(b * b) - avg(b) * avg(b), 0.0) AS cv, avg(CASE WHEN a = 0 THEN 1.0::DOUBLE ELSE 0.0 END) AS bz, avg(CASE WHEN b = 0 THEN 1.0::DOUBLE ELSE 0.0 END) AS cz FROM cells_ab GROUP BY 1))""",
+    "global_mean_ratio global_variance_ratio zero_fraction_ratio zero_fraction_delta median_gene_ratio", "n_positive_genes"))
 def _(t: Tables):
     f = t.features()
     return stats.perturbation_audit(stats.gene_stats(t.ref(), t.obs(), (), f), stats.gene_stats(t.cand(), t.obs(), (), f))
@@ -200,10 +200,11 @@ def _(t: Tables):
 @query("ag22_group_diagnostics", sql(
     "SELECT label, count(*) AS n_features, " + ", ".join(f"{pear('a_' + c, 'b_' + c)} AS {c}_pearson" for c in ("mean", "variance", "zero_fraction")) +
     """ FROM (SELECT label, feature_id, avg(a) AS a_mean, avg(b) AS b_mean, greatest(avg(a * a) - avg(a) * avg(a), 0.0) AS a_variance, greatest(avg(b * b) - avg(b) * avg(b), 0.0) AS b_variance,
-    avg(CASE WHEN a = 0 THEN 1.0::DOUBLE ELSE 0.0 END) AS a_zero_fraction, avg(CASE WHEN b = 0 THEN 1.0::DOUBLE ELSE 0.0 END) AS b_zero_fraction FROM cells_ab GROUP BY 1, 2 HAVING sum(a) + sum(b) > 0) GROUP BY 1""",
+    avg(CASE WHEN a = 0 THEN 1.0::DOUBLE ELSE 0.0 END) AS a_zero_fraction, avg(CASE WHEN b = 0 THEN 1.0::DOUBLE ELSE 0.0 END) AS b_zero_fraction FROM cells_ab GROUP BY 1, 2) GROUP BY 1""",
     "mean_pearson variance_pearson zero_fraction_pearson", "n_features"))
 def _(t: Tables):
-    return stats.group_diagnostics(stats.class_means(t.ref(), t.obs()), stats.class_means(t.cand(), t.obs()), ["label"])
+    f = t.features()
+    return stats.group_diagnostics(stats.class_means(t.ref(), t.obs(), features=f), stats.class_means(t.cand(), t.obs(), features=f), ["label"])
 
 
 @query("ag23_realised_diagnostics", sql(

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyscope.functions.exprs import attach, finite, pearson, ratio
@@ -25,7 +25,7 @@ def metric_ranks(long: DataFrame, lower_is_better: Sequence[str], metric: str =
     return v.join(r, [metric, "_s"], "left").drop("_s")
 
 
-def complete_case(long: DataFrame, sample: str = "sample", method: str = "method", metric: str = "metric", value: str = "value") -> DataFrame:
+def complete_case(long: DataFrame, lower_is_better: Sequence[str] = (), sample: str = "sample", method: str = "method", metric: str = "metric", value: str = "value") -> DataFrame:
     """Mean per (metric, method) over samples where every method has a value, with its rank."""
     n = long.agg(F.countDistinct(method).alias("_k"))
     full = long.groupBy(metric, sample).agg(F.count(value).alias("_c"))
@@ -33,14 +33,18 @@ def complete_case(long: DataFrame, sample: str = "sample", method: str = "method
     m = long.join(keep, [metric, sample]).groupBy(metric, method).agg(
         F.avg(value).alias("mean"), F.count(F.lit(1)).alias("n_samples")
     )
-    return m
+    place = Window.partitionBy(metric).orderBy("_signed")
+    signed = F.when(F.col(metric).isin(*lower_is_better), F.col("mean")).otherwise(-F.col("mean"))
+    # one row per metric and method
+    return m.withColumn("_signed", signed).withColumn("rank", F.rank().over(place)).drop("_signed")
 
 
 def adjacent_pairs(means: DataFrame, z: str = "z_index", by: Sequence[str] = ()) -> DataFrame:
     """Feature means of each slice next to those of the following slice.
 
     ``means`` is (by…, z, label, feature_id, mean); only shared labels pair up,
-    a feature missing on one side of a shared label is 0 there.
+    a feature missing on one side of a shared label is 0 there.  Features that
+    are nowhere in ``means`` do not count: give means over the whole panel.
     """
     labels = means.select(*by, z, "label").distinct()
     shared = labels.join(labels.withColumn(z, F.col(z) - 1).withColumn("_next", F.lit(True)), [*by, z, "label"])
@@ -91,8 +95,8 @@ def split_half(obs: DataFrame, by: Sequence[str], id_col: str = "obs_id", label:
     )
 
 
-def split_half_means(counts: DataFrame, halves: DataFrame, by: Sequence[str], label: str = "label") -> DataFrame:
-    """Feature means of both halves of every class, side by side."""
+def split_half_means(counts: DataFrame, halves: DataFrame, by: Sequence[str], label: str = "label", features: DataFrame | None = None) -> DataFrame:
+    """Feature means of both halves of every class, side by side; of every panel member, if a panel is given."""
     keys = [*by, label]
     sizes = halves.groupBy(*keys).agg(
         F.count_if(F.col("half") == "left").alias("_nl"), F.count_if(F.col("half") == "right").alias("_nr")
@@ -101,7 +105,11 @@ def split_half_means(counts: DataFrame, halves: DataFrame, by: Sequence[str], la
         F.sum(F.when(F.col("half") == "left", F.col("value")).otherwise(0)).alias("_l"),
         F.sum(F.when(F.col("half") == "right", F.col("value")).otherwise(0)).alias("_r"),
     )
-    return s.join(sizes, keys).select(
+    if features is None:
+        rows = s.join(sizes, keys)
+    else:
+        rows = features.select("feature_id").distinct().crossJoin(sizes).join(s, [*keys, "feature_id"], "left").fillna(0, ["_l", "_r"])
+    return rows.select(
         *keys, "feature_id", (F.col("_l") / F.col("_nl")).alias("left"), (F.col("_r") / F.col("_nr")).alias("right")
     )
 

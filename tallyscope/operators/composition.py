@@ -15,9 +15,9 @@ from tallyscope.operators.distance import jsd, rmse
 def with_other(comp: DataFrame, types: DataFrame, by: Sequence[str] = ("spot",)) -> DataFrame:
     """Restrict to the listed types, add ``__other__`` = clip(1 − Σ, 0), renormalise.
 
-    A row without any mass fails.
+    Negative shares count as 0.  A row without any mass fails.
     """
-    kept = comp.join(types.select("type").distinct(), "type", "left_semi").select(*by, "type", "p")
+    kept = comp.join(types.select("type").distinct(), "type", "left_semi").select(*by, "type", F.greatest("p", F.lit(0.0)).alias("p"))
     sums = comp.select(*by).distinct().join(kept.groupBy(*by).agg(F.sum("p").alias("_s")), list(by), "left").fillna(0.0, ["_s"])
     rest = F.greatest(1.0 - F.col("_s"), F.lit(0.0))
     total = F.col("_s") + rest

@@ -132,7 +132,8 @@ def profile_metrics(a: DataFrame, b: DataFrame, features: DataFrame, by: Sequenc
 def pseudobulk_corr(left: DataFrame, right: DataFrame, by: Sequence[str] = (), label: str = "label") -> DataFrame:
     """Mean over labels of the correlation of per-label feature means.
 
-    Inputs are ``class_means`` tables; a feature absent from one is 0 there.
+    Inputs are ``class_means`` tables over the whole panel; a feature absent
+    from one of them is 0 there.
     """
     keys = [*by, label, "feature_id"]
     j = left.select(*keys, F.col("mean").alias("_a")).join(

@@ -75,9 +75,20 @@ def class_sums(counts: DataFrame, obs: DataFrame, by: Sequence[str] = (), label:
     return feature_sums(counts.join(obs.select(*keys, label), keys), [*by, label])
 
 
-def class_means(counts: DataFrame, obs: DataFrame, by: Sequence[str] = (), label: str = "label") -> DataFrame:
-    """Label × feature mean, variance, zero fraction (features with a stored cell)."""
-    base = class_sums(counts, obs, by, label).join(label_sizes(obs, by, label), [*by, label])
+def class_means(
+    counts: DataFrame, obs: DataFrame, by: Sequence[str] = (), label: str = "label", features: DataFrame | None = None,
+) -> DataFrame:
+    """Label × feature mean, variance, zero fraction.
+
+    With ``features`` every panel member appears under every label; without it
+    only features with a stored cell there.
+    """
+    sums, sizes = class_sums(counts, obs, by, label), label_sizes(obs, by, label)
+    if features is None:
+        base = sums.join(sizes, [*by, label])
+    else:
+        # labels × panel is the size of the result itself
+        base = features.select("feature_id").distinct().crossJoin(sizes).join(sums, [*by, label, "feature_id"], "left")
     return moments(base).select(*by, label, "feature_id", "n_obs", "mean", "variance", "zero_fraction")
 
 
@@ -289,13 +300,19 @@ def tie_fraction(df: DataFrame, by: Sequence[str], score: str) -> DataFrame:
 
 
 def perturbation_audit(base: DataFrame, cand: DataFrame) -> DataFrame:
-    """Compare two gene_stats tables of one panel: global ratios and directions."""
-    j = base.select("feature_id", F.col("mean").alias("_bm"), F.col("zero_fraction").alias("_bz")).join(
-        cand.select("feature_id", F.col("mean").alias("_cm"), F.col("zero_fraction").alias("_cz")), "feature_id"
-    ).withColumn("_r", F.when((F.col("_bm") > 0) & (F.col("_cm") > 0), F.col("_cm") / F.col("_bm")))
+    """Compare two gene_stats tables of one panel: global ratios and directions.
+
+    A feature's ratio needs a positive base only: one lost in the candidate has
+    ratio 0 and counts.
+    """
+    j = base.select("feature_id", F.col("mean").alias("_bm"), F.col("variance").alias("_bv"), F.col("zero_fraction").alias("_bz")).join(
+        cand.select("feature_id", F.col("mean").alias("_cm"), F.col("variance").alias("_cv"), F.col("zero_fraction").alias("_cz")), "feature_id"
+    ).withColumn("_r", F.when(F.col("_bm") > 0, F.col("_cm") / F.col("_bm")))
     g = j.agg(
         ratio(F.avg("_cm"), F.avg("_bm")).alias("global_mean_ratio"),
+        ratio(F.avg("_cv"), F.avg("_bv")).alias("global_variance_ratio"),
         ratio(F.avg("_cz"), F.avg("_bz")).alias("zero_fraction_ratio"),
+        (F.avg("_cz") - F.avg("_bz")).alias("zero_fraction_delta"),
         F.count("_r").alias("n_positive_genes"),
     )
     q = exact_quantiles(j, (), "_r", {"median_gene_ratio": 0.5})
@@ -317,7 +334,11 @@ def level_curve(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 
 def group_diagnostics(left: DataFrame, right: DataFrame, by: Sequence[str]) -> DataFrame:
-    """Correlate two label × feature tables label by label (absent cell = 0)."""
+    """Correlate two label × feature tables label by label.
+
+    Give ``class_means`` over the whole panel: a feature that is in neither
+    table does not count.  One absent from a single table is 0 there.
+    """
     keys = [*by, "feature_id"]
     cols = ("mean", "variance", "zero_fraction")
     a = left.select(*keys, *[F.col(c).alias(f"a_{c}") for c in cols])

@@ -129,10 +129,10 @@ def predict(model: DataFrame, target: DataFrame, by: Sequence[str] = (), label:
 THETA_FLOOR = 1e-10
 
 
-def gene_theta(counts: DataFrame, obs: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """log mean, log dispersion ratio and logit zero share of every feature."""
+def gene_theta(counts: DataFrame, obs: DataFrame, by: Sequence[str] = (), features: DataFrame | None = None) -> DataFrame:
+    """log mean, log dispersion ratio and logit zero share of every feature (of the panel, if given)."""
     eps = F.lit(THETA_FLOOR)
-    g = gene_stats(counts, obs, by)
+    g = gene_stats(counts, obs, by, features)
     p = F.least(F.greatest("zero_fraction", eps), 1.0 - eps)
     m = F.greatest("mean", eps)
     return g.select(
