@@ -213,8 +213,7 @@ def _(t: Tables):
 
 
 MMD = {
-    "picked": "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY batch ORDER BY obs_id) AS o FROM points) WHERE o <= 1000",
-    "pd": "SELECT a.batch AS ba, b.batch AS bb, list_distance(a.vec, b.vec) AS d FROM picked a CROSS JOIN picked b",
+    "pd": "SELECT a.batch AS ba, b.batch AS bb, list_distance(a.vec, b.vec) AS d FROM points a CROSS JOIN points b",
     "bw": "SELECT quantile_cont(d, 0.5::DOUBLE) AS w FROM pd WHERE d > 0",
 }
 
@@ -253,11 +252,17 @@ def _(t: Tables):
     return dist.linear_cka(p, "vec", "other")
 
 
+DRAWN = {
+    "dpos": "SELECT *, row_number() OVER (ORDER BY obs_id) - 1 AS pos, count(*) OVER () AS n FROM points",
+    "dpairs": "SELECT DISTINCT least(pos, q) AS i, greatest(pos, q) AS j FROM (SELECT pos, (pos + 1 + (pos * 7919 + t * 104729) % (n - 1)) % n AS q FROM dpos CROSS JOIN range(50) r(t))",
+}
+
+
 @query("ds15_distance_spearman", sql(
     """SELECT corr(ra, rb) AS distance_spearman FROM (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2.0::DOUBLE AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2.0::DOUBLE AS rb FROM (
-    SELECT round(list_distance(p.vec, q.vec), 9) AS a, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) AS b FROM points p JOIN points q ON p.obs_id < q.obs_id))""", "distance_spearman"))
+    SELECT round(list_distance(p.vec, q.vec), 9) AS a, sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)) AS b FROM dpairs JOIN dpos p ON p.pos = i JOIN dpos q ON q.pos = j))""", "distance_spearman", extra=DRAWN))
 def _(t: Tables):
-    return neighbors.distance_spearman(t.points().withColumn("xy", F.array("x", "y")), "vec", "xy", max_pairs=5_000_000)
+    return neighbors.distance_spearman(t.points().withColumn("xy", F.array("x", "y")), "vec", "xy", draws=50)
 
 
 @query("ds16_theta_rmse", sql(

@@ -26,7 +26,7 @@ def _(t: Tables):
 @query("nn1_knn_grid", sql("SELECT src, dst, rank, d2 FROM knn6", "d2", "rank"))
 def _(t: Tables):
     p = t.points().select("obs_id", "x", "y")
-    return neighbors.nearest(p, p, 6, same=True, small=False)
+    return neighbors.nearest(p, p, 6, same=True)
 
 
 @query("nn1_knn_suppliers", sql(knn_sql(6, points="obs"), "d2", "rank"))

@@ -30,12 +30,11 @@ from pyspark.sql import types as T
 
 from tallyscope.functions.exprs import attach, attach_keyed, squared_distance
 from tallyscope.functions.ordered import exact_quantiles
-from tallyscope.functions.session import input_bytes
+from tallyscope.functions.session import checkpointed
 
 FINEST = 30
 CROWDED = 16
 BLOCK_ROWS = 4096
-SMALL_POINTS = 2 << 20
 
 
 def _cell_columns(dims: Sequence[str]) -> list[str]:
@@ -57,27 +56,16 @@ def _at_level(df: DataFrame, dims: Sequence[str], level) -> DataFrame:
 
 def nearest(
     query: DataFrame, ref: DataFrame, k: int, dims: Sequence[str] = ("x", "y"), by: Sequence[str] = (),
-    id_col: str = "obs_id", same: bool = False, small: bool | None = None,
+    id_col: str = "obs_id", same: bool = False,
 ) -> DataFrame:
     """(by…, src, dst, rank, d2): the k nearest ``ref`` rows of every query row.
 
     Order is squared distance, then id.  With ``same`` the two tables are one
-    and a row is not its own neighbour.  Little data is searched block against
-    block in a few tasks, anything else through the grid; both are exact.
+    and a row is not its own neighbour.  The search goes through levels of grid
+    cells at every size, see the head of this module.  Levels end ``FINEST``
+    halvings below the box: points closer than that share cells, which costs
+    time but no neighbour.
     """
-    if small is None:
-        small = max(input_bytes(query), input_bytes(ref)) <= SMALL_POINTS
-    if not small:
-        return grid_nearest(query, ref, k, dims, by, id_col, same)
-    query = query.withColumn("_xy", F.array(*dims))
-    return knn_vectors(query, None if same else ref.withColumn("_xy", F.array(*dims)), k, by, id_col, "_xy")
-
-
-def grid_nearest(
-    query: DataFrame, ref: DataFrame, k: int, dims: Sequence[str] = ("x", "y"), by: Sequence[str] = (),
-    id_col: str = "obs_id", same: bool = False,
-) -> DataFrame:
-    """``nearest`` through levels of grid cells, see the head of this module."""
     need = k + 1 if same else k
     keys, added = list(by), not by
     if added:
@@ -378,72 +366,91 @@ def retrieval_summary(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return attach(s, exact_quantiles(rows, by, "rank", {"median_rank": 0.5}), by)
 
 
-def bounded_sample(df: DataFrame, n: int, by: Sequence[str], id_col: str, seed: int = 0) -> DataFrame:
-    """n rows per group in hash order; repeatable and independent of partitions."""
-    order = F.row_number().over(Window.partitionBy(*by).orderBy(F.xxhash64(F.col(id_col), F.lit(seed)), id_col))
-    return df.withColumn("_o", order).where(F.col("_o") <= n).drop("_o")
-
+def mmd2_rbf(df: DataFrame, batch: str, first, second, by: Sequence[str] = (), id_col: str = "obs_id", vec: str = "vec", block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """Biased RBF-MMD² over all rows, with the median positive distance as bandwidth.
 
-def mmd2_rbf(df: DataFrame, batch: str, first, second, by: Sequence[str] = (), id_col: str = "obs_id", vec: str = "vec", max_per_batch: int = 1000, seed: int = 0) -> DataFrame:
-    """Biased RBF-MMD² with the median positive distance as bandwidth.
-
-    The operator is defined on at most ``max_per_batch`` rows per batch, so a
-    group never exceeds two such samples and is evaluated by one small task.
+    The median is selected exactly: distances are positive doubles, which sort
+    like their bits, so four passes over the block pairs count them by 16 more
+    bits each.  A task returns counts and sums, never distances.  NULL if a
+    batch is empty.
     """
-    s = bounded_sample(df.where(F.col(batch).isin(first, second)), max_per_batch, [*by, batch], id_col, seed)
     keys, added = list(by), not by
     if added:
-        s, keys = s.withColumn("_k", F.lit(0)), ["_k"]
-    s = s.select(*keys, F.transform(vec, lambda v: v.cast("double")).alias("vec"), (F.col(batch) == F.lit(first)).alias("_first"))
-    fields = T.StructType([f for f in s.schema.fields if f.name in by])
-    schema = T.StructType([*fields.fields, T.StructField("mmd2", T.DoubleType()), T.StructField("bandwidth", T.DoubleType())])
-
-    def score(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        d2 = np.concatenate([d for _, d in distance_chunks(pdf, pdf)])
-        d = np.sqrt(d2)
-        positive = d[d > 0]
-        width = float(np.median(positive)) if positive.size else 1.0
-        kernel = np.exp(-d2 / (2.0 * max(width, 1e-12) ** 2))
-        f = pdf["_first"].to_numpy(dtype=bool)
-        if not f.any() or f.all():
-            value = None
-        else:
-            value = max(float(kernel[f][:, f].mean() + kernel[~f][:, ~f].mean() - 2.0 * kernel[f][:, ~f].mean()), 0.0)
-        row = {n: [key[i]] for i, n in enumerate(fields.names)}
-        return pd.DataFrame({**row, "mmd2": [value], "bandwidth": [width]})
-
-    return s.groupBy(*keys).applyInPandas(score, schema)
+        df, keys = df.withColumn("_k", F.lit(0)), ["_k"]
+    rows = df.where(F.col(batch).isin(first, second)).select(*keys, F.col(id_col), F.col(vec), (F.col(batch) == F.lit(first)).alias("_first"))
+
+    def pass_over(sides: DataFrame, extra: Sequence[str], fn, schema: str) -> DataFrame:
+        return blocked(sides, rows, fn, schema, keys, id_col, vec, extra, ["_first"], block_rows)
+
+    # both middle places of the positive distances; pre is what is known of their bits
+    marks = None
+    for step in range(4):
+        shift = 48 - 16 * step
+        sides = rows if marks is None else rows.join(checkpointed(marks.groupBy(*keys).agg(F.collect_list("_pre").alias("_pres"))), keys)
+
+        def count(a: pd.DataFrame, b: pd.DataFrame, shift=shift, step=step) -> pd.DataFrame:
+            totals: dict[int, int] = {}
+            known = None if step == 0 else np.unique(np.asarray(a["_pres"].iloc[0], np.int64))
+            for _, d2 in distance_chunks(a, b):
+                bits = np.sqrt(d2[d2 > 0]).view(np.int64) >> shift
+                if known is not None:
+                    bits = bits[np.isin(bits >> 16, known)]
+                for value, n in zip(*np.unique(bits, return_counts=True), strict=True):
+                    totals[int(value)] = totals.get(int(value), 0) + int(n)
+            return pd.DataFrame({"bits": np.array(list(totals), np.int64), "n": np.array(list(totals.values()), np.int64)})
+
+        counts = checkpointed(pass_over(sides, [] if step == 0 else ["_pres"], count, "bits bigint, n bigint").groupBy(*keys, "bits").agg(F.sum("n").alias("n")))
+        if marks is None:
+            total = counts.groupBy(*keys).agg(F.sum("n").alias("_t"))
+            marks = total.select(*keys, F.explode(F.array(F.floor((F.col("_t") - 1) / 2), F.floor(F.col("_t") / 2))).alias("_at")).withColumn("_pre", F.lit(0).cast("long"))
+            marks = marks.withColumn("_which", F.row_number().over(Window.partitionBy(*keys).orderBy("_at")))
+        # at most 65 536 rows per known prefix
+        upto = counts.withColumn("_p", F.shiftright("bits", 16)).withColumn(
+            "_cum", F.sum("n").over(Window.partitionBy(*keys, "_p").orderBy("bits"))
+        )
+        found = marks.join(upto, keys).where((F.col("_p") == F.col("_pre")) & (F.col("_cum") > F.col("_at")) & (F.col("_cum") - F.col("n") <= F.col("_at")))
+        marks = checkpointed(found.select(*keys, "_which", (F.col("_at") - F.col("_cum") + F.col("n")).alias("_at"), F.col("bits").alias("_pre")))
+    middle = marks.groupBy(*keys).agg(F.collect_list("_pre").alias("_bits"))
+    sides = rows.join(checkpointed(middle), keys, "left")
+
+    def kernel(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        bits = a["_bits"].iloc[0]
+        width = float(np.mean(np.asarray(bits, np.int64).view(np.float64))) if bits is not None else 1.0
+        f, g = a["_first"].to_numpy(bool), b["_first"].to_numpy(bool)
+        sums = np.zeros((2, 2))
+        for part, d2 in distance_chunks(a, b):
+            k = np.exp(-d2 / (2.0 * max(width, 1e-12) ** 2))
+            for i, rows_ in enumerate((f[part], ~f[part])):
+                for j, cols in enumerate((g, ~g)):
+                    sums[i, j] += k[rows_][:, cols].sum()
+        pairs = [[int(x.sum()) * int(y.sum()) for y in (g, ~g)] for x in (f, ~f)]
+        return pd.DataFrame({"w": [width], "s11": sums[0, 0], "s22": sums[1, 1], "s12": sums[0, 1], "n11": pairs[0][0], "n22": pairs[1][1], "n12": pairs[0][1]})
+
+    sums = pass_over(sides, ["_first", "_bits"], kernel, "w double, s11 double, s22 double, s12 double, n11 bigint, n22 bigint, n12 bigint")
+    g = sums.groupBy(*keys).agg(F.max("w").alias("bandwidth"), *[F.sum(c).alias(c) for c in ("s11", "s22", "s12", "n11", "n22", "n12")])
+    value = F.greatest(F.col("s11") / F.col("n11") + F.col("s22") / F.col("n22") - 2.0 * F.col("s12") / F.col("n12"), F.lit(0.0))
+    return g.select(*by, F.when((F.col("n11") > 0) & (F.col("n22") > 0), value).alias("mmd2"), "bandwidth")
 
 
 def distance_spearman(
-    df: DataFrame, left: str, right: str, id_col: str = "obs_id", max_pairs: int = 100_000, seed: int = 0
+    df: DataFrame, left: str, right: str, draws: int, id_col: str = "obs_id", seed: int = 0
 ) -> DataFrame:
-    """Spearman of pairwise distances in two embeddings of the same rows.
+    """Spearman of pairwise distances in two embeddings of the same rows, over drawn pairs.
 
-    Up to ``max_pairs`` pairs: all of them when the table is small enough, else
-    distinct unordered pairs of hash-drawn positions.  Pairs are drawn, not
-    enumerated, and both ends are fetched by an equi-join on the position.
+    Row i of n (by id, from 0) is paired with the rows i + 1 + (i · 7919 + t ·
+    104729 + seed) mod (n − 1), modulo n, for t below ``draws``; a pair drawn
+    twice counts once.  The number of pairs so grows with the rows, never with
+    their square, and both ends are fetched by an equi-join on the position.
     """
     from tallyscope.functions.ordered import positions
     from tallyscope.operators.correlation import spearman
 
-    placed = positions(df.select(F.col(id_col).alias("_id"), left, right), (), "_id", "pos")
+    placed = checkpointed(positions(df.select(F.col(id_col).alias("_id"), left, right), (), "_id", "pos"))
     total = placed.agg(F.count(F.lit(1)).alias("n"))
-    n = F.col("n")
-    few = n * (n - 1) / 2 <= max_pairs
-    # row i of a small table pairs with all later rows; of a large one with its share of draws
-    each = F.ceil(F.lit(2.0 * max_pairs) / n).cast("long")
-    partners = F.when(few, F.sequence(F.col("pos") + 1, F.greatest(n - 1, F.col("pos") + 1))).otherwise(
-        F.transform(
-            F.sequence(F.lit(0).cast("long"), each - 1),
-            lambda j: F.pmod(F.xxhash64(F.col("pos"), j, F.lit(seed)), n),
-        )
-    )
-    ends = attach(placed.select("pos"), total, ()).select("pos", "n", F.explode(partners).alias("_q")).where(
-        (F.col("_q") != F.col("pos")) & (F.col("_q") < n)
-    )
-    pairs = ends.select(F.least("pos", "_q").alias("i"), F.greatest("pos", "_q").alias("j")).distinct()
-    pairs = pairs.orderBy(F.xxhash64("i", "j", F.lit(seed)), "i", "j").limit(max_pairs)
+    drawn = attach(placed.select("pos"), total, ()).where("n > 1").withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))
+    step = F.pmod(F.col("pos") * 7919 + F.col("_t").cast("long") * 104_729 + seed, F.col("n") - 1)
+    other = F.pmod(F.col("pos") + 1 + step, F.col("n"))
+    pairs = drawn.select("pos", other.alias("_q")).select(F.least("pos", "_q").alias("i"), F.greatest("pos", "_q").alias("j")).distinct()
 
     def dist(u: str, v: str):
         return F.sqrt(F.aggregate(

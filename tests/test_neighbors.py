@@ -3,6 +3,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tallyscope.operators import graph, neighbors
 
@@ -31,15 +32,16 @@ def layouts():
 def test_grid_search_is_exact(spark, name):
     pdf = pd.DataFrame(layouts()[name], columns=["x", "y"]).assign(obs_id=lambda d: np.arange(len(d)))
     df = spark.createDataFrame(pdf)
-    e = neighbors.nearest(df, df, 5, same=True, small=False)
+    e = neighbors.nearest(df, df, 5, same=True)
     assert {(r.src, r.dst, r["rank"]) for r in e.collect()} == brute(pdf, pdf, 5, True)
 
 
-def test_small_and_large_plan_agree_by_group(spark):
+def test_grid_and_block_search_agree_by_group(spark):
     rng = np.random.default_rng(2)
     pdf = pd.DataFrame({"obs_id": np.arange(120), "g": np.arange(120) % 3, "x": rng.normal(size=120), "y": rng.normal(size=120)})
     df = spark.createDataFrame(pdf)
-    a, b = (neighbors.nearest(df, df, 4, by=["g"], same=True, small=s).select("g", "src", "dst", "rank") for s in (True, False))
+    b = neighbors.nearest(df, df, 4, by=["g"], same=True).select("g", "src", "dst", "rank")
+    a = neighbors.knn_vectors(df.withColumn("vec", F.array("x", "y")), None, 4, ["g"]).select("g", "src", "dst", "rank")
     assert a.exceptAll(b).count() == b.exceptAll(a).count() == 0
     assert graph.graph_audit(b, ["g"]).where("n_self_edges > 0 or min_out_degree <> 4").count() == 0
 
@@ -48,7 +50,7 @@ def test_grid_search_between_two_sets(spark):
     rng = np.random.default_rng(4)
     q = pd.DataFrame(rng.uniform(0, 2, size=(50, 2)), columns=["x", "y"]).assign(obs_id=np.arange(50))
     r = pd.DataFrame(rng.uniform(0.5, 1, size=(70, 2)), columns=["x", "y"]).assign(obs_id=np.arange(70) + 1000)
-    e = neighbors.nearest(spark.createDataFrame(q), spark.createDataFrame(r), 3, small=False)
+    e = neighbors.nearest(spark.createDataFrame(q), spark.createDataFrame(r), 3)
     assert {(x.src, x.dst, x["rank"]) for x in e.collect()} == brute(q, r, 3, False)
 
 
@@ -81,14 +83,14 @@ def test_rotation_leaves_neighbour_scores_alone(spark):
     df = spark.createDataFrame([(i, v[i].tolist(), (v @ q)[i].tolist()) for i in range(30)], "obs_id long, vec array<double>, turned array<double>")
     a, b = neighbors.knn_vectors(df, None, 5), neighbors.knn_vectors(df, None, 5, vec="turned")
     assert graph.knn_jaccard(a, b, 5).first()[0] == pytest.approx(1.0)
-    assert neighbors.distance_spearman(df, "vec", "turned").first()[0] == pytest.approx(1.0)
+    assert neighbors.distance_spearman(df, "vec", "turned", 10).first()[0] == pytest.approx(1.0)
 
 
-def test_sampled_pairs_are_bounded_and_repeatable(spark):
+def test_drawn_pairs_are_repeatable(spark):
     rng = np.random.default_rng(10)
     v = rng.normal(size=(60, 3))
     df = spark.createDataFrame([(i, v[i].tolist(), (v[i] + rng.normal(size=3)).tolist()) for i in range(60)], "obs_id long, vec array<double>, b array<double>")
-    a, b = (neighbors.distance_spearman(x, "vec", "b", max_pairs=200).first()[0] for x in (df, df.repartition(5)))
+    a, b = (neighbors.distance_spearman(x, "vec", "b", draws=5).first()[0] for x in (df, df.repartition(5)))
     assert a == pytest.approx(b) and 0 < a < 1
 
 
@@ -130,3 +132,21 @@ def test_label_smoothing_ties_take_the_declared_order(spark):
     edges = spark.createDataFrame([(0, 1), (0, 2), (0, 3)], "src long, dst long")
     one = graph.smooth_labels(obs, edges, ["b", "a"], 0.5).where("obs_id = 0").first()
     assert (one.smoothed_label, one.fraction) == ("b", 0.5)
+
+
+def test_mmd_takes_every_row_at_any_block_size(spark):
+    rng = np.random.default_rng(12)
+    v = np.concatenate([rng.normal(size=(1100, 2)), rng.normal(0.4, 1.3, size=(60, 2)), np.zeros((5, 2))])
+    first = np.arange(len(v)) < 1100
+    df = spark.createDataFrame([(i, v[i].tolist(), int(not first[i])) for i in range(len(v))], "obs_id long, vec array<double>, batch int")
+    d = np.sqrt(((v[:, None] - v[None]) ** 2).sum(-1))
+    width = np.median(d[d > 0])
+    k = np.exp(-d**2 / (2 * width**2))
+    want = k[first][:, first].mean() + k[~first][:, ~first].mean() - 2 * k[first][:, ~first].mean()
+    for block in (300, 4096):
+        got = neighbors.mmd2_rbf(df, "batch", 0, 1, block_rows=block).first()
+        assert got.bandwidth == pytest.approx(width, rel=1e-12) and got.mmd2 == pytest.approx(want, rel=1e-9)
+    one = neighbors.mmd2_rbf(df.where("batch = 0").limit(3), "batch", 0, 1).first()
+    assert one.mmd2 is None
+    same = neighbors.mmd2_rbf(df.where("obs_id >= 1160").withColumn("batch", (F.col("obs_id") % 2).cast("int")), "batch", 0, 1).first()
+    assert same.bandwidth == 1.0 and same.mmd2 == 0.0
