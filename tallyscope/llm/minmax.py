@@ -11,10 +11,10 @@ is missed by all 40 bands with a probability of about 3e-7.
 2. In each bucket (equal band) the nodes are compared with one centre, the node
    whose buckets hold most rows.  Candidates that cannot reach the threshold by
    their sizes alone fall out.  Confirmed links join nodes to components.
-3. Where a bucket still holds several components, further centres follow, and at
-   last whatever pairs are left between different components of one bucket.  So
-   every candidate pair is either confirmed or refuted on full sets, or already
-   connected, and no group is ever turned into all its pairs.
+3. The nodes of buckets that still hold several components (texts that share a
+   passage, mostly) are joined exactly on the rarest shingles of their full sets.
+   So every candidate pair is confirmed or refuted on full sets, or connected
+   already, and no group is ever turned into all its pairs.
 """
 
 from __future__ import annotations
@@ -23,18 +23,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyscope.functions.session import checkpointed
-from tallyscope.llm.common import fields
+from tallyscope.llm.common import free_name
 from tallyscope.llm.links import components
 from tallyscope.llm.textbytes import BASE, BLANKS, LOWER, Hasher, blocks, buffer_of, mixed, powers, runs
 
 WORDS = 5
 BANDS = 40
 PER_BAND = 2
-STAR_ROUNDS = 2
 THRESHOLD = (75, 100)
 
 
@@ -91,8 +90,19 @@ def signatures(hashes: np.ndarray, bounds: np.ndarray, bands: int = BANDS, per_b
     return keys
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """A key for rows that are equal in id and text."""
+    return F.xxhash64(doc_id.cast("string"), text)
+
+
 def describe(docs: DataFrame, words: int = WORDS, bands: int = BANDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, node, bands) per row; node is the key of the shingle set, NULL without shingles."""
+    """(doc_id, row_key, n_shingles, node, bands) per row.
+
+    ``row_key`` is a hash of id and text, ``node`` the key of the shingle set,
+    NULL without shingles.
+    """
+    rows = docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    rows = rows.withColumn("row_key", row_key(F.col("doc_id"), F.col("text")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -107,10 +117,11 @@ def describe(docs: DataFrame, words: int = WORDS, bands: int = BANDS, id_col: st
                 keys = signatures(hashes, bounds, bands).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(some * bands)]).astype(np.int32)), pa.array(keys.ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(sizes), pa.array(node, mask=~some), lists], ["doc_id", "n_shingles", "node", "bands"]
+                    [part.column(0), part.column(2), pa.array(sizes), pa.array(node, mask=~some), lists],
+                    ["doc_id", "row_key", "n_shingles", "node", "bands"],
                 )
 
-    return fields(docs, id_col, text_col).mapInArrow(run, "doc_id long, n_shingles long, node long, bands array<long>")
+    return rows.mapInArrow(run, "doc_id long, row_key long, n_shingles long, node long, bands array<long>")
 
 
 def full_sets(docs: DataFrame, nodes: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -144,7 +155,34 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: tuple[int, int] = TH
     return joined.where(den * F.col("_i") >= num * (F.col("_n") - F.col("_i"))).select("a", "b")
 
 
-def link_nodes(docs: DataFrame, sketches: DataFrame, threshold: tuple[int, int] = THRESHOLD, words: int = WORDS, rounds: int = STAR_ROUNDS,
+def prefix_pairs(nodes: DataFrame, sets: DataFrame, threshold: tuple[int, int] = THRESHOLD) -> DataFrame:
+    """All pairs (a, b) of ``nodes(node, n, root)`` with different roots that can reach the threshold.
+
+    Sets of x and y shingles that reach t share at least s = ceil(t (x + y) / (1 + t)),
+    so in any common order they meet within the first x - s + 1 shingles of one
+    and the first y - s + 1 of the other.  For the smaller set that is a seventh
+    of its shingles at t = 0.75.  The order is rarest first, so passages that many
+    texts share come last, and shingles of a single node need no row at all.
+    """
+    num, den = threshold
+    listed = nodes.join(sets, "node").select("node", "n", "root", F.explode("shingles").alias("g"))
+    shared = checkpointed(listed.groupBy("g").agg(F.count(F.lit(1)).alias("df")).where("df > 1"))
+    own = Window.partitionBy("node")
+    place = F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("df", "g"))
+    rows = listed.join(shared, "g").select("g", "node", "n", "root", place.alias("at"))
+    rows = checkpointed(rows.where(F.col("at") + F.ceil(F.lit(num) * F.col("n") / den) <= F.col("n") + 1))
+    small = rows.where(F.col("at") + F.ceil(F.lit(2 * num) * F.col("n") / (num + den)) <= F.col("n") + 1)
+    large = rows.select("g", F.col("node").alias("b"), F.col("n").alias("_bn"), F.col("root").alias("_br"), F.col("at").alias("_bat"))
+    least = F.ceil(F.lit(num) * (F.col("n") + F.col("_bn")) / (num + den))
+    meet = (
+        (small["g"] == large["g"]) & (F.col("root") != F.col("_br"))
+        & ((F.col("n") < F.col("_bn")) | ((F.col("n") == F.col("_bn")) & (F.col("node") < F.col("b"))))
+        & (F.col("at") + least <= F.col("n") + 1) & (F.col("_bat") + least <= F.col("_bn") + 1)
+    )
+    return small.join(large, meet).select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct()
+
+
+def link_nodes(docs: DataFrame, sketches: DataFrame, threshold: tuple[int, int] = THRESHOLD, words: int = WORDS,
                id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(node, root) of linked nodes, and the confirmed links (a, b)."""
     num, den = threshold
@@ -152,40 +190,33 @@ def link_nodes(docs: DataFrame, sketches: DataFrame, threshold: tuple[int, int]
         F.min("doc_id").alias("doc_id"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")
     )
     rows = classes.select("node", "doc_id", "n", F.explode("bands").alias("band"))
-    shared = rows.groupBy("band").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1")
-    rows = checkpointed(rows.join(checkpointed(shared), "band"))
-    weight = rows.groupBy("node").agg(F.sum("_rows").alias("weight"))
-    rows = checkpointed(rows.drop("_rows").join(checkpointed(weight), "node"))
+    shared = checkpointed(rows.groupBy("band").agg(F.count(F.lit(1)).alias("_rows")).where("_rows > 1"))
+    weight = F.sum("_rows").over(Window.partitionBy("node")).alias("weight")
+    rows = checkpointed(rows.join(shared, "band").select("band", "node", "doc_id", "n", weight))
     sets = checkpointed(full_sets(docs, rows.select("node", "doc_id").distinct(), words, id_col, text_col))
 
+    centre = F.max(F.struct("weight", "node", "n"))
+    chosen = checkpointed(rows.groupBy("band").agg(centre.alias("c")).select("band", F.col("c.node").alias("_c"), F.col("c.n").alias("_cn")))
     fits = (den * F.least("n", "_cn") >= num * F.greatest("n", "_cn")) & (F.col("node") != F.col("_c"))
-    links, roots, open_ = None, None, rows.select("band", "node", "n", "weight", F.col("node").alias("root"))
-    for _ in range(rounds):
-        centre = F.max(F.struct("weight", "node", "n", "root"))
-        chosen = checkpointed(open_.groupBy("band").agg(centre.alias("c")).select("band", F.col("c.node").alias("_c"), F.col("c.n").alias("_cn"), F.col("c.root").alias("_cr")))
-        pairs = open_.join(chosen, "band").where(fits & (F.col("root") != F.col("_cr"))).select(F.least("node", "_c").alias("a"), F.greatest("node", "_c").alias("b")).distinct()
-        found = confirmed(checkpointed(pairs), sets, threshold)
-        links = checkpointed(found if links is None else links.unionByName(found).distinct())
-        roots = checkpointed(components(links))
-        marked = rows.join(roots, "node", "left").select("band", "node", "n", "weight", F.coalesce("root", "node").alias("root"))
-        settled = marked.groupBy("band").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi").select("band")
-        tried = chosen.select("band", F.col("_c").alias("node"), F.lit(True).alias("_tried"))
-        left = marked.join(checkpointed(settled), "band")
-        open_ = checkpointed(left.join(tried, ["band", "node"], "left").where("_tried is null").drop("_tried"))
-    other = open_.select("band", F.col("node").alias("_c"), F.col("n").alias("_cn"), F.col("root").alias("_cr"))
-    pairs = open_.join(other, "band").where(fits & (F.col("node") < F.col("_c")) & (F.col("root") != F.col("_cr"))).select(F.col("node").alias("a"), F.col("_c").alias("b")).distinct()
-    pairs = checkpointed(pairs)
-    if not pairs.isEmpty():
-        links = checkpointed(links.unionByName(confirmed(pairs, sets, threshold)).distinct())
-        roots = checkpointed(components(links))
+    pairs = rows.join(chosen, "band").where(fits).select(F.least("node", "_c").alias("a"), F.greatest("node", "_c").alias("b")).distinct()
+    links = checkpointed(confirmed(checkpointed(pairs), sets, threshold))
+    roots = components(links)
+
+    marked = rows.join(roots, "node", "left").select("band", "node", "n", F.coalesce("root", "node").alias("root"))
+    unsettled = checkpointed(marked.groupBy("band").agg(F.min("root").alias("_lo"), F.max("root").alias("_hi")).where("_lo < _hi").select("band"))
+    left = checkpointed(marked.join(unsettled, "band").select("node", "n", "root").distinct())
+    more = checkpointed(confirmed(checkpointed(prefix_pairs(left, sets, threshold)), sets, threshold))
+    if not more.isEmpty():
+        links = links.unionByName(more)
+        roots = components(links)
     return roots, links
 
 
 def near_duplicates(
-    docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, words: int = WORDS, bands: int = BANDS, rounds: int = STAR_ROUNDS,
+    docs: DataFrame, threshold: tuple[int, int] = THRESHOLD, words: int = WORDS, bands: int = BANDS,
     id_col: str = "doc_id", text_col: str = "text",
 ) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, node) per row.
+    """(doc_id, n_shingles, component_id, kept, node, row_key) per row.
 
     ``component_id`` is the smallest doc_id that can be reached over links, the
     row's own included; ``kept`` marks the row that bears it.  NULL and texts
@@ -194,12 +225,28 @@ def near_duplicates(
     has another id; alone it stands for itself.
     """
     sketches = checkpointed(describe(docs, words, bands, id_col, text_col))
-    roots, _ = link_nodes(docs, sketches, threshold, words, rounds, id_col, text_col)
+    roots, _ = link_nodes(docs, sketches, threshold, words, id_col, text_col)
     classes = checkpointed(sketches.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("_first")))
-    grouped = checkpointed(classes.join(roots, "node"))
+    grouped = classes.join(roots, "node")
     least = checkpointed(grouped.groupBy("root").agg(F.min("_first").alias("_least")))
     linked = grouped.join(least, "root").select("node", "_least")
     names = checkpointed(classes.join(linked, "node", "left").select("node", F.coalesce("_least", "_first").alias("_name")))
-    out = sketches.select("doc_id", "n_shingles", "node").join(names, "node", "left")
+    out = sketches.select("doc_id", "row_key", "n_shingles", "node").join(names, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("_name"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"), "node")
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, component.isNull()).alias("kept"), "node", "row_key")
+
+
+def without_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+    """``docs`` with one row of each group of near-duplicates, the one that bears its component's id.
+
+    Rows repeated in id and text leave one.  Rows without words stay all.
+    """
+    found = near_duplicates(docs, id_col=id_col, text_col=text_col, **settings)
+    flags = found.where("node is not null").groupBy("row_key").agg(F.bool_or("kept").alias("_kept"), (F.count(F.lit(1)) > 1).alias("_again"))
+    flags = checkpointed(flags.where("not _kept or _again"))
+    key, kept, again = (free_name(docs, n) for n in ("row_key", "_kept", "_again"))
+    flags = flags.select(F.col("row_key").alias(key), F.col("_kept").alias(kept), F.col("_again").alias(again))
+    marked = docs.withColumn(key, row_key(F.col(f"`{id_col}`"), F.col(f"`{text_col}`"))).join(flags, key, "left")
+    once = marked.where(F.col(kept).isNull())
+    repeated = marked.where(F.col(kept) & F.col(again)).dropDuplicates([key])
+    return once.unionByName(repeated).drop(key, kept, again)
