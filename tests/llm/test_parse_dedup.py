@@ -27,8 +27,9 @@ def brute(rows, length):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize(("length", "trigger"), [(100, 24), (20, 6)])
-def test_like_brute_force(spark, words, length, trigger):
+@pytest.mark.parametrize(("length", "trigger", "few"), [(100, 24, 32), (20, 6, 32), (20, 6, 3), (100, 24, 0)])
+def test_like_brute_force(spark, words, monkeypatch, length, trigger, few):
+    monkeypatch.setattr("tallyscope.llm.parse_dedup.FEW", few)
     rng, rows = random.Random(length), []
     passages = [words(30) for _ in range(6)]
     for i in range(50):
@@ -45,7 +46,7 @@ def test_every_string_has_one_trigger_that_depends_on_it_alone():
     rng = np.random.default_rng(0)
     data = np.frombuffer(bytes(rng.integers(97, 99, 3000, np.uint8)), np.uint8)
     offsets = np.array([0, 700, 700, 790, 3000])
-    text, start, count, wh, _ = phrases(data, offsets, 100, 24)
+    text, start, count, _, wh, _ = phrases(data, offsets, 100, 24)
     covered = {}
     for t, s, n, w in zip(text, start, count, wh):
         for x in range(s, s + n):
@@ -68,12 +69,12 @@ def test_chunks_of_a_long_text_agree(monkeypatch):
     whole = p.phrases(data, offsets, 100, 24)
     monkeypatch.setattr(p, "CHUNK", 997)
     cut = p.phrases(data, offsets, 100, 24)
-    spread = lambda f: {(t, s + i): w for t, s, n, w in zip(*f[:4]) for i in range(n)}
+    spread = lambda f: {(t, s + i): w for t, s, n, _, w, _ in zip(*f) for i in range(n)}
     assert spread(whole) == spread(cut)
 
 
 def test_kept_bytes_and_empty_table(spark):
     docs = spark.createDataFrame([(1, "a" * 30), (2, "b" + "a" * 30)], "doc_id long, text string")
     got = {r.doc_id: bytes(r.kept) for r in remove_repeats(docs, 20, 6, with_text=True).collect()}
-    assert got == {1: b"", 2: b"b"}
+    assert got == {1: b"a", 2: b"b"}
     assert remove_repeats(spark.createDataFrame([], "doc_id long, text string")).collect() == []
