@@ -1,35 +1,25 @@
 """Exact ordered statistics that never put a large group into one task.
 
 A plain ``sum() over (partition by key order by v)`` sends every row of a key
-to one task, which is right for small inputs and fatal when a third of a huge
-table shares one key.  The input is therefore sized before the plan is chosen:
-
-* up to ``SMALL_INPUT`` bytes behind the frame: one plain window;
-* beyond it (or on request) a large key is cut into value ranges, the ranges are
-  summed on their own, and the few range totals carry the offsets.  The frame is
-  checkpointed first, because it is read several times, and the cut points are
-  the values whose hash falls into a sparse class, so no sort or collect of the
-  key is needed to find them.
+to one task, which is fatal when a third of a huge table shares one key.  Here
+rows are dealt by ranges of (key, value), so a large key spans many ranges and
+small keys share one.  Ranges are summed apart, and one row per key and range
+carries the offsets.  The same plan runs at every size; the ranged rows are
+written once, so that a range and its number belong together whatever is
+computed again.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyscope.functions.exprs import attach_keyed
-from tallyscope.functions.session import checkpointed, input_bytes
-
-SMALL_INPUT = 256 << 20
-SPLIT_ROWS = 500_000
-RANGES = 256
-
-
-def is_small(df: DataFrame, split_rows: int | None) -> bool:
-    """Plain windows are safe: nothing was forced and little data is behind the frame."""
-    return split_rows is None and input_bytes(df) <= SMALL_INPUT
+from tallyscope.functions.session import checkpointed
 
 
 def compress(df: DataFrame, by: Sequence[str], value: str, weights: Mapping[str, object] | None = None) -> DataFrame:
@@ -46,68 +36,34 @@ def running_totals(
     """Add ``cum_<s>``, ``total_<s>`` for each ``s`` and ``next_<order>``.
 
     ``df`` must hold one row per (by, order).  ``cum`` includes the row itself;
-    ``next`` is the following value of the key, NULL at its end.
+    ``next`` is the following value of the key, NULL at its end.  ``split_rows``
+    sets the rows of a range; by default Spark's shuffle partitions do.
     """
     by = list(by)
-    added = not by
-    if added:
-        df, by = df.withColumn("_k", F.lit(0)), ["_k"]
-    if is_small(df, split_rows):
-        whole = Window.partitionBy(*by)
-        ordered = whole.orderBy(order)
-        upto = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        out = df.select(
-            "*", *[F.sum(s).over(upto).alias(f"cum_{s}") for s in sums], *[F.sum(s).over(whole).alias(f"total_{s}") for s in sums],
-            F.lead(order).over(ordered).alias(f"next_{order}"),
-        )
-        return out.drop("_k") if added else out
-    df, split_rows = checkpointed(df), split_rows or SPLIT_ROWS
-    large = (
-        df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > split_rows)
-        .select(*by, F.greatest(F.floor(F.col("_n") / RANGES), F.lit(1)).cast("long").alias("_stride"))
-    )
-    cuts = (
-        attach_keyed(df.select(*by, order), large, by)
-        .where(F.pmod(F.xxhash64(order), F.col("_stride")) == 0)
-        .groupBy(*by).agg(F.sort_array(F.collect_set(order)).alias("_cuts"))
-    )
-    placed = attach_keyed(df, cuts, by, "left").withColumn(
-        "_range",
-        F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(
-            F.size(F.filter("_cuts", lambda c: c <= F.col(order)))
-        ),
-    )
-    # spread by key and range: the partitioning left by the join on the key alone
-    # would satisfy the windows below and put a cut key back into one task
-    placed = placed.repartition(*[F.col(b) for b in by], F.col("_range"))
-    inner = Window.partitionBy(*by, "_range")
+    ends = [F.col(c) for c in (*by, order)]
+    dealt = df.repartitionByRange(*ends) if split_rows is None else df.repartitionByRange(max(1, math.ceil(df.count() / split_rows)), *ends)
+    ranged = checkpointed(dealt.withColumn("_p", F.spark_partition_id()))
+    inner = Window.partitionBy(*by, "_p")
     run = inner.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = placed
-    for s in sums:
-        local = local.withColumn(f"cum_{s}", F.sum(s).over(run)).withColumn(f"total_{s}", F.sum(s).over(inner))
-    local = local.withColumn(f"next_{order}", F.lead(order).over(inner.orderBy(order)))
-
-    across = Window.partitionBy(*by).orderBy("_range")
-    before = across.rowsBetween(Window.unboundedPreceding, -1)
-    ranges = (
-        placed.where(F.col("_cuts").isNotNull())
-        .groupBy(*by, "_range")
-        .agg(F.min(order).alias("_first"), *[F.sum(s).alias(f"_s_{s}") for s in sums])
+    local = ranged.select(
+        "*", *[F.sum(s).over(run).alias(f"_run_{s}") for s in sums], F.lead(order).over(inner.orderBy(order)).alias("_next")
     )
-    ranges = ranges.select(
-        *by, "_range",
-        F.lead("_first").over(across).alias("_following"),
-        *[F.coalesce(F.sum(f"_s_{s}").over(before), F.lit(0)).alias(f"_off_{s}") for s in sums],
+    # one row per key and range from here on
+    parts = ranged.groupBy(*by, "_p").agg(F.min(order).alias("_first"), *[F.sum(s).alias(f"_s_{s}") for s in sums])
+    across = Window.partitionBy(*by).orderBy("_p")
+    before = across.rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(
+        *[F.col(c).alias(f"_by_{c}") for c in by], F.col("_p").alias("_part"), F.lead("_first").over(across).alias("_following"),
+        *[F.sum(f"_s_{s}").over(before).alias(f"_off_{s}") for s in sums],
         *[F.sum(f"_s_{s}").over(Window.partitionBy(*by)).alias(f"_all_{s}") for s in sums],
     )
-    joined = local.join(ranges, [*by, "_range"], "left")
-    out = joined.select(
-        *[c for c in df.columns if not (added and c == "_k")],
-        *[(F.col(f"cum_{s}") + F.coalesce(F.col(f"_off_{s}"), F.lit(0))).alias(f"cum_{s}") for s in sums],
-        *[F.coalesce(F.col(f"_all_{s}"), F.col(f"total_{s}")).alias(f"total_{s}") for s in sums],
-        F.coalesce(F.col(f"next_{order}"), F.col("_following")).alias(f"next_{order}"),
+    same = reduce(and_, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by], F.col("_p") == F.col("_part"))
+    return local.join(parts, same).select(
+        *df.columns,
+        *[(F.col(f"_run_{s}") + F.coalesce(F.col(f"_off_{s}"), F.lit(0))).alias(f"cum_{s}") for s in sums],
+        *[F.col(f"_all_{s}").alias(f"total_{s}") for s in sums],
+        F.coalesce("_next", "_following").alias(f"next_{order}"),
     )
-    return out
 
 
 def exact_quantiles(
@@ -119,11 +75,6 @@ def exact_quantiles(
     ``weight`` is an optional integer multiplicity of the row.  Groups without
     a non-NULL value do not appear.
     """
-    if is_small(df, split_rows):
-        args = [F.col(weight)] if weight else []
-        rows = df.where(F.col(value).isNotNull())
-        g = rows.groupBy(*by).agg(*[F.percentile(value, F.lit(float(p)), *args).alias(name) for name, p in probs.items()])
-        return g
     c = compress(df, by, value, {"_w": F.sum(weight) if weight else F.count(F.lit(1))})
     t = running_totals(c, by, value, ["_w"], split_rows)
     first, last, total = F.col("cum__w") - F.col("_w"), F.col("cum__w"), F.col("total__w")

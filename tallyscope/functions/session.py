@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -18,6 +20,9 @@ SKEW_SETTINGS = {
 }
 
 
+_OWN: list[str] = []
+
+
 def guard_against_skew(spark: SparkSession) -> SparkSession:
     """Runtime settings the operators count on; safe to repeat."""
     for key, value in SKEW_SETTINGS.items():
@@ -40,12 +45,22 @@ def local_session(cores: int | str = "*", app: str = "tallyscope", memory: str =
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a local one only where none is set."""
+    """The folder the cluster names in ``spark.checkpoint.dir``.
+
+    Only where driver and executors are one process, and no folder is set, is a
+    temporary one made; it goes when the process ends.  On a cluster without the
+    setting this fails, since executors could not see each other's files.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not folder:
-        folder = getattr(checkpoint_folder, "_local", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-        checkpoint_folder._local = folder
-    return folder
+    if folder:
+        return folder
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    if not _OWN:
+        _OWN.append(tempfile.mkdtemp(prefix="spark-"))
+        atexit.register(shutil.rmtree, _OWN[0], ignore_errors=True)
+    return _OWN[0]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -62,15 +77,3 @@ def checkpointed(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession, "frame")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def input_bytes(df: DataFrame) -> float:
-    """Bytes of the sources behind a frame, from the planner's leaf statistics.
-
-    Unknown counts as infinite, so callers fall back to the plan for large data.
-    """
-    try:
-        leaves = df._jdf.queryExecution().analyzed().collectLeaves()
-        return float(sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())))
-    except Exception:  # noqa: BLE001  no such statistics in this session
-        return float("inf")
