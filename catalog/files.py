@@ -13,7 +13,8 @@ from tallyscope.sources import readers, writers
 @query("io1_read_wide_counts", sql(
     """SELECT * FROM (SELECT CAST(o_custkey AS VARCHAR) AS obs_id, o_orderpriority AS feature_id, count(*) AS value FROM orders GROUP BY 1, 2) WHERE value > 0"""))
 def _(t: Tables):
-    wide = t.read("orders").groupBy(F.col("o_custkey").cast("string").alias("cell")).pivot("o_orderpriority").agg(F.count(F.lit(1))).fillna(0)
+    levels = ["1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"]
+    wide = t.read("orders").groupBy(F.col("o_custkey").cast("string").alias("cell")).pivot("o_orderpriority", levels).agg(F.count(F.lit(1))).fillna(0)
     path = scratch_path(t.spark, "wide")
     writers.write_table(wide, path, fmt="csv", header=True)
     long, reason = readers.read_wide_counts(t.spark, path)
@@ -103,7 +104,7 @@ def _(t: Tables):
     path = scratch_path(t.spark, "blueprint")
     nested = s.select(F.struct(F.col("l_returnflag").alias("age")).alias("metadata"), F.array(entry).alias("slices"))
     writers.write_table(nested, path, fmt="json", compression="gzip")
-    return readers.explode_blueprint(t.spark.read.schema(readers.BLUEPRINT_SCHEMA).json(path))
+    return readers.read_blueprint(t.spark, path)
 
 
 @query("io9_write_table", sql("SELECT o_orderstatus, count(*) AS n FROM orders GROUP BY 1"))
@@ -121,12 +122,12 @@ def _(t: Tables):
     return writers.append_manifest(m.where("l_linestatus = 'F'").drop("l_linestatus"), m.where("l_linestatus = 'O'").drop("l_linestatus"), ["k"])
 
 
-@query("io11_append_metrics", sql("SELECT sample AS job_id, method, quantity, discount, tax FROM metric_wide WHERE sample IN (1, 2, 3)", "quantity discount tax"))
+@query("io11_append_metrics", sql("SELECT sample AS job_id, method, quantity, discount, tax FROM metric_wide", "quantity discount tax"))
 def _(t: Tables):
     path = scratch_path(t.spark, "metrics")
     w = t.metric_long().withColumnRenamed("sample", "job_id")
     writers.append_metrics(w.where("job_id <= 2"), path)
-    writers.append_metrics(w.where("job_id = 3"), path)
+    writers.append_metrics(w.where("job_id > 2"), path)
     return t.spark.read.schema("method int, quantity double, discount double, tax double, job_id int").parquet(path).select("job_id", "method", *METRICS)
 
 

@@ -59,9 +59,9 @@ def _(t: Tables):
     return pairing.common_features(t.features().select("feature_id", "brand"), sim)
 
 
-@query("jn4_intersect_panel", sql("SELECT l_partkey AS feature_id FROM lineitem WHERE l_quantity > 40 GROUP BY 1 HAVING count(DISTINCT l_returnflag) = 3"))
+@query("jn4_intersect_panel", sql("SELECT l_partkey AS feature_id FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) = 3"))
 def _(t: Tables):
-    rows = t.read("lineitem").where("l_quantity > 40").select(F.col("l_partkey").alias("feature_id"), F.col("l_returnflag").alias("dataset"))
+    rows = t.read("lineitem").select(F.col("l_partkey").alias("feature_id"), F.col("l_returnflag").alias("dataset"))
     return pairing.intersect_panel(rows)
 
 
@@ -155,10 +155,10 @@ def _(t: Tables):
 
 
 VOX = {
-    "lut": "SELECT n_nationkey AS struct_id, n_regionkey + 1 AS region_id FROM nation WHERE n_nationkey < 20",
+    "lut": "SELECT n_nationkey AS struct_id, n_regionkey + 1 AS region_id FROM nation",
     "vox": "SELECT DISTINCT 'E' || CAST(l_linenumber % 2 + 11 AS VARCHAR) || '.5' AS age, l_partkey % 40 AS i, l_suppkey % 25 AS j, l_orderkey % 30 AS k FROM lineitem",
     "labelled": "SELECT age, i, j, k, CASE WHEN s = 0 THEN 0 ELSE coalesce(region_id, 9) END AS region_id FROM (SELECT *, (i * 7 + j * 3 + k) % 26 AS s FROM vox) LEFT JOIN lut ON struct_id = s",
-    "kept": "SELECT age, i, j, k, round(2.0::DOUBLE * i + 0.5::DOUBLE * k + 5.0, 9) AS x, round(1.5::DOUBLE * k - 3.0, 9) AS y, region_id FROM labelled WHERE region_id BETWEEN 1 AND 4",
+    "kept": "SELECT age, i, j, k, round(2.0::DOUBLE * i + 0.5::DOUBLE * k + 5.0, 9) AS x, round(1.5::DOUBLE * k - 3.0, 9) AS y, region_id FROM labelled WHERE region_id BETWEEN 1 AND 8",
     "planes": "SELECT age, j, round(0.25::DOUBLE * j + 0.125::DOUBLE * 0 + 1.0, 2) AS z_world FROM kept GROUP BY 1, 2",
 }
 
@@ -170,7 +170,7 @@ def _voxels(t: Tables):
         (F.col("l_suppkey") % 25).alias("j"), (F.col("l_orderkey") % 30).alias("k"),
     ).distinct()
     v = v.withColumn("struct_id", (F.col("i") * 7 + F.col("j") * 3 + F.col("k")) % 26)
-    lut = t.read("nation").where("n_nationkey < 20").select(F.col("n_nationkey").cast("long").alias("struct_id"), (F.col("n_regionkey") + 1).alias("region_id"))
+    lut = t.read("nation").select(F.col("n_nationkey").cast("long").alias("struct_id"), (F.col("n_regionkey") + 1).alias("region_id"))
     return pairing.map_volume(v, lut)
 
 
@@ -183,8 +183,8 @@ AFFINE = [[2.0, 0.0, 0.5, 5.0], [0.0, 0.0, 1.5, -3.0], [0.0, 0.25, 0.0, 1.0], [0
 
 
 def _blueprint(t: Tables):
-    schema = t.read("nation").select(F.col("n_nationkey").alias("region_id")).where("region_id < 10").withColumns({
-        "region_label": F.concat(F.lit("region_"), F.col("region_id").cast("string")), "include": F.col("region_id").between(1, 4),
+    schema = t.read("nation").select(F.col("n_nationkey").alias("region_id")).withColumns({
+        "region_label": F.concat(F.lit("region_"), F.col("region_id").cast("string")), "include": F.col("region_id").between(1, 8),
     })
     return voxel.extract_blueprint(_voxels(t).withColumn("region_id", F.col("region_id").cast("int")), AFFINE, schema)
 
@@ -221,7 +221,7 @@ def _(t: Tables):
         "segment": t.read("customer").select(F.col("c_mktsegment").alias("segment")), "priority": t.read("orders").select(F.col("o_orderpriority").alias("priority")),
         "status": t.read("orders").select(F.col("o_orderstatus").alias("status")),
     }
-    extra = t.read("region").limit(1).select(F.lit("extra").alias("segment"), F.lit("5-LOW").alias("priority"), F.lit("P").alias("status"))
+    extra = t.read("region").agg(F.count(F.lit(1))).select(F.lit("extra").alias("segment"), F.lit("5-LOW").alias("priority"), F.lit("P").alias("status"))
     return pairing.expected_keys(levels, (F.col("priority") == "5-LOW") & (F.col("status") == "P"), extra)
 
 

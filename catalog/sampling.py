@@ -104,9 +104,9 @@ def _sets(t: Tables):
 
 
 @query("gs1_gene_set_coverage", sql(
-    "SELECT term, count(*) AS original_genes, count(u.l_partkey) AS matched_genes, count(u.l_partkey) / CAST(count(*) AS DOUBLE) AS panel_coverage, count(u.l_partkey) BETWEEN 15 AND 60 AS eligible FROM sets LEFT JOIN (SELECT DISTINCT l_partkey FROM lineitem WHERE l_quantity > 45) u ON u.l_partkey = feature_id GROUP BY 1", "panel_coverage", extra=SETS))
+    "SELECT term, count(*) AS original_genes, count(u.l_partkey) AS matched_genes, count(u.l_partkey) / CAST(count(*) AS DOUBLE) AS panel_coverage, count(u.l_partkey) BETWEEN 15 AND 60 AS eligible FROM sets LEFT JOIN (SELECT DISTINCT l_partkey FROM lineitem) u ON u.l_partkey = feature_id GROUP BY 1", "panel_coverage", extra=SETS))
 def _(t: Tables):
-    u = t.read("lineitem").where("l_quantity > 45").select(F.col("l_partkey").alias("feature_id"))
+    u = t.read("lineitem").select(F.col("l_partkey").alias("feature_id"))
     return enrich.gene_set_coverage(_sets(t), u, 15, 60)
 
 

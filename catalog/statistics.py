@@ -62,10 +62,10 @@ def _(t: Tables):
 
 
 @query("ag7_label_proportions", sql(
-    "SELECT n_nationkey AS label, coalesce(n, 0) AS n, coalesce(n, 0) / CAST((SELECT count(*) FROM customer WHERE c_acctbal > 9000) AS DOUBLE) AS proportion FROM nation LEFT JOIN (SELECT c_nationkey, count(*) AS n FROM customer WHERE c_acctbal > 9000 GROUP BY 1) ON c_nationkey = n_nationkey",
+    "SELECT n_nationkey AS label, coalesce(n, 0) AS n, coalesce(n, 0) / CAST((SELECT count(*) FROM customer) AS DOUBLE) AS proportion FROM nation LEFT JOIN (SELECT c_nationkey, count(*) AS n FROM customer GROUP BY 1) ON c_nationkey = n_nationkey",
     "proportion", "n"))
 def _(t: Tables):
-    pred = t.read("customer").where(F.col("c_acctbal") > 9000).select(F.col("c_nationkey").alias("label"))
+    pred = t.read("customer").select(F.col("c_nationkey").alias("label"))
     return stats.label_proportions(pred, t.read("nation").select(F.col("n_nationkey").alias("label")))
 
 

@@ -12,7 +12,7 @@ from tallyscope.operators.qc import INTEGER_TOLERANCE, normalize_label
 
 POSITION_NAMES = {
     # Column names of headed coordinate tables, and their meaning here.
-    "barcode": "obs_id", "pxl_col_in_fullres": "x", "pxl_row_in_fullres": "y", "x": "x", "y": "y",
+    "barcode": "obs_id", "pxl_col_in_fullres": "x", "pxl_row_in_fullres": "y", "imagecol": "x", "imagerow": "y", "x": "x", "y": "y",
 }
 POSITION_FIELDS = ("barcode", "in_tissue", "array_row", "array_col", "pxl_row_in_fullres", "pxl_col_in_fullres")
 
@@ -52,19 +52,33 @@ def integral_samples(long: DataFrame, sample: str = "sample_id") -> DataFrame:
     )
 
 
+def usable_counts(long: DataFrame, sample: str = "sample_id") -> tuple[DataFrame, DataFrame]:
+    """Counts of the samples whose values all are counts, and (sample, skip_reason) of the others."""
+    verdict = integral_samples(long, sample)
+    skipped = verdict.where("skip_reason is not null").select(sample, "skip_reason")
+    # rounded here: a failing check could be evaluated before the join
+    kept = long.join(skipped, sample, "left_anti").withColumn("value", F.rint("value").cast("long"))
+    return kept.where(F.col("value") != 0), skipped
+
+
 def to_counts(long: DataFrame) -> DataFrame:
-    """Rounded non-zero counts of a long table."""
-    return long.withColumn("value", F.rint("value").cast("long")).where(F.col("value") != 0)
+    """Non-zero counts of a long table; a value that is no whole number within the tolerance fails."""
+    v = F.col("value")
+    whole = v.isNotNull() & ~F.isnan(v) & (F.abs(v - F.rint(v)) <= INTEGER_TOLERANCE)
+    fail = F.raise_error(F.concat(F.lit("not a count: "), F.coalesce(v.cast("string"), F.lit("NULL")))).cast("double")
+    checked = long.withColumn("value", F.when(whole, v).otherwise(fail))
+    return checked.withColumn("value", F.rint("value").cast("long")).where(F.col("value") != 0)
 
 
 def read_positions(spark: SparkSession, path: str) -> DataFrame:
     """Coordinate table with or without a header line → (obs_id, x, y).
 
-    Only the first line is looked at to decide which of the two it is.
+    Only the first line is looked at to decide which of the two it is: it is a
+    header if any cell is a known column name, wherever the barcode stands.
     """
     first = spark.read.text(path).head(1)
-    cells = first[0][0].split(",") if first else []
-    headed = bool(cells) and cells[0].strip().lower() in ("barcode", "obs_id", "")
+    cells = [c.strip().strip('"') for c in first[0][0].split(",")] if first else []
+    headed = any(c.lower() in ("barcode", "obs_id") or c in POSITION_NAMES for c in cells) or cells[:1] == [""]
     if headed:
         df = spark.read.option("header", True).csv(path)
         df = df.withColumnsRenamed({c: POSITION_NAMES[c] for c in df.columns if c in POSITION_NAMES})
@@ -139,9 +153,13 @@ BLUEPRINT_SCHEMA = (
 )
 
 
-def read_blueprint(spark: SparkSession, path: str) -> DataFrame:
-    """Nested slices of parallel arrays (JSON, gzip by extension) → one row per spot."""
-    raw = spark.read.schema(BLUEPRINT_SCHEMA).option("multiLine", True).json(path)
+def read_blueprint(spark: SparkSession, path: str, multi_line: bool = False) -> DataFrame:
+    """Nested slices of parallel arrays (JSON lines, gzip by extension) → one row per spot.
+
+    ``multi_line`` reads files that hold one record over many lines; each of
+    them is then one task.
+    """
+    raw = spark.read.schema(BLUEPRINT_SCHEMA).option("multiLine", multi_line).json(path)
     return explode_blueprint(raw)
 
 

@@ -361,3 +361,67 @@ def test_manifest_keeps_the_last_row(spark):
     old = spark.createDataFrame([("a", 1, "ok"), ("b", 1, "ok")], "k string, arrival int, status string")
     new = spark.createDataFrame([("a", 1, "failed"), ("a", 2, "skipped")], "k string, arrival int, status string")
     assert {r.k: r.status for r in writers.append_manifest(old, new, ["k"]).collect()} == {"a": "skipped", "b": "ok"}
+
+
+def test_fractional_samples_are_skipped_with_a_reason(spark):
+    rows = [("s1", "a", 1.0), ("s1", "b", 0.0), ("s2", "a", 2.4), ("s3", "a", None), ("s4", "a", 3.0)]
+    long = spark.createDataFrame(rows, "sample_id string, feature_id string, value double")
+    counts, skipped = readers.usable_counts(long)
+    assert sorted((r.sample_id, r.value) for r in counts.collect()) == [("s1", 1), ("s4", 3)]
+    assert {r.sample_id: r.skip_reason for r in skipped.collect()} == {"s2": "fractional_value", "s3": "unreadable_value"}
+    with pytest.raises(Exception, match="not a count: 2.4"):
+        readers.to_counts(long.where("sample_id = 's2'")).collect()
+
+
+def test_image_positions_with_the_barcode_last(spark, tmp_path):
+    path = tmp_path / "p.csv"
+    path.write_text("imagerow,imagecol,barcode\n3.5,1.25,AA\n")
+    assert [tuple(r) for r in readers.read_positions(spark, str(path)).collect()] == [("AA", 1.25, 3.5)]
+
+
+def test_negative_shares_count_as_nothing(spark):
+    comp = spark.createDataFrame([("s", "a", 0.8), ("s", "b", -0.2), ("s", "c", 0.1)], "spot string, type string, p double")
+    got = {r.type: r.p for r in composition.with_other(comp, spark.createDataFrame([("a",), ("b",)], "type string")).collect()}
+    assert got == pytest.approx({"a": 0.8, "b": 0.0, "__other__": 0.2})
+
+
+def test_a_feature_lost_in_the_candidate_has_ratio_zero(spark):
+    cols = "feature_id string, mean double, variance double, zero_fraction double"
+    base = spark.createDataFrame([("a", 1.0, 1.0, 0.5), ("b", 2.0, 1.0, 0.5), ("c", 3.0, 1.0, 0.5), ("d", 0.0, 0.0, 1.0)], cols)
+    cand = spark.createDataFrame([("a", 0.0, 0.0, 1.0), ("b", 2.0, 1.0, 0.5), ("c", 6.0, 1.0, 0.5), ("d", 1.0, 1.0, 0.5)], cols)
+    r = stats.perturbation_audit(base, cand).first()
+    assert (r.n_positive_genes, r.median_gene_ratio) == (3, 1.0)
+
+
+def test_features_empty_on_both_sides_count(spark):
+    counts = [spark.createDataFrame(rows, "obs_id long, feature_id string, value long") for rows in ([(1, "a", 4), (2, "b", 1)], [(1, "a", 2), (2, "b", 3)])]
+    obs = spark.createDataFrame([(1, "x"), (2, "x")], "obs_id long, label string")
+    panel = spark.createDataFrame([(f,) for f in "abcd"], "feature_id string")
+    means = [stats.class_means(c, obs, features=panel) for c in counts]
+    want = np.corrcoef([2, 0.5, 0, 0], [1, 1.5, 0, 0])[0, 1]
+    assert correlation.pseudobulk_corr(*means).first().pseudobulk_corr == pytest.approx(want)
+    assert stats.group_diagnostics(*means, ["label"]).first().n_features == 4
+
+
+def test_one_group_on_a_tiny_source_is_dealt_over_ranges(spark):
+    """A key exploded from one row goes through the range plan like any other."""
+    from tallyscope.functions import ordered
+
+    df = spark.range(1).select(F.explode(F.sequence(F.lit(1), F.lit(2000))).alias("v")).withColumn("n", F.lit(1))
+    out = ordered.running_totals(df, (), "v", ["n"], 100)
+    assert out.where("cum_n <> v or total_n <> 2000").count() == 0
+    assert out.select(F.spark_partition_id().alias("p")).distinct().count() > 1
+
+
+def test_a_cluster_needs_a_shared_folder():
+    from types import SimpleNamespace
+
+    from tallyscope.functions.session import checkpoint_folder
+
+    def session(master, folder=None):
+        conf = SimpleNamespace(get=lambda key, default=None: folder)
+        return SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getConf=lambda: conf))
+
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        checkpoint_folder(session("yarn"))
+    assert checkpoint_folder(session("yarn", "hdfs://x/y")) == "hdfs://x/y"
