@@ -13,9 +13,12 @@ that overlap by less than ``LENGTH`` bytes, and no string lies across two.
 * Parse: the places of the phrases.  A phrase that has stood before repeats all
   of its strings, whatever follows.
 * Strings of different phrases can be equal only if the phrases share their
-  trigger.  Only such phrases are opened: their suffixes, cut at ``LENGTH``
-  bytes, are put in order of fingerprint and then of corpus place.  In each run
-  of equal suffixes, all but the first are repeats.
+  trigger.  Only such phrases are opened.  Few phrases with one trigger are laid
+  over each other at it, in corpus order: how far they agree to the left and to
+  the right says which strings they share.  For triggers of more phrases than
+  ``FEW`` the suffixes, cut at ``LENGTH`` bytes, are put in order of fingerprint
+  and then of corpus place; in each run of equal ones all but the first are
+  repeats.  That way a hot trigger is spread over tasks by string.
 
 Dictionary and parse are far smaller than the text where text repeats much:
 copies cost one row a phrase, however many there are.
@@ -36,7 +39,8 @@ from tallyscope.llm.textbytes import BASE, Hasher, blocks, buffer_of, mixed
 
 LENGTH = 100
 TRIGGER = 24
-CHUNK = 1 << 23
+FEW = 32
+CHUNK = 1 << 20
 PLACE = np.uint64((1 << 24) - 1)
 NO_ID = -(1 << 63)
 
@@ -56,9 +60,9 @@ def least_in_windows(values: np.ndarray, width: int) -> np.ndarray:
 
 
 def phrases(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, trigger: int = TRIGGER):
-    """(text, start, count, trigger hash, phrase hash): strings start .. start + count - 1 of a text form one phrase.
+    """(text, start, count, ahead, trigger hash, phrase hash): strings start .. start + count - 1 of a text form one phrase.
 
-    ``start`` counts within the text.
+    ``start`` counts within the text, the trigger is ``ahead`` bytes after it.
     """
     out = []
     for low in range(0, max(len(data), 1), CHUNK):
@@ -85,11 +89,16 @@ def phrases(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, trigger
         a, b = a[keep], b[keep]
         p = place[a]
         key = hashes(a, b + length) * BASE + ((p - a) * 256 + (b - a)).astype(np.uint64)
-        out.append((text[a], a + low - offsets[text[a]], b - a + 1, rolled[p], mixed(key)))
+        out.append((text[a], a + low - offsets[text[a]], b - a + 1, p - a, rolled[p], mixed(key)))
     if not out:
         none = np.zeros(0, np.int64)
-        return none, none, none, none.view(np.uint64), none.view(np.uint64)
-    return tuple(np.concatenate([o[i] for o in out]) for i in range(5))
+        return none, none, none, none, none.view(np.uint64), none.view(np.uint64)
+    return tuple(np.concatenate([o[i] for o in out]) for i in range(6))
+
+
+def packed(start: np.ndarray, ahead: np.ndarray, count: np.ndarray, th: np.ndarray) -> np.ndarray:
+    """Start, trigger place, count and text hash in one number that sorts by start (texts up to 2 GB)."""
+    return (start << 32) | (ahead << 24) | (count << 16) | th
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -99,16 +108,16 @@ def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _parsed(rows: DataFrame, length: int, trigger: int) -> DataFrame:
-    """(wh, ctx, dk, pack): pack is start, count and text hash in one number that sorts by start."""
+    """(wh, ctx, dk, pack) of every phrase."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in blocks(batch, 2):
+            for part in blocks(batch, 2, CHUNK):
                 raw, offsets = buffer_of(part.column(2))
-                text, start, count, wh, ctx = phrases(raw, offsets, length, trigger)
+                text, start, count, ahead, wh, ctx = phrases(raw, offsets, length, trigger)
                 dk = part.column(0).to_numpy(zero_copy_only=False)[text]
                 th = part.column(1).to_numpy(zero_copy_only=False).astype(np.int64)[text]
-                pack = (start << 24) | (count << 16) | th
+                pack = packed(start, ahead, count, th)
                 yield pa.RecordBatch.from_arrays([pa.array(x) for x in (wh.view(np.int64), ctx.view(np.int64), dk, pack)], ["wh", "ctx", "dk", "pack"])
 
     return rows.mapInArrow(run, "wh long, ctx long, dk long, pack long")
@@ -119,53 +128,133 @@ def _triggers(rows: DataFrame, length: int, trigger: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in blocks(batch, 0):
+            for part in blocks(batch, 0, CHUNK):
                 raw, offsets = buffer_of(part.column(0))
-                wh, n = np.unique(phrases(raw, offsets, length, trigger)[3], return_counts=True)
+                wh, n = np.unique(phrases(raw, offsets, length, trigger)[4], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(wh.view(np.int64)), pa.array(np.minimum(n, 2).astype(np.int32))], ["wh", "n"])
 
     return rows.select("text").mapInArrow(run, "wh long, n int")
 
 
-def _suffixes(rows: DataFrame, length: int) -> DataFrame:
-    """(s, dk, pos) of every string of the phrases listed in ``opened``; pos sorts by start."""
+def _opened(rows: DataFrame, length: int) -> DataFrame:
+    """(key, dk, pack, phrase) of the phrases listed in ``opened``.
+
+    A phrase whose trigger few share comes as it is, under its trigger hash;
+    any other as its strings, each under its own hash and without bytes.
+    """
+    names = ["key", "dk", "pack", "phrase"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in blocks(batch, 2):
+            for part in blocks(batch, 2, CHUNK):
                 raw, offsets = buffer_of(part.column(2))
                 lists = part.column(3)
-                sizes = np.diff(lists.offsets.to_numpy())
-                pack = lists.flatten().to_numpy(zero_copy_only=False)
-                text = np.repeat(np.arange(part.num_rows), sizes)
-                start, count = pack >> 24, (pack >> 16) & 255
-                ends = np.cumsum(count)
-                at = np.repeat(start - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)
-                text = np.repeat(text, count)
-                s = Hasher(raw)(offsets[text] + at, offsets[text] + at + length)
-                dk = part.column(0).to_numpy(zero_copy_only=False)[text]
-                th = part.column(1).to_numpy(zero_copy_only=False).astype(np.int64)[text]
-                for low in range(0, max(len(s), 1), 1 << 18):
-                    high = slice(low, low + (1 << 18))
-                    yield pa.RecordBatch.from_arrays([pa.array(s.view(np.int64)[high]), pa.array(dk[high]), pa.array(((at << 24) | (1 << 16) | th)[high])], ["s", "dk", "pack"])
+                entry = lists.flatten()
+                text = np.repeat(np.arange(part.num_rows), np.diff(lists.offsets.to_numpy()))
+                pack, wh, few = (entry.field(n).to_numpy(zero_copy_only=False) for n in ("pack", "wh", "few"))
+                dk, th = (part.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+                start, count = pack >> 32, (pack >> 16) & 255
+                low = offsets[text] + start
+                size = count + length - 1
+                f = np.flatnonzero(few)
+                ends = np.cumsum(size[f])
+                source = np.repeat(low[f] - (ends - size[f]), size[f]) + np.arange(ends[-1] if len(f) else 0)
+                bytes_ = pa.Array.from_buffers(pa.binary(), len(f), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(raw[source].tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(wh[f]), pa.array(dk[text[f]]), pa.array(pack[f]), bytes_], names)
+                m = np.flatnonzero(~few)
+                ends = np.cumsum(count[m])
+                at = np.repeat(start[m] - (ends - count[m]), count[m]) + np.arange(ends[-1] if len(m) else 0)
+                text = np.repeat(text[m], count[m])
+                key = Hasher(raw)(offsets[text] + at, offsets[text] + at + length)
+                pack = packed(at, 0 * at, 0 * at + 1, th[text])
+                for i in range(0, len(key), 1 << 16):
+                    j = slice(i, i + (1 << 16))
+                    columns = [pa.array(key.view(np.int64)[j]), pa.array(dk[text][j]), pa.array(pack[j])]
+                    yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(columns[0]), pa.binary())], names)
+
+    return rows.mapInArrow(run, "key long, dk long, pack long, phrase binary")
+
+
+def overlaid(key: np.ndarray, dk: np.ndarray, pack: np.ndarray, data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(dk, pack) of strings that an earlier phrase of the same key has at the same distance from the trigger.
+
+    Rows stand in order of key and corpus place.
+    """
+    start, ahead, count, th = pack >> 32, (pack >> 24) & 255, (pack >> 16) & 255, pack & 0xFFFF
+    n, room = len(key), np.diff(bounds)
+    data = np.append(data, np.uint8(0))
+    reach = np.arange(length)
+    left = data[np.clip(bounds[:-1, None] + ahead[:, None] - 1 - reach, 0, len(data) - 1)]
+    right = data[np.clip(bounds[:-1, None] + ahead[:, None] + reach, 0, len(data) - 1)]
+    agree = lambda m, x, y: np.where((e := m[x] == m[y]).all(1), length, (~e).argmax(1))
+    out_dk, out_pack = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    lag = 1
+    while lag < n:
+        x = np.flatnonzero(key[lag:] == key[:-lag]) + lag
+        if not len(x):
+            break
+        for part in np.array_split(x, max(1, len(x) // 20_000)):
+            y = part - lag
+            before = (dk[y] != dk[part]) | (start[y] + ahead[y] != start[part] + ahead[part])
+            back = np.minimum(agree(left, part, y), np.minimum(ahead[part], ahead[y]))
+            on = np.minimum(agree(right, part, y), np.minimum(room[part] - ahead[part], room[y] - ahead[y]))
+            most = np.minimum(back, np.minimum(ahead[part], ahead[y]))
+            least = np.maximum(length - on, np.maximum(ahead[part] - count[part], ahead[y] - count[y]) + 1)
+            some = before & (most >= least)
+            i = part[some]
+            out_dk.append(dk[i])
+            out_pack.append(packed(start[i] + ahead[i] - most[some], 0 * i, most[some] - least[some] + 1, th[i]))
+        lag += 1
+    return np.concatenate(out_dk), np.concatenate(out_pack)
+
+
+def _overlaid(rows: DataFrame, length: int) -> DataFrame:
+    """(dk, pack) of repeated strings among phrases that share a trigger with few others."""
+
+    def found(t: pa.Table) -> pa.RecordBatch:
+        t = t.combine_chunks()
+        key, dk, pack = (t.column(i).to_numpy() for i in range(3))
+        phrase = t.column(3).combine_chunks() if isinstance(t.column(3), pa.ChunkedArray) else t.column(3)
+        phrase = phrase.cast(pa.large_binary())
+        _, offsets, data = phrase.buffers()
+        at = np.frombuffer(offsets, np.int64)[phrase.offset : phrase.offset + len(phrase) + 1]
+        raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]]
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in overlaid(key, dk, pack, raw, at - at[0], length)], ["dk", "pack"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if not t.num_rows:
+                continue
+            keys = t.column(0).to_numpy()
+            last = int(np.flatnonzero(keys != keys[-1])[-1]) + 1 if keys[0] != keys[-1] else 0
+            held = t.slice(last)
+            if last:
+                yield found(t.slice(0, last))
+        if held is not None:
+            yield found(held)
 
-    return rows.mapInArrow(run, "s long, dk long, pack long")
+    return rows.repartition("key").sortWithinPartitions("key", "dk", "pack").mapInArrow(run, "dk long, pack long")
 
 
 def repeated_starts(texts: DataFrame, length: int = LENGTH, trigger: int = TRIGGER) -> DataFrame:
     """(dk, pack): runs of starts whose strings also start earlier in ``texts(dk, th, text)``."""
-    start = lambda c: F.shiftright(c, 24)
+    start = lambda c: F.shiftright(c, 32)
     later = lambda: (F.col("dk") > F.col("first.dk")) | ((F.col("dk") == F.col("first.dk")) & (start("pack") > start("first.pack")))
     often = checkpointed(_triggers(texts, length, trigger).groupBy("wh").agg(F.sum("n").alias("n")).where("n > 1").select("wh"))
     parse = checkpointed(_parsed(texts, length, trigger).join(often, "wh"))
     dictionary = checkpointed(parse.groupBy("ctx").agg(F.first("wh").alias("wh"), F.min(F.struct("dk", "pack")).alias("first")))
-    shared = checkpointed(dictionary.groupBy("wh").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("wh"))
+    shared = checkpointed(dictionary.groupBy("wh").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("wh", (F.col("n") <= FEW).alias("few")))
     copies = parse.select("ctx", "dk", "pack").join(dictionary.select("ctx", "first"), "ctx").where(later()).select("dk", "pack")
-    opened = dictionary.join(shared, "wh").select("first.dk", "first.pack")
-    opened = opened.groupBy("dk", F.col("pack").bitwiseAND(0xFFFF).cast("int").alias("th")).agg(F.collect_list("pack").alias("opened"))
-    suffixes = checkpointed(_suffixes(texts.join(checkpointed(opened).hint("shuffle_hash"), ["dk", "th"]).select("dk", "th", "text", "opened"), length))
-    firsts = checkpointed(suffixes.groupBy("s").agg(F.min(F.struct("dk", "pack")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("s", "first"))
-    return copies.unionByName(suffixes.join(firsts, "s").where(later()).select("dk", "pack"))
+    opened = dictionary.join(shared, "wh").select("first.dk", "first.pack", "wh", "few")
+    entry = F.struct("pack", "wh", "few")
+    opened = opened.groupBy("dk", F.col("pack").bitwiseAND(0xFFFF).cast("int").alias("th")).agg(F.collect_list(entry).alias("opened"))
+    rows = checkpointed(_opened(texts.join(checkpointed(opened).hint("shuffle_hash"), ["dk", "th"]).select("dk", "th", "text", "opened"), length))
+    strings = rows.where("phrase is null").select("key", "dk", "pack")
+    firsts = checkpointed(strings.groupBy("key").agg(F.min(F.struct("dk", "pack")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "first"))
+    spread = strings.join(firsts, "key").where(later()).select("dk", "pack")
+    return copies.unionByName(_overlaid(rows.where("phrase is not null"), length)).unionByName(spread)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER, with_text: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -185,13 +274,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in blocks(batch, 1):
+            for part in blocks(batch, 1, CHUNK):
                 raw, offsets = buffer_of(part.column(1))
                 lists = part.column(2)
                 sizes = np.diff(lists.offsets.to_numpy())
                 pack = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
                 cover = np.zeros(len(raw) + 1, np.int64)
-                low = offsets[:-1][np.repeat(np.arange(part.num_rows), np.where(lists.is_valid().to_numpy(zero_copy_only=False), sizes, 0))] + (pack >> 24)
+                low = offsets[:-1][np.repeat(np.arange(part.num_rows), np.where(lists.is_valid().to_numpy(zero_copy_only=False), sizes, 0))] + (pack >> 32)
                 np.add.at(cover, low, 1)
                 np.add.at(cover, low + ((pack >> 16) & 255) + length - 1, -1)
                 gone = np.cumsum(cover)[:-1] > 0
