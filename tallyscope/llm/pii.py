@@ -63,15 +63,20 @@ PATTERNS = (
     ("phone", r"(?<![A-Za-z0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![A-Za-z0-9])"),
     ("name", r"(?<![\p{L}\p{N}])(?:" + _TITLES + r")\.? +\p{Lu}[\p{L}'\-]+(?: +\p{Lu}[\p{L}'\-]+)?"),
 )
-ENTITY = "|".join(f"(?:{p})" for _, p in PATTERNS)
-# A cheap look that every entity passes.
-LIKELY = r"[0-9@]|(?:" + _TITLES + r")\.? +\p{Lu}"
+# No entity begins inside a word, which the expression asks before anything else.
+ENTITY = r"(?<![\p{L}\p{N}])(?:" + "|".join(f"(?:{p})" for _, p in PATTERNS) + ")"
+# Cheap looks that every entity passes: a digit or an at sign, or else a title before a capital, for which in turn a word
+# with a title's first letter is looked for first.
+MARKED = "[0-9@]"
+TITLE_LIKE = "[" + "".join(sorted({t[0] for t in _ALL_TITLES})) + r"]\p{L}{1,8}\.? +\p{Lu}"
+TITLED = r"(?<![\p{L}\p{N}])(?:" + _TITLES + r")\.? +\p{Lu}"
 
 
 def mentions_of(text: Column) -> Column:
     """The entities of a text in order, as written; none for NULL."""
     none = F.array().cast("array<string>")
-    return F.when(text.rlike(LIKELY), F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(none)
+    likely = text.rlike(MARKED) | (text.rlike(TITLE_LIKE) & text.rlike(TITLED))
+    return F.when(likely, F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))).otherwise(none)
 
 
 def kind_of(mention: Column) -> Column:
@@ -199,7 +204,7 @@ def replace_entities(docs: DataFrame, key: str, id_col: str = "doc_id", text_col
     """
     ident, text = F.col(f"`{id_col}`"), F.col(f"`{text_col}`")
     names = docs.columns
-    found = docs.select(F.xxhash64(ident.cast("string"), text).alias("_row"), F.explode(F.array_distinct(mentions_of(text))).alias("mention"))
+    found = docs.select(F.xxhash64(ident.cast("string"), text).alias("_row"), F.explode_outer(mentions_of(text)).alias("mention")).where("mention is not null")
     found = found.select("_row", "mention", kind_of(F.col("mention")).alias("kind"))
     is_name = F.col("kind") == "name"
     found = checkpointed(found.select(
