@@ -148,11 +148,13 @@ def judge_urls(
 ) -> DataFrame:
     """(id, host, path, rule, verdict) per page.
 
-    The longest fitting rule decides.  Where none fits, the cascade does: hosts
-    of which the rules block at least ``listed_share`` of the pages are listed,
-    and pages on a listed host are blocked.  The universe is every host of the
-    corpus.  A NULL url, or one without ``://``, has empty host and path, fits
-    no rule and is allowed.  Repeated rows give repeated results.
+    The longest fitting rule decides.  Where none fits, the list does, of which
+    the page or its host may be a key: listed are the pages (host and path) that
+    the rules block, and the hosts of which they block at least ``listed_share``
+    of the pages.  One cascade holds the page keys, another the host keys; their
+    universes are all pages and all hosts of the corpus.  A NULL url, or one
+    without ``://``, has empty host and path, fits no rule and is allowed.
+    Repeated rows give repeated results.
     """
     url = F.col(f"`{url_col}`")
     parsed = pages.select(F.col(f"`{id_col}`"), host_of(url).alias("host"), path_of(url).alias("path"))
@@ -161,7 +163,12 @@ def judge_urls(
     hosts = judged.groupBy(F.col("host").alias("key")).agg(
         F.count_if(F.col("_action") == "block").alias("_blocked"), F.count(F.lit(1)).alias("_pages")
     )
-    universe = hosts.select("key", ((F.col("_blocked") > 0) & (F.col("_blocked") >= listed_share * F.col("_pages"))).alias("listed"))
-    known = with_membership(judged, "host", universe, "_listed", keys_per_part)
-    verdict = F.coalesce("_action", F.when(F.col("_listed"), F.lit("block")).otherwise(F.lit("allow")))
+    hosts = hosts.select("key", ((F.col("_blocked") > 0) & (F.col("_blocked") >= listed_share * F.col("_pages"))).alias("listed"))
+    # a host holds no slash and a path begins with one, so the two together are unique
+    page = F.concat("host", "path")
+    paths = judged.groupBy(page.alias("key")).agg(F.coalesce(F.bool_or(F.col("_action") == "block"), F.lit(False)).alias("listed"))
+    known = with_membership(judged.withColumn("_page", page), "_page", paths, "_page_listed", keys_per_part)
+    known = with_membership(known, "host", hosts, "_host_listed", keys_per_part)
+    on_list = F.col("_page_listed") | F.col("_host_listed")
+    verdict = F.coalesce("_action", F.when(on_list, F.lit("block")).otherwise(F.lit("allow")))
     return fields(known.withColumn("verdict", verdict), id_col, "host", "path", "rule", "verdict")
