@@ -26,9 +26,9 @@ from tallyscope.llm.common import fields
 from tallyscope.llm.textbytes import BLANKS, LETTERS, LOWER, Hasher, blocks, buffer_of, runs
 
 TIERS = (256, 512, 1024, 2048)
-GROUP_TOKENS = 4_000_000
+GROUP_TOKENS = 1_000_000
 STEP_TOKENS = 131_072
-KNOWN_WORDS = 1_500_000
+KNOWN_WORDS = 600_000
 SCHEMA = (
     "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, "
     "tier int, step_group long, ids array<int>"
@@ -265,7 +265,7 @@ def pack_documents(
         words, base, first = coder(tokenizer_path), TaskContext.get().partitionId() << 33, 0
         keys, lens, stream, held = [], [], [], 0
         for batch in batches:
-            for part in blocks(batch, 1, 4 << 20):
+            for part in blocks(batch, 1, 1 << 20):
                 found, bounds = words.encode(part.column(1))
                 sizes = np.diff(bounds) + 1
                 closed = np.full(len(found) + part.num_rows, end_id, np.uint32)

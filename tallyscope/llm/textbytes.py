@@ -94,7 +94,7 @@ class Hasher:
         return mixed((self.prefix[end] - self.prefix[start]) * self.inverse[start])
 
 
-def blocks(batch: pa.RecordBatch, column: int, limit: int = 8 << 20):
+def blocks(batch: pa.RecordBatch, column: int, limit: int = 2 << 20):
     """Slices of a batch whose text column holds about ``limit`` bytes at most (one longer text stands alone)."""
     column_ = batch.column(column)
     sizes = np.array([0 if x is None else x for x in pa.compute.binary_length(column_).to_pylist()], np.int64)
