@@ -46,13 +46,26 @@ SCRIPTS = (
     "".join(map(chr, [*range(0x3B1, 0x3C2), *range(0x3C3, 0x3CA)])), "".join(map(chr, [*range(0x391, 0x3A2), *range(0x3A3, 0x3AA)])),
     "".join(map(chr, range(0x5D0, 0x5EB))), "".join(map(chr, range(0x621, 0x63B))), "".join(map(chr, range(0x905, 0x93A))),
     "".join(map(chr, range(0x3041, 0x3097))), "".join(map(chr, range(0x30A1, 0x30FB))), "".join(map(chr, range(0xE0, 0xF7))), "".join(map(chr, range(0xC0, 0xD7))),
+    "".join(map(chr, range(0xF8, 0xFF))), "".join(map(chr, range(0xD8, 0xDF))), "".join(map(chr, range(0x450, 0x460))), "".join(map(chr, range(0x400, 0x410))),
+    *("".join(c for c in map(chr, range(0x100, 0x178)) if c not in "İıĸŉ" and c.islower() == low) for low in (True, False)),
+    "".join(map(chr, range(0xE01, 0xE2F))),
 )
+# Scripts of too many letters for a run: one of these stands for any.
+MANY = ((r"\p{IsHan}", "".join(map(chr, range(0x4E00, 0x4EFB)))), (r"\p{IsHangul}", "".join(map(chr, range(0xAC00, 0xACFB)))))
 
 _ALL_TITLES = (*MALE_TITLES, *FEMALE_TITLES, *NEUTRAL_TITLES)
 _TITLES = "|".join(sorted({*_ALL_TITLES, *[t.upper() for t in _ALL_TITLES]}, key=lambda t: (-len(t), t)))
-# kind, pattern; the first that fits at a place wins
+# Letters of scripts that put no blanks between words, and those of all others, which make words.
+_DENSE = r"\p{IsHan}\p{IsHiragana}\p{IsKatakana}\u30FC\p{IsHangul}\p{IsThai}\p{IsLao}\p{IsKhmer}\p{IsMyanmar}"
+_DENSE_LETTER = r"[\p{L}\p{M}\p{N}&&[" + _DENSE + "]]"
+_OTHER = r"[\p{L}\p{M}\p{N}&&[^" + _DENSE + "]]"
+_IN_WORD = "[A-Za-z0-9" + _OTHER + "]"
+_HOST = r"@(?:[A-Za-z0-9\-\p{L}\p{M}\p{N}]+\.)+[A-Za-z]{2,}"
+# kind, pattern; the first that fits at a place wins.  An address may begin where the entity before it ends; its local part is
+# of word letters, so that it does not take in Chinese text it stands behind, or else of dense letters alone.
 PATTERNS = (
-    ("email", r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@(?:[A-Za-z0-9\-]+\.)+[A-Za-z]{2,}"),
+    ("email", "(?:(?<!" + _IN_WORD + r")|\G)" + _IN_WORD + r"[A-Za-z0-9._%+\-" + _OTHER + "]*+" + _HOST),
+    ("email", "(?<!" + _DENSE_LETTER + ")" + _DENSE_LETTER + "++" + _HOST),
     ("key", r"(?<![A-Za-z0-9])AKIA[A-Z0-9]{16}(?![A-Za-z0-9])"),
     ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"),
     ("secret", r"(?<![A-Za-z0-9])(?=[0-9a-f]*[0-9])(?=[0-9a-f]*[a-f])[0-9a-f]{16,128}(?![A-Za-z0-9])"),
@@ -61,15 +74,16 @@ PATTERNS = (
     ("phone", r"(?<![A-Za-z0-9+])\+[0-9]{1,3}[ .\-]?(?:\([0-9]{1,5}\)[ .\-]?)?[0-9]{2,5}(?:[ .\-]?[0-9]{2,5}){1,4}(?![A-Za-z0-9])"),
     ("card", r"(?<![A-Za-z0-9])[0-9](?:[ \-]?[0-9]){12,18}(?![A-Za-z0-9])"),
     ("phone", r"(?<![A-Za-z0-9+])(?:\([0-9]{3}\) ?|[0-9]{3}[ .\-])[0-9]{3}[ .\-][0-9]{4}(?![A-Za-z0-9])"),
-    ("name", r"(?<![\p{L}\p{N}])(?:" + _TITLES + r")\.? +\p{Lu}[\p{L}'\-]+(?: +\p{Lu}[\p{L}'\-]+)?"),
+    ("name", "(?<!" + _IN_WORD + ")(?:" + _TITLES + r")\.? +\p{Lu}[\p{L}'\-]+(?: +\p{Lu}[\p{L}'\-]+)?"),
 )
-# No entity begins inside a word, which the expression asks before anything else.
-ENTITY = r"(?<![\p{L}\p{N}])(?:" + "|".join(f"(?:{p})" for _, p in PATTERNS) + ")"
+# What the guard of each pattern implies, asked once before all: no entity begins behind an ASCII letter or digit, but for an
+# address behind another entity.
+ENTITY = r"(?:(?<![A-Za-z0-9])|\G)(?:" + "|".join(f"(?:{p})" for _, p in PATTERNS) + ")"
 # Cheap looks that every entity passes: a digit or an at sign, or else a title before a capital, for which in turn a word
 # with a title's first letter is looked for first.
 MARKED = "[0-9@]"
 TITLE_LIKE = "[" + "".join(sorted({t[0] for t in _ALL_TITLES})) + r"]\p{L}{1,8}\.? +\p{Lu}"
-TITLED = r"(?<![\p{L}\p{N}])(?:" + _TITLES + r")\.? +\p{Lu}"
+TITLED = "(?<!" + _IN_WORD + ")(?:" + _TITLES + r")\.? +\p{Lu}"
 
 
 def mentions_of(text: Column) -> Column:
@@ -112,6 +126,8 @@ def _byte(stream: Column, i: Column) -> Column:
 def _swap(char: Column, draw: Column) -> Column:
     """Another character of the same class: digit, or letter of the same script and case; marks stay."""
     out = char
+    for script, letters in MANY:
+        out = F.when(char.rlike(script), F.substring(F.lit(letters), F.pmod(draw, F.lit(len(letters))) + 1, F.lit(1))).otherwise(out)
     for alphabet in (*SCRIPTS, DIGITS):
         n = len(alphabet)
         at = F.instr(F.lit(alphabet), char)
