@@ -96,19 +96,19 @@ def phrases(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, trigger
     return tuple(np.concatenate([o[i] for o in out]) for i in range(6))
 
 
-def packed(start: np.ndarray, ahead: np.ndarray, count: np.ndarray, th: np.ndarray) -> np.ndarray:
-    """Start, trigger place, count and text hash in one number that sorts by start (texts up to 2 GB)."""
-    return (start << 32) | (ahead << 24) | (count << 16) | th
+def packed(start: np.ndarray, ahead: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Start, trigger place and count in one number that sorts by start (texts up to 2 GB)."""
+    return (start << 32) | (ahead << 24) | (count << 16)
 
 
 def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(dk, th, text): id with a number for NULL, 16 bits of the text's hash, and the text."""
+    """(dk, th, text): id with a number for NULL, the text's hash, and the text."""
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    return docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("dk"), F.pmod(F.xxhash64(text), F.lit(1 << 16)).cast("int").alias("th"), text.alias("text"))
+    return docs.select(F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(NO_ID)).alias("dk"), F.xxhash64(text).alias("th"), text.alias("text"))
 
 
 def _parsed(rows: DataFrame, length: int, trigger: int) -> DataFrame:
-    """(wh, ctx, dk, pack) of every phrase."""
+    """(wh, ctx, dk, th, pack) of every phrase."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -116,11 +116,11 @@ def _parsed(rows: DataFrame, length: int, trigger: int) -> DataFrame:
                 raw, offsets = buffer_of(part.column(2))
                 text, start, count, ahead, wh, ctx = phrases(raw, offsets, length, trigger)
                 dk = part.column(0).to_numpy(zero_copy_only=False)[text]
-                th = part.column(1).to_numpy(zero_copy_only=False).astype(np.int64)[text]
-                pack = packed(start, ahead, count, th)
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (wh.view(np.int64), ctx.view(np.int64), dk, pack)], ["wh", "ctx", "dk", "pack"])
+                th = part.column(1).to_numpy(zero_copy_only=False)[text]
+                pack = packed(start, ahead, count)
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (wh.view(np.int64), ctx.view(np.int64), dk, th, pack)], ["wh", "ctx", "dk", "th", "pack"])
 
-    return rows.mapInArrow(run, "wh long, ctx long, dk long, pack long")
+    return rows.mapInArrow(run, "wh long, ctx long, dk long, th long, pack long")
 
 
 def _triggers(rows: DataFrame, length: int, trigger: int) -> DataFrame:
@@ -137,12 +137,12 @@ def _triggers(rows: DataFrame, length: int, trigger: int) -> DataFrame:
 
 
 def _opened(rows: DataFrame, length: int) -> DataFrame:
-    """(key, dk, pack, phrase) of the phrases listed in ``opened``.
+    """(key, dk, th, pack, phrase) of the phrases listed in ``opened``.
 
     A phrase whose trigger few share comes as it is, under its trigger hash;
     any other as its strings, each under its own hash and without bytes.
     """
-    names = ["key", "dk", "pack", "phrase"]
+    names = ["key", "dk", "th", "pack", "phrase"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -160,34 +160,34 @@ def _opened(rows: DataFrame, length: int) -> DataFrame:
                 ends = np.cumsum(size[f])
                 source = np.repeat(low[f] - (ends - size[f]), size[f]) + np.arange(ends[-1] if len(f) else 0)
                 bytes_ = pa.Array.from_buffers(pa.binary(), len(f), [None, pa.py_buffer(np.concatenate([[0], ends]).astype(np.int32)), pa.py_buffer(raw[source].tobytes())])
-                yield pa.RecordBatch.from_arrays([pa.array(wh[f]), pa.array(dk[text[f]]), pa.array(pack[f]), bytes_], names)
+                yield pa.RecordBatch.from_arrays([pa.array(wh[f]), pa.array(dk[text[f]]), pa.array(th[text[f]]), pa.array(pack[f]), bytes_], names)
                 m = np.flatnonzero(~few)
                 ends = np.cumsum(count[m])
                 at = np.repeat(start[m] - (ends - count[m]), count[m]) + np.arange(ends[-1] if len(m) else 0)
                 text = np.repeat(text[m], count[m])
                 key = Hasher(raw)(offsets[text] + at, offsets[text] + at + length)
-                pack = packed(at, 0 * at, 0 * at + 1, th[text])
+                pack = packed(at, 0 * at, 0 * at + 1)
                 for i in range(0, len(key), 1 << 16):
                     j = slice(i, i + (1 << 16))
-                    columns = [pa.array(key.view(np.int64)[j]), pa.array(dk[text][j]), pa.array(pack[j])]
+                    columns = [pa.array(key.view(np.int64)[j]), pa.array(dk[text[j]]), pa.array(th[text[j]]), pa.array(pack[j])]
                     yield pa.RecordBatch.from_arrays([*columns, pa.nulls(len(columns[0]), pa.binary())], names)
 
-    return rows.mapInArrow(run, "key long, dk long, pack long, phrase binary")
+    return rows.mapInArrow(run, "key long, dk long, th long, pack long, phrase binary")
 
 
-def overlaid(key: np.ndarray, dk: np.ndarray, pack: np.ndarray, data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(dk, pack) of strings that an earlier phrase of the same key has at the same distance from the trigger.
+def overlaid(key: np.ndarray, dk: np.ndarray, th: np.ndarray, pack: np.ndarray, data: np.ndarray, bounds: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
+    """(dk, th, pack) of strings that an earlier phrase of the same key has at the same distance from the trigger.
 
-    Rows stand in order of key and corpus place.
+    Rows stand in order of key, id and place of the trigger.
     """
-    start, ahead, count, th = pack >> 32, (pack >> 24) & 255, (pack >> 16) & 255, pack & 0xFFFF
+    start, ahead, count = pack >> 32, (pack >> 24) & 255, (pack >> 16) & 255
     n, room = len(key), np.diff(bounds)
     data = np.append(data, np.uint8(0))
     reach = np.arange(length)
     left = data[np.clip(bounds[:-1, None] + ahead[:, None] - 1 - reach, 0, len(data) - 1)]
     right = data[np.clip(bounds[:-1, None] + ahead[:, None] + reach, 0, len(data) - 1)]
     agree = lambda m, x, y: np.where((e := m[x] == m[y]).all(1), length, (~e).argmax(1))
-    out_dk, out_pack = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    out_dk, out_th, out_pack = ([np.zeros(0, np.int64)] for _ in range(3))
     lag = 1
     while lag < n:
         x = np.flatnonzero(key[lag:] == key[:-lag]) + lag
@@ -203,23 +203,24 @@ def overlaid(key: np.ndarray, dk: np.ndarray, pack: np.ndarray, data: np.ndarray
             some = before & (most >= least)
             i = part[some]
             out_dk.append(dk[i])
-            out_pack.append(packed(start[i] + ahead[i] - most[some], 0 * i, most[some] - least[some] + 1, th[i]))
+            out_th.append(th[i])
+            out_pack.append(packed(start[i] + ahead[i] - most[some], 0 * i, most[some] - least[some] + 1))
         lag += 1
-    return np.concatenate(out_dk), np.concatenate(out_pack)
+    return np.concatenate(out_dk), np.concatenate(out_th), np.concatenate(out_pack)
 
 
 def _overlaid(rows: DataFrame, length: int) -> DataFrame:
-    """(dk, pack) of repeated strings among phrases that share a trigger with few others."""
+    """(dk, th, pack) of repeated strings among phrases that share a trigger with few others."""
 
     def found(t: pa.Table) -> pa.RecordBatch:
         t = t.combine_chunks()
-        key, dk, pack = (t.column(i).to_numpy() for i in range(3))
-        phrase = t.column(3).combine_chunks() if isinstance(t.column(3), pa.ChunkedArray) else t.column(3)
+        key, dk, th, pack = (t.column(i).to_numpy() for i in range(4))
+        phrase = t.column(4).combine_chunks() if isinstance(t.column(4), pa.ChunkedArray) else t.column(4)
         phrase = phrase.cast(pa.large_binary())
         _, offsets, data = phrase.buffers()
         at = np.frombuffer(offsets, np.int64)[phrase.offset : phrase.offset + len(phrase) + 1]
         raw = np.frombuffer(data, np.uint8)[at[0] : at[-1]]
-        return pa.RecordBatch.from_arrays([pa.array(c) for c in overlaid(key, dk, pack, raw, at - at[0], length)], ["dk", "pack"])
+        return pa.RecordBatch.from_arrays([pa.array(c) for c in overlaid(key, dk, th, pack, raw, at - at[0], length)], ["dk", "th", "pack"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
@@ -235,25 +236,35 @@ def _overlaid(rows: DataFrame, length: int) -> DataFrame:
         if held is not None:
             yield found(held)
 
-    return rows.repartition("key").sortWithinPartitions("key", "dk", "pack").mapInArrow(run, "dk long, pack long")
+    place = F.shiftright("pack", 32) + F.shiftright("pack", 24).bitwiseAND(255)
+    return rows.repartition("key").sortWithinPartitions("key", "dk", place, "pack", "th").mapInArrow(run, "dk long, th long, pack long")
 
 
 def repeated_starts(texts: DataFrame, length: int = LENGTH, trigger: int = TRIGGER) -> DataFrame:
-    """(dk, pack): runs of starts whose strings also start earlier in ``texts(dk, th, text)``."""
+    """(dk, th, pack): runs of starts whose strings also start earlier in ``texts(dk, th, text)``.
+
+    Texts that share an id may have one phrase at one place.  None of them is
+    earlier than the others, so each is opened where the first is.
+    """
     start = lambda c: F.shiftright(c, 32)
     later = lambda: (F.col("dk") > F.col("first.dk")) | ((F.col("dk") == F.col("first.dk")) & (start("pack") > start("first.pack")))
     often = checkpointed(_triggers(texts, length, trigger).groupBy("wh").agg(F.sum("n").alias("n")).where("n > 1").select("wh"))
     parse = checkpointed(_parsed(texts, length, trigger).join(often, "wh"))
-    dictionary = checkpointed(parse.groupBy("ctx").agg(F.first("wh").alias("wh"), F.min(F.struct("dk", "pack")).alias("first")))
-    shared = checkpointed(dictionary.groupBy("wh").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("wh", (F.col("n") <= FEW).alias("few")))
-    copies = parse.select("ctx", "dk", "pack").join(dictionary.select("ctx", "first"), "ctx").where(later()).select("dk", "pack")
-    opened = dictionary.join(shared, "wh").select("first.dk", "first.pack", "wh", "few")
+    dictionary = checkpointed(parse.groupBy("ctx").agg(F.first("wh").alias("wh"), F.min(F.struct("dk", "pack", "th")).alias("first")))
+    placed = parse.select("ctx", "dk", "th", "pack").join(dictionary.select("ctx", "wh", "first"), "ctx")
+    copies = placed.where(later()).select("dk", "th", "pack")
+    heads = dictionary.select("wh", "first.*", F.lit(1).alias("own"))
+    if not parse.groupBy("dk").agg(F.min("th").alias("a"), F.max("th").alias("b")).where("a <> b").isEmpty():
+        ties = placed.where(~later() & (F.col("th") != F.col("first.th"))).select("wh", "dk", "pack", "th", F.lit(0).alias("own")).distinct()
+        heads = checkpointed(heads.unionByName(ties))
+    shared = heads.groupBy("wh").agg(F.count(F.lit(1)).alias("n"), F.sum("own").alias("m")).where("m > 1")
+    shared = checkpointed(shared.select("wh", (F.col("n") <= FEW).alias("few")))
     entry = F.struct("pack", "wh", "few")
-    opened = opened.groupBy("dk", F.col("pack").bitwiseAND(0xFFFF).cast("int").alias("th")).agg(F.collect_list(entry).alias("opened"))
+    opened = heads.join(shared, "wh").groupBy("dk", "th").agg(F.collect_list(entry).alias("opened"))
     rows = checkpointed(_opened(texts.join(checkpointed(opened).hint("shuffle_hash"), ["dk", "th"]).select("dk", "th", "text", "opened"), length))
-    strings = rows.where("phrase is null").select("key", "dk", "pack")
+    strings = rows.where("phrase is null").select("key", "dk", "th", "pack")
     firsts = checkpointed(strings.groupBy("key").agg(F.min(F.struct("dk", "pack")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("key", "first"))
-    spread = strings.join(firsts, "key").where(later()).select("dk", "pack")
+    spread = strings.join(firsts, "key").where(later()).select("dk", "th", "pack")
     return copies.unionByName(_overlaid(rows.where("phrase is not null"), length)).unionByName(spread)
 
 
@@ -269,7 +280,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, trigger: int = TRIGGER
     """
     texts = keyed(docs, id_col, text_col)
     marks = repeated_starts(texts, length, trigger)
-    marks = checkpointed(marks.groupBy("dk", F.col("pack").bitwiseAND(0xFFFF).cast("int").alias("th")).agg(F.collect_list("pack").alias("marks")))
+    marks = checkpointed(marks.groupBy("dk", "th").agg(F.collect_list("pack").alias("marks")))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -42,6 +42,23 @@ def test_like_brute_force(spark, words, monkeypatch, length, trigger, few):
     assert got == brute(rows, length)
 
 
+@pytest.mark.parametrize("few", [32, 3])
+def test_many_texts_without_an_id(spark, words, monkeypatch, few):
+    """Texts of one id are told apart; a phrase at one place in many of them is repeated in all where it stands earlier."""
+    monkeypatch.setattr("tallyscope.llm.parse_dedup.FEW", few)
+    rng = random.Random(few)
+    passages = [words(12) for _ in range(40)]
+    rows = []
+    for i in range(1000):
+        head = rng.choice(["", passages[i % 7] + " ", passages[i % 40][rng.randint(0, 9) :] + " "])
+        rows.append((None, f"{head}{i} {words(rng.randint(0, 6))} {rng.choice(passages)[rng.randint(0, 9):]}"))
+    same = words(12)
+    rows += [(3, same + f" {i} " + words(4)) for i in range(60)] + [(2, "x" + same[:-1]), (3, words(4) + same), (4, same[3:] + same)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    got = sorted([tuple(r) for r in remove_repeats(docs, 20, 6).collect()], key=str)
+    assert got == brute(rows, 20)
+
+
 def test_every_string_has_one_trigger_that_depends_on_it_alone():
     rng = np.random.default_rng(0)
     data = np.frombuffer(bytes(rng.integers(97, 99, 3000, np.uint8)), np.uint8)
