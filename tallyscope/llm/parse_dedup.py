@@ -16,9 +16,8 @@ that overlap by less than ``LENGTH`` bytes, and no string lies across two.
   trigger.  Only such phrases are opened.  Few phrases with one trigger are laid
   over each other at it, in corpus order: how far they agree to the left and to
   the right says which strings they share.  For triggers of more phrases than
-  ``FEW`` the suffixes, cut at ``LENGTH`` bytes, are put in order of fingerprint
-  and then of corpus place; in each run of equal ones all but the first are
-  repeats.  That way a hot trigger is spread over tasks by string.
+  ``FEW`` the strings of ``LENGTH`` bytes are grouped by fingerprint, in place of
+  suffix arrays; in each group all but those at the first place are repeats.  That way a hot trigger is spread over tasks by string.
 
 Dictionary and parse are far smaller than the text where text repeats much:
 copies cost one row a phrase, however many there are.
