@@ -216,6 +216,31 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search(build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
+@query("op12_positional_leaks", r"""
+WITH d AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM documents
+), i AS (
+  SELECT item_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+  FROM benchmark
+), v AS (
+  SELECT DISTINCT item_id, size, array_to_string(w[s + 1:s + size], ' ') AS g
+  FROM (SELECT item_id, w, least(10, len(w)) AS size, unnest(range(0, len(w) - least(10, len(w)) + 1)) AS s FROM i WHERE len(w) > 0)
+), z AS (SELECT DISTINCT size FROM v),
+o AS (SELECT doc_id, x, size, array_to_string(w[x + 1:x + size], ' ') AS g FROM (SELECT doc_id, w, size, unnest(range(0, len(w) - size + 1)) AS x FROM d, z WHERE len(w) >= size)),
+m AS (SELECT doc_id, x, o.size, item_id FROM o JOIN v ON o.size = v.size AND o.g = v.g),
+h AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(x, x + size)) AS p FROM m) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS listed FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS item_id FROM m) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(listed, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h ON h.doc_id = d.doc_id LEFT JOIN t ON t.doc_id = d.doc_id""")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of benchmark items in all documents, from positional lists of the items' words."""
+    from tallyscope.llm.positional import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def _register_pipeline() -> None:
     import corpus_pipeline
 
