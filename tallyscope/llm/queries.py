@@ -211,9 +211,10 @@ q AS (
 SELECT item_id, rank, doc_id, score FROM r WHERE rank <= 10""")
 def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten best documents of every benchmark item, from a length-stratified index of all documents."""
-    from tallyscope.llm.strata import build_index, search
+    from tallyscope.llm.strata import asked_terms, build_index, search
 
-    return search(build_index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+    items = table(spark, sf_dir, "benchmark")
+    return search(build_index(table(spark, sf_dir, "documents"), only=asked_terms(items)), items)
 
 
 @query("op12_positional_leaks", r"""
@@ -241,6 +242,42 @@ def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query("op13_prefix_trie", r"""
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) - 1 AS pos
+  FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, conv_id - conv_id % 100 AS base, xor(4294967295, list_reduce(
+    [4294967295] || list_transform(string_split(CAST(conv_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+    lambda a, b: list_reduce([xor(a, b)] || range(8), lambda x, y: xor(x >> 1, 3988292384 * (x & 1))))) % 6 AS h
+  FROM (SELECT DISTINCT conv_id FROM t)
+), a AS (
+  SELECT c.conv_id, 0 AS own, pos, role, text FROM c JOIN t ON t.conv_id = base AND pos < h
+  UNION ALL SELECT c.conv_id, 1, pos, role, text FROM c JOIN t ON t.conv_id = c.conv_id AND pos >= h
+), r AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY own, pos) AS depth, md5(length(role) || ':' || role || text) AS k, length(text) AS n FROM a),
+p AS (
+  SELECT conv_id, depth, n, string_agg(k, '') OVER (PARTITION BY conv_id ORDER BY depth) AS path FROM r
+  UNION ALL SELECT conv_id, 0, 0, '' FROM c
+), v AS (SELECT path, min(depth) AS depth, min(conv_id) AS conv_id, count(*) AS n_convs, min(n) AS n FROM p GROUP BY path),
+u AS (SELECT path, conv_id, left(path, length(path) - 32) AS parent FROM v WHERE depth > 0),
+k AS (SELECT parent, count(*) AS n_children FROM u GROUP BY parent),
+x AS (SELECT v.*, coalesce(n_children, 0) AS n_children FROM v LEFT JOIN k ON k.parent = v.path),
+s AS (
+  SELECT p.path, count_if(n_children = 0) AS n_leaves, sum((n_convs - 1) * x.n) AS saved
+  FROM x JOIN p ON p.conv_id = x.conv_id AND p.depth <= x.depth GROUP BY p.path
+), l AS (SELECT path, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids FROM (SELECT conv_id, max_by(path, depth) AS path FROM p GROUP BY conv_id) GROUP BY path)
+SELECT x.conv_id, x.depth, w.conv_id AS parent_conv_id, x.n_convs, n_children, CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens,
+  sha256(coalesce(ids, '')) AS ends_sha256
+FROM x JOIN s ON s.path = x.path LEFT JOIN u ON u.path = x.path LEFT JOIN v w ON w.path = u.parent LEFT JOIN l ON l.path = x.path""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The prefix trie of all conversations after each was rebuilt on the head of its hundred's first."""
+    from tallyscope.llm.prefix_trie import branched_turns, numbered_turns, prefix_nodes
+
+    numbered = numbered_turns(table(spark, sf_dir, "conversations"))
+    return prefix_nodes(branched_turns(numbered), numbered.select("conv_id").distinct())
+
+
 def _register_pipeline() -> None:
     import corpus_pipeline
 
