@@ -28,13 +28,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyscope.functions.session import checkpointed
-from tallyscope.llm.common import fields
+from tallyscope.llm.common import fields, small_batches
 from tallyscope.llm.textbytes import LETTERS, LOWER, Hasher, blocks, buffer_of, runs
 
-PIECE_DOCS = 4096
-PIECE_TERMS = 1 << 20
+PIECE_DOCS = 2048
+PIECE_TERMS = 1 << 19
 QUERY_TERMS = 1 << 20
 PROBE_PIECES = 4
+# Rows of an Arrow batch: of documents, and of pieces.
+BATCH_DOCS, BATCH_PIECES = 512, 8
 
 COUNTED = "id long, salt long, n long, terms array<long>, tfs array<int>"
 PIECE = "m long, ids array<long>, terms array<long>, tfs array<int>, ends array<int>, places array<int>"
@@ -57,20 +59,38 @@ def term_counts(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np
     return np.diff(t.bounds), bounds, h[at], times
 
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for b in blocks(batch, 2):
-            n, bounds, terms, times = term_counts(b.column(2))
-            lists = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(v, kind)) for v, kind in ((terms, pa.int64()), (times, pa.int32()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), *lists], names=["id", "salt", "n", "terms", "tfs"])
+def counted_terms(rows: DataFrame, id_col: str, text_col: str, only: np.ndarray | None = None) -> DataFrame:
+    """(id, salt, n, terms, tfs) of every row; ``salt`` tells equal rows apart.
 
+    ``n`` counts all terms with repeats; ``only``, sorted term hashes, says which
+    of them are listed.  Written, so that a row keeps its salt.
+    """
+    sent = rows.sparkSession.sparkContext.broadcast(only)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = sent.value
+        for batch in batches:
+            for b in blocks(batch, 2):
+                n, bounds, terms, times = term_counts(b.column(2))
+                if wanted is not None:
+                    kept = found_in(wanted, terms)[1]
+                    bounds, terms, times = np.append(0, np.cumsum(kept))[bounds], terms[kept], times[kept]
+                lists = [pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(v, kind)) for v, kind in ((terms, pa.int64()), (times, pa.int32()))]
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n, pa.int64()), *lists], names=["id", "salt", "n", "terms", "tfs"])
 
-def counted_terms(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, salt, n, terms, tfs) of every row; ``salt`` tells equal rows apart once it is written."""
     slim = rows.select(
         F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.monotonically_increasing_id()).alias("salt"), F.col(f"`{text_col}`").cast("string").alias("text")
     )
-    return slim.mapInArrow(_count, COUNTED)
+    with small_batches(rows.sparkSession, BATCH_DOCS):
+        return checkpointed(slim.mapInArrow(count, COUNTED))
+
+
+def found_in(vocabulary: np.ndarray, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(place, whether it is there) of each term in a sorted vocabulary."""
+    if not len(vocabulary):
+        return np.zeros(len(terms), np.int64), np.zeros(len(terms), bool)
+    at = np.minimum(np.searchsorted(vocabulary, terms), len(vocabulary) - 1)
+    return at, vocabulary[at] == terms
 
 
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -129,21 +149,34 @@ class Index:
     documents: int
 
 
-def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", piece_docs: int = PIECE_DOCS, piece_terms: int = PIECE_TERMS) -> Index:
+def asked_terms(queries: DataFrame, text_col: str = "text", most: int = QUERY_TERMS) -> np.ndarray | None:
+    """The sorted hashes of all terms of ``queries``, None where there are more than ``most``."""
+    counted = counted_terms(fields(queries, text_col).distinct().withColumn("_id", F.lit(0)), "_id", text_col)
+    rows = counted.select(F.explode("terms").alias("term")).distinct().limit(most + 1).toPandas()
+    return None if len(rows) > most else np.sort(rows["term"].to_numpy(np.int64))
+
+
+def build_index(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", piece_docs: int = PIECE_DOCS, piece_terms: int = PIECE_TERMS, only: np.ndarray | None = None,
+) -> Index:
     """The index of all rows of ``docs`` whose text holds a term.
 
+    ``only`` (from ``asked_terms``) leaves out the postings of terms that no
+    query will hold; lengths and normalisers are those of whole texts.
+
     Every row is a document of its own, repeated ones too; a NULL or empty text
     holds no term.  A document of more than ``piece_terms`` distinct terms is a
     piece of its own.  An empty table gives an empty index.  Other columns of
     ``docs`` are not looked at.
     """
-    counted = checkpointed(counted_terms(docs, id_col, text_col)).where("n > 0")
+    counted = counted_terms(docs, id_col, text_col, only).where("n > 0")
     row = counted.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     # one empty table has no length to divide by
     m = F.expr(f"100 - 75 + (75 * n * {row[0]}L) div {max(1, row[1])}L")
-    dealt = counted.withColumn("m", m).repartitionByRange("m", "salt").sortWithinPartitions("m", "salt")
+    dealt = counted.where(F.size("terms") > 0).withColumn("m", m).repartitionByRange("m", "salt").sortWithinPartitions("m", "salt")
     pieces = dealt.select("m", "id", "terms", "tfs").mapInArrow(_pieces(piece_docs, piece_terms), PIECE)
-    return Index(checkpointed(pieces.withColumn("piece", F.monotonically_increasing_id())), row[0])
+    with small_batches(docs.sparkSession, BATCH_DOCS):
+        return Index(checkpointed(pieces.withColumn("piece", F.monotonically_increasing_id())), row[0])
 
 
 @dataclass(frozen=True)
@@ -161,8 +194,7 @@ class Piece:
     """A stratum, or a part of one, reduced to the terms that are asked for."""
 
     def __init__(self, m: int, ids: list, terms: np.ndarray, tfs: np.ndarray, ends: np.ndarray, places: np.ndarray, vocabulary: np.ndarray) -> None:
-        at = np.minimum(np.searchsorted(vocabulary, terms), len(vocabulary) - 1)
-        kept = vocabulary[at] == terms
+        at, kept = found_in(vocabulary, terms)
         starts = np.append(0, ends[:-1])
         self.ids, self.places, size = ids, places, (ends - starts)[kept]
         unique, back = np.unique(tfs[kept].astype(np.int64), return_inverse=True)
@@ -295,38 +327,43 @@ def search(index: Index, queries: DataFrame, k: int = 10, id_col: str = "item_id
     integers.  ``visits``, an accumulator, counts pieces scored per query.
     """
     spark = index.pieces.sparkSession
-    asked = checkpointed(counted_terms(fields(queries, id_col, text_col).distinct(), id_col, text_col)).where("n > 0")
+    asked = counted_terms(fields(queries, id_col, text_col).distinct(), id_col, text_col).where("n > 0")
     groups = max(1, -(-(asked.agg(F.sum(F.size("terms"))).first()[0] or 0) // query_terms))
-    pieces = index.pieces.select(*COLUMNS)
     out = None
-    for g in range(groups):
-        rows = asked.where(F.pmod("salt", F.lit(groups)) == g).orderBy("salt").collect()
-        terms = np.concatenate([np.array(r["terms"], np.int64) for r in rows] or [np.zeros(0, np.int64)])
-        times = np.concatenate([np.array(r["tfs"], np.int64) for r in rows] or [np.zeros(0, np.int64)])
-        if not len(terms):
-            continue
-        vocabulary, term = np.unique(terms, return_inverse=True)
-        df = pieces.mapInArrow(_frequencies(spark.sparkContext.broadcast(vocabulary)), "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
-        weight = F.floor(F.lit(1000.0) * F.log(F.lit(float(2 * index.documents + 2)) / (2 * F.col("df") + 1).cast("double"))).cast("long")
-        found = df.select("term", weight.alias("w")).toPandas()
-        weights = np.zeros(len(vocabulary), np.int64)
-        weights[np.searchsorted(vocabulary, found["term"].to_numpy())] = found["w"].to_numpy()
-        start = np.append(0, np.cumsum([len(r["terms"]) for r in rows]))
-        block = Asked(start, term, times * weights[term], vocabulary, np.zeros(len(rows), np.int64))
-
-        sent = spark.sparkContext.broadcast(block)
-        top = Window.partitionBy("query").orderBy(F.col("bound").desc(), "piece")
-        first = pieces.mapInArrow(_bounds(sent, probe_pieces), "query int, piece long, bound long").withColumn("_i", F.row_number().over(top)).where(F.col("_i") <= probe_pieces)
-        probed = pieces.join(first.select("piece").distinct(), "piece", "left_semi").select(*COLUMNS).mapInArrow(_visit(sent, k), FOUND)
-        down = Window.partitionBy("query").orderBy(F.col("score").desc())
-        floors = probed.withColumn("_i", F.row_number().over(down)).where(F.col("_i") == k).select("query", "score").toPandas()
-        floor = block.floor.copy()
-        floor[floors["query"].to_numpy(np.int64)] = floors["score"].to_numpy(np.int64)
-
-        sent = spark.sparkContext.broadcast(Asked(block.start, block.term, block.weight, block.vocabulary, floor))
-        names = spark.createDataFrame([(i, r["id"]) for i, r in enumerate(rows)], "query int, item_id long")
-        ranks = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("id").asc_nulls_last())
-        part = pieces.mapInArrow(_visit(sent, k, visits), FOUND).withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= k)
-        part = part.join(names, "query").select(F.col("item_id").alias(id_col), "rank", F.col("id").alias("doc_id"), "score")
-        out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], f"`{id_col}` long, rank int, doc_id long, score long")
+    with small_batches(spark, BATCH_PIECES):
+        for g in range(groups):
+            rows = asked.where(F.pmod("salt", F.lit(groups)) == g).orderBy("salt").collect()
+            part = checkpointed(_search_block(index, rows, k, probe_pieces, visits)) if rows else None
+            out = part if out is None else out if part is None else out.unionByName(part)
+    if out is None:
+        out = spark.createDataFrame([], "query_id long, rank int, doc_id long, score long")
+    return out.withColumnRenamed("query_id", id_col)
+
+
+def _search_block(index: Index, rows: list, k: int, probe_pieces: int, visits) -> DataFrame:
+    """The answers to one block of queries, rows (id, terms, tfs)."""
+    spark = index.pieces.sparkSession
+    pieces = index.pieces.select(*COLUMNS)
+    terms, times = (np.concatenate([np.array(r[c], np.int64) for r in rows]) for c in ("terms", "tfs"))
+    vocabulary, term = np.unique(terms, return_inverse=True)
+    df = pieces.mapInArrow(_frequencies(spark.sparkContext.broadcast(vocabulary)), "term long, df long").groupBy("term").agg(F.sum("df").alias("df"))
+    weight = F.floor(F.lit(1000.0) * F.log(F.lit(float(2 * index.documents + 2)) / (2 * F.col("df") + 1).cast("double"))).cast("long")
+    found = df.select("term", weight.alias("w")).toPandas()
+    weights = np.zeros(len(vocabulary), np.int64)
+    weights[np.searchsorted(vocabulary, found["term"].to_numpy(np.int64))] = found["w"].to_numpy(np.int64)
+    start = np.append(0, np.cumsum([len(r["terms"]) for r in rows]))
+    block = Asked(start, term, times * weights[term], vocabulary, np.zeros(len(rows), np.int64))
+
+    sent = spark.sparkContext.broadcast(block)
+    top = Window.partitionBy("query").orderBy(F.col("bound").desc(), "piece")
+    first = pieces.mapInArrow(_bounds(sent, probe_pieces), "query int, piece long, bound long").withColumn("_i", F.row_number().over(top)).where(F.col("_i") <= probe_pieces)
+    probed = pieces.join(first.select("piece").distinct(), "piece", "left_semi").select(*COLUMNS).mapInArrow(_visit(sent, k), FOUND)
+    down = Window.partitionBy("query").orderBy(F.col("score").desc())
+    floors = probed.withColumn("_i", F.row_number().over(down)).where(F.col("_i") == k).select("query", "score").toPandas()
+    block.floor[floors["query"].to_numpy(np.int64)] = floors["score"].to_numpy(np.int64)
+
+    sent = spark.sparkContext.broadcast(block)
+    names = spark.createDataFrame([(i, r["id"]) for i, r in enumerate(rows)], "query int, query_id long")
+    ranks = Window.partitionBy("query").orderBy(F.col("score").desc(), F.col("id").asc_nulls_last())
+    best = pieces.mapInArrow(_visit(sent, k, visits), FOUND).withColumn("rank", F.row_number().over(ranks)).where(F.col("rank") <= k)
+    return best.join(names, "query").select("query_id", "rank", F.col("id").alias("doc_id"), "score")

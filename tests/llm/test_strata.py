@@ -2,7 +2,7 @@ import math
 import re
 from collections import Counter
 
-from tallyscope.llm.strata import build_index, search
+from tallyscope.llm.strata import asked_terms, build_index, search
 
 TERM = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -48,6 +48,10 @@ def test_like_brute_force(spark, words):
     index = build_index(df, piece_docs=16, piece_terms=2000)
     want = ordered(brute(docs, items, 10))
     assert ordered(search(index, asked).collect()) == want
+    # so does an index of the asked terms alone
+    assert asked_terms(asked, most=5) is None
+    slim = build_index(df, piece_docs=16, only=asked_terms(asked))
+    assert slim.documents == index.documents and ordered(search(slim, asked).collect()) == want
     # small blocks of queries give the same rows
     assert ordered(search(index, asked, query_terms=60, probe_pieces=1).collect()) == want
 
