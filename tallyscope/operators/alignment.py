@@ -205,5 +205,5 @@ def coupling_audit(coupling: DataFrame, row_limit: float, col_limit: float, expe
 
 def spot_spacing(points: DataFrame, by: Sequence[str] = (), dims: Sequence[str] = ("x", "y"), id_col: str = "obs_id") -> DataFrame:
     """Median distance to the nearest other point."""
-    d = knn(points, 1, dims, by, id_col).withColumn("_d", F.sqrt("d2"))
+    d = knn(points, 1, dims, by, id_col, strict=False).withColumn("_d", F.sqrt("d2"))
     return exact_quantiles(d, by, "_d", {"spacing": 0.5})

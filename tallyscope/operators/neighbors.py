@@ -1,17 +1,6 @@
 """Exact k-nearest neighbours for coordinates (2-D / 3-D) and for vectors.
 
-Coordinates: a plain pair join inside a slice is quadratic, and one crowded
-spot makes a fixed grid quadratic as well.  ``knn`` therefore
-
-1. reduces copies: of all rows at one location only the ``k + 1`` smallest ids
-   can ever be chosen, so only those are candidates, and the search runs once
-   per distinct location;
-2. gives every location its own grid level, the finest whose cell around it
-   still holds enough candidates.  The k-th neighbour then lies within one cell
-   diagonal, and the 5×5 (5×5×5) block of that level holds all of them.  A cell
-   of a level is the home of at most ``4·k`` searching locations, because its
-   children are too sparse to be levels of their own;
-3. joins searches to candidates by (level, cell), an equi-join.
+Coordinates go through ranges of a Morton curve (``tallyscope.operators.morton``).
 
 Vectors: exact search in many dimensions has to look at all pairs, but nothing
 forces a job to *emit* them.  ``blocked`` cuts both sides into bounded blocks,
@@ -28,146 +17,31 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyscope.functions.exprs import attach, attach_keyed, squared_distance
+from tallyscope.functions.exprs import attach, attach_keyed
 from tallyscope.functions.ordered import exact_quantiles
 from tallyscope.functions.session import checkpointed
+from tallyscope.operators.morton import nearest
 
-FINEST = 30
-CROWDED = 16
 BLOCK_ROWS = 4096
 
 
-def _cell_columns(dims: Sequence[str]) -> list[str]:
-    return [f"_c_{d}" for d in dims]
-
-
-def _coarser(df: DataFrame, dims: Sequence[str], steps) -> DataFrame:
-    for c in _cell_columns(dims):
-        df = df.withColumn(c, F.floor(F.col(c) / F.pow(F.lit(2.0), steps)).cast("long"))
-    return df
-
-
-def _at_level(df: DataFrame, dims: Sequence[str], level) -> DataFrame:
-    for d, c in zip(dims, _cell_columns(dims), strict=True):
-        unit = (F.col(d) - F.col(f"_lo_{d}")) / F.col("_side")
-        df = df.withColumn(c, F.floor(unit * F.pow(F.lit(2.0), level)).cast("long"))
-    return df
-
-
-def nearest(
-    query: DataFrame, ref: DataFrame, k: int, dims: Sequence[str] = ("x", "y"), by: Sequence[str] = (),
-    id_col: str = "obs_id", same: bool = False,
+def knn(
+    points: DataFrame, k: int, dims: Sequence[str] = ("x", "y"), by: Sequence[str] = (), id_col: str = "obs_id",
+    including_self: bool = False, strict: bool = True,
 ) -> DataFrame:
-    """(by…, src, dst, rank, d2): the k nearest ``ref`` rows of every query row.
+    """Exact k-NN graph without self edges; ``including_self`` counts self as one of k.
 
-    Order is squared distance, then id.  With ``same`` the two tables are one
-    and a row is not its own neighbour.  The search goes through levels of grid
-    cells at every size, see the head of this module.  Levels end ``FINEST``
-    halvings below the box: points closer than that share cells, which costs
-    time but no neighbour.
+    A group with too few rows for k neighbours is an error, unless ``strict`` is
+    off; its lists are short then.
     """
-    need = k + 1 if same else k
-    keys, added = list(by), not by
-    if added:
-        query, ref, keys = query.withColumn("_k", F.lit(0)), ref.withColumn("_k", F.lit(0)), ["_k"]
-    cells = _cell_columns(dims)
-    place = [*keys, *dims]
-    query = query.select(*keys, *[F.col(d).cast("double").alias(d) for d in dims], F.col(id_col).alias("src"))
-    ref = ref.select(*keys, *[F.col(d).cast("double").alias(d) for d in dims], F.col(id_col).alias("dst"))
-
-    copies = F.row_number().over(Window.partitionBy(*place).orderBy("dst"))
-    cand = ref.withColumn("_rn", copies).where(F.col("_rn") <= need).drop("_rn")
-    spots = query.select(*place).distinct()
-
-    both = ref.select(*place, F.lit(1).alias("_r"))
-    if not same:
-        both = both.unionByName(query.select(*place, F.lit(0).alias("_r")))
-    box = both.groupBy(*keys).agg(
-        *[F.min(d).alias(f"_lo_{d}") for d in dims],
-        F.greatest(F.lit(0.0), *[F.max(d) - F.min(d) for d in dims]).alias("_side"), F.sum("_r").alias("_n"),
-    )
-    per_axis = F.log2(F.greatest(F.col("_n") / F.lit(float(need)), F.lit(1.0))) / len(dims)
-    box = box.select(
-        *keys, *[f"_lo_{d}" for d in dims], F.when(F.col("_side") > 0, F.col("_side")).otherwise(1.0).alias("_side"),
-        F.least(F.floor(per_axis), F.lit(FINEST)).cast("int").alias("_base"),
-    )
-    cand = _at_level(attach_keyed(cand, box, keys), dims, F.col("_base"))
-    spots = _at_level(attach_keyed(spots, box, keys), dims, F.col("_base"))
-
-    # levels at or above the base come from base-cell counts, finer ones only from crowded cells
-    base = cand.groupBy(*keys, "_base", *cells).agg(F.count(F.lit(1)).alias("_m"))
-    up = _coarser(
-        base.withColumn("_level", F.explode(F.sequence(F.lit(0), F.col("_base")))), dims, F.col("_base") - F.col("_level")
-    ).groupBy(*keys, "_level", *cells).agg(F.sum("_m").alias("_m"))
-    crowded = base.where((F.col("_m") > CROWDED * need) & (F.col("_base") < FINEST)).select(*keys, *cells)
-
-    def finer(df: DataFrame) -> DataFrame:
-        inside = df.join(crowded, [*keys, *cells], "left_semi")
-        return _at_level(
-            inside.withColumn("_level", F.explode(F.sequence(F.col("_base") + 1, F.lit(FINEST)))), dims, F.col("_level")
-        )
+    return nearest(points, points, k - 1 if including_self else k, dims, by, id_col, same=True, strict=strict)
 
-    down = finer(cand).groupBy(*keys, "_level", *cells).agg(F.count(F.lit(1)).alias("_m"))
-    dense = up.unionByName(down).where(F.col("_m") >= need).select(*keys, "_level", *cells)
 
-    home = spots.select(*keys, "_base", *cells).distinct()
-    up_level = (
-        _coarser(
-            home.select("*", *[F.col(c).alias(f"_b{c}") for c in cells])
-            .withColumn("_level", F.explode(F.sequence(F.lit(0), F.col("_base")))),
-            dims, F.col("_base") - F.col("_level"),
-        )
-        .join(dense, [*keys, "_level", *cells], "left_semi")
-        .groupBy(*keys, *[f"_b{c}" for c in cells]).agg(F.max("_level").alias("_ul"))
-        .select(*keys, *[F.col(f"_b{c}").alias(c) for c in cells], "_ul")
-    )
-    down_level = (
-        finer(spots).join(dense, [*keys, "_level", *cells], "left_semi")
-        .groupBy(*place).agg(F.max("_level").alias("_dl"))
-    )
-    search = (
-        spots.join(up_level, [*keys, *cells], "left").join(down_level, place, "left")
-        .withColumn("_level", F.coalesce("_dl", "_ul", F.lit(0))).drop("_dl", "_ul", *cells)
-    )
-    search = _at_level(search, dims, F.col("_level"))
-
-    used = search.groupBy(*keys).agg(F.collect_set("_level").alias("_levels"))
-    stock = _at_level(
-        attach_keyed(cand.drop(*cells), used, keys).withColumn("_level", F.explode("_levels")), dims, F.col("_level")
-    ).select(*keys, "_level", *cells, *[F.col(d).alias(f"_x_{d}") for d in dims], "dst")
-    probe = search.select(
-        *place, "_level", "_side", *cells
-    )
-    for c in cells:
-        probe = probe.withColumn("_o", F.explode(F.sequence(F.lit(-2), F.lit(2)))).withColumn(c, F.col(c) + F.col("_o"))
-    reach = F.pow(F.col("_side") / F.pow(F.lit(2.0), F.col("_level")), F.lit(2.0)) * (len(dims) * (1 + 1e-9))
-    d2 = squared_distance([F.col(d) for d in dims], [F.col(f"_x_{d}") for d in dims])
-    hits = (
-        probe.drop("_o").join(stock, [*keys, "_level", *cells]).withColumn("d2", d2)
-        .where((F.col("_level") == 0) | (F.col("d2") <= reach))
-        .select(*place, "dst", "d2")
-    )
-    best = F.row_number().over(Window.partitionBy(*place).orderBy("d2", "dst"))
-    lists = hits.withColumn("_rn", best).where(F.col("_rn") <= need).drop("_rn")
-
-    edges = query.join(lists, place)
-    if same:
-        edges = edges.where(F.col("src") != F.col("dst"))
-    rank = F.row_number().over(Window.partitionBy(*keys, "src").orderBy("d2", "dst"))
-    out = edges.withColumn("rank", rank).where(F.col("rank") <= k)
-    return out.select(*by, "src", "dst", "rank", "d2")
-
-
-def knn(
-    points: DataFrame, k: int, dims: Sequence[str] = ("x", "y"), by: Sequence[str] = (), id_col: str = "obs_id",
-    including_self: bool = False,
+def knn_transfer(
+    query: DataFrame, ref: DataFrame, k: int = 1, dims: Sequence[str] = ("x", "y"), by: Sequence[str] = (), id_col: str = "obs_id", strict: bool = True,
 ) -> DataFrame:
-    """Exact k-NN graph without self edges; ``including_self`` counts self as one of k."""
-    return nearest(points, points, k - 1 if including_self else k, dims, by, id_col, same=True)
-
-
-def knn_transfer(query: DataFrame, ref: DataFrame, k: int = 1, dims: Sequence[str] = ("x", "y"), by: Sequence[str] = (), id_col: str = "obs_id") -> DataFrame:
-    return nearest(query, ref, k, dims, by, id_col)
+    """The k nearest ``ref`` rows of every query row; a group with fewer is an error unless ``strict`` is off."""
+    return nearest(query, ref, k, dims, by, id_col, strict=strict)
 
 
 # --- vectors -----------------------------------------------------------------
