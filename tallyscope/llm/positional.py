@@ -126,7 +126,9 @@ def phrase_matches(postings: Postings, window: int = WINDOW) -> DataFrame:
     needed = checkpointed(
         places.join(postings.items.select("item", "p", "term", "item_id"), ["item", "p"]).select("row", "item", "item_id", "shift", "size", "p", "term", (F.col("shift") + F.col("p")).alias("pos"))
     )
-    lists = postings.words.join(needed.select("term").distinct(), "term", "left_semi")
+    # the words of items only: written, so that its true size decides how it is joined
+    wanted = checkpointed(needed.select("term").distinct())
+    lists = postings.words.join(wanted, "term", "left_semi")
     agreed = needed.join(lists, ["term", "row", "pos"], "left_semi")
     # a placement has no more rows than its item has words
     run = F.col("p") - F.row_number().over(Window.partitionBy("row", "item", "shift").orderBy("p"))
