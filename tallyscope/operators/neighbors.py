@@ -2,9 +2,10 @@
 
 Coordinates go through ranges of a Morton curve (``tallyscope.operators.morton``).
 
-Vectors: exact search in many dimensions has to look at all pairs, but nothing
+Vectors: k nearest go through rings around pivots (``tallyscope.operators.metric``).
+Sums and counts over all distances have to look at all pairs, but nothing
 forces a job to *emit* them.  ``blocked`` cuts both sides into bounded blocks,
-and a task reduces a block pair to k rows, sums or counts per row.
+and a task reduces a block pair to sums or counts per row.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pyspark.sql import types as T
 from tallyscope.functions.exprs import attach, attach_keyed
 from tallyscope.functions.ordered import exact_quantiles
 from tallyscope.functions.session import checkpointed
+from tallyscope.operators.metric import knn_vectors  # noqa: F401
 from tallyscope.operators.morton import nearest
 
 BLOCK_ROWS = 4096
@@ -106,35 +108,6 @@ def _id_type(df: DataFrame, id_col: str) -> str:
     return df.schema[id_col].dataType.simpleString()
 
 
-def knn_vectors(
-    query: DataFrame, ref: DataFrame | None, k: int, by: Sequence[str] = (), id_col: str = "obs_id", vec: str = "vec",
-    block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """Exact Euclidean k-NN on array columns; ``ref=None`` searches the table itself."""
-    same = ref is None
-    ref = query if same else ref
-
-    def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        b = b.sort_values("id", kind="stable").reset_index(drop=True)
-        ids, others = a["id"].to_numpy(), b["id"].to_numpy()
-        src, dst, dist = [], [], []
-        for part, d2 in distance_chunks(a, b):
-            if same:
-                d2[ids[part, None] == others[None, :]] = np.inf
-            top = np.argsort(d2, axis=1, kind="stable")[:, :k]
-            picked = np.take_along_axis(d2, top, 1)
-            keep = np.isfinite(picked)
-            src.append(np.repeat(ids[part], top.shape[1]).reshape(top.shape)[keep])
-            dst.append(others[top][keep])
-            dist.append(picked[keep])
-        return pd.DataFrame({"src": np.concatenate(src), "dst": np.concatenate(dst), "d2": np.concatenate(dist)})
-
-    t = _id_type(query, id_col)
-    part = blocked(query, ref, best, f"src {t}, dst {_id_type(ref, id_col)}, d2 double", by, id_col, vec, block_rows=block_rows)
-    rank = F.row_number().over(Window.partitionBy(*by, "src").orderBy("d2", "dst"))
-    return part.withColumn("rank", rank).where(F.col("rank") <= k).select(*by, "src", "dst", "rank", "d2")
-
-
 def within_radius(
     query: DataFrame, ref: DataFrame, radius: float, by: Sequence[str] = (), id_col: str = "obs_id", vec: str = "vec",
     block_rows: int = BLOCK_ROWS,
