@@ -10,8 +10,8 @@ from pyspark.sql import functions as F
 from tallyscope.functions.exprs import attach
 from tallyscope.functions.ordered import exact_quantiles, running_totals
 from tallyscope.operators.correlation import paired_cells
+from tallyscope.operators.gram import distance_of, gram_summaries
 from tallyscope.operators.stats import class_means, label_sizes, n_obs
-from tallyscope.operators.transform import explode_vector
 
 
 def two_sample(a: DataFrame, b: DataFrame, by: Sequence[str], value: str) -> DataFrame:
@@ -257,47 +257,40 @@ def rmse(truth: DataFrame, pred: DataFrame, keys: Sequence[str], cells: DataFram
     return attach(s, cells, by).select(*by, "squared_error", F.sqrt(F.col("squared_error") / F.col("total")).alias("rmse"))
 
 
-def batch_centroids(df: DataFrame, vec: str, batch: str, by: Sequence[str] = ()) -> DataFrame:
-    return explode_vector(df, vec, [*by, batch]).groupBy(*by, batch, "dim").agg(F.avg("v").alias("m"))
+def _two_batches(df: DataFrame, vec: str, batch: str, by: Sequence[str], values: Column) -> DataFrame:
+    """``_a`` and ``_b``: an array of the first and of the last batch of each group."""
+    g = gram_summaries(df, F.col(vec), [*by, batch]).withColumn("_value", values)
+    return g.groupBy(*by).agg(F.min_by("_value", batch).alias("_a"), F.max_by("_value", batch).alias("_b"), F.max(F.size("mean")).alias("_dims"))
 
 
 def centroid_distance(df: DataFrame, vec: str, batch: str, by: Sequence[str] = ()) -> DataFrame:
     """Euclidean distance of the two batch centroids."""
-    c = batch_centroids(df, vec, batch, by).groupBy(*by, "dim").agg((F.max("m") - F.min("m")).alias("d"))
-    return c.groupBy(*by).agg(F.sqrt(F.sum(F.col("d") * F.col("d"))).alias("centroid_distance"))
-
-
-def dim_products(df: DataFrame, left: str, right: str, keys: Sequence[str], by: Sequence[str], agg) -> DataFrame:
-    """Aggregate over rows for every pair of dimensions of two array columns.
-
-    The dim × dim expansion is reduced map-side; only dims² rows are shuffled.
-    """
-    e = df.select(*keys, F.posexplode(left).alias("i", "xi"), F.col(right).alias("_r"))
-    e = e.select(*keys, "i", F.col("xi").cast("double").alias("xi"), F.posexplode("_r").alias("j", "xj"))
-    return e.groupBy(*by, "i", "j").agg(agg(F.col("xi"), F.col("xj").cast("double")))
+    return _two_batches(df, vec, batch, by, F.col("mean")).select(*by, distance_of(F.col("_a"), F.col("_b")).alias("centroid_distance"))
 
 
 def covariance_distance(df: DataFrame, vec: str, batch: str, by: Sequence[str] = ()) -> DataFrame:
-    """Frobenius distance of the sample covariances, divided by the dimensions."""
-    g = [*by, batch]
-    c = dim_products(df, vec, vec, g, g, lambda x, y: F.covar_samp(x, y).alias("c"))
-    d = c.groupBy(*by, "i", "j").agg((F.max("c") - F.min("c")).alias("d"))
-    return d.groupBy(*by).agg(
-        (F.sqrt(F.sum(F.col("d") * F.col("d"))) / (F.max("i") + 1)).alias("covariance_distance")
-    )
+    """Frobenius distance of the sample covariances of two batches, divided by the dimensions; NULL for a batch of one row."""
+    covariance = F.when(F.col("n") > 1, F.transform("comoment", lambda c: c / (F.col("n") - 1)))
+    two = _two_batches(df, vec, batch, by, covariance)
+    return two.select(*by, (distance_of(F.col("_a"), F.col("_b")) / F.col("_dims")).alias("covariance_distance"))
 
 
 def linear_cka(df: DataFrame, x: str, y: str, by: Sequence[str] = ()) -> DataFrame:
     """Linear CKA of two array columns of the same rows.
 
-    ‖XᵀY‖² / (‖XᵀX‖·‖YᵀY‖) of the centred columns equals the same ratio of
-    covariances, which merge stably.
+    ‖XᵀY‖² / (‖XᵀX‖·‖YᵀY‖) of the centred columns: blocks of one comoment
+    matrix of both columns side by side.
     """
-    parts = None
-    for name, (a, b) in {"xy": (x, y), "xx": (x, x), "yy": (y, y)}.items():
-        c = dim_products(df, a, b, by, by, lambda u, v: F.covar_pop(u, v).alias("c"))
-        s = c.groupBy(*by).agg(F.sum(F.col("c") * F.col("c")).alias(name))
-        parts = s if parts is None else attach(parts, s, by)
+    both = df.select(*by, F.concat(F.transform(x, lambda v: v.cast("double")), F.transform(y, lambda v: v.cast("double"))).alias("_xy"), F.size(x).alias("_left"))
+    left = both.groupBy(*by).agg(F.max("_left").alias("_left"))
+    g = attach(gram_summaries(both, F.col("_xy"), by), left, by)
+    dims = F.size("mean")
+    row, col = (lambda i: F.floor(i / dims) < F.col("_left")), (lambda i: F.pmod(i, dims) < F.col("_left"))
+
+    def square(keep) -> Column:
+        return F.aggregate(F.transform("comoment", lambda c, i: F.when(keep(i), c * c).otherwise(0.0)), F.lit(0.0), lambda s, v: s + v)
+
+    parts = g.select(*by, square(lambda i: row(i) & ~col(i)).alias("xy"), square(lambda i: row(i) & col(i)).alias("xx"), square(lambda i: ~row(i) & ~col(i)).alias("yy"))
     den = F.sqrt(F.col("xx")) * F.sqrt(F.col("yy"))
     return parts.select(*by, F.when(den > 0, F.col("xy") / den).alias("linear_cka"))
 

@@ -23,6 +23,7 @@ from tallyscope.functions.ordered import exact_quantiles
 from tallyscope.functions.session import checkpointed
 from tallyscope.operators.metric import knn_vectors  # noqa: F401
 from tallyscope.operators.morton import nearest
+from tallyscope.operators.pairpass import SAMPLE_ROWS, distance_rows, pair_statistics
 
 BLOCK_ROWS = 4096
 
@@ -92,18 +93,6 @@ def blocked(
     return lrows.groupBy(*pair).cogroup(rrows.groupBy(*pair)).applyInPandas(reduce_pair, full)
 
 
-def distance_chunks(a: pd.DataFrame, b: pd.DataFrame, rows: int = 256):
-    """Yield (slice, squared distances) of left rows against the whole right block."""
-    x, y = np.stack(a["vec"].to_numpy()), np.stack(b["vec"].to_numpy())
-    for start in range(0, len(x), rows):
-        part = x[start:start + rows]
-        d2 = np.zeros((len(part), len(y)))
-        for j in range(x.shape[1]):
-            diff = part[:, j, None] - y[None, :, j]
-            d2 += diff * diff
-        yield slice(start, start + len(part)), d2
-
-
 def _id_type(df: DataFrame, id_col: str) -> str:
     return df.schema[id_col].dataType.simpleString()
 
@@ -116,7 +105,7 @@ def within_radius(
 
     def close(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         ids, others, out = a["id"].to_numpy(), b["id"].to_numpy(), []
-        for part, d2 in distance_chunks(a, b):
+        for part, d2 in distance_rows(np.stack(a["vec"].to_numpy()), np.stack(b["vec"].to_numpy())):
             i, j = np.nonzero(np.sqrt(d2) < radius)
             out.append(pd.DataFrame({"src": ids[part][i], "dst": others[j], "d2": d2[i, j]}))
         return pd.concat(out)
@@ -125,43 +114,18 @@ def within_radius(
     return blocked(query, ref, close, schema, by, id_col, vec, block_rows=block_rows).select(*by, "src", "dst", "d2")
 
 
-def distance_sums(df: DataFrame, label: str, by: Sequence[str] = (), id_col: str = "obs_id", vec: str = "vec", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Σ distance and row count from every row to every label (self included, distance 0)."""
-
-    def sums(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        codes, names = pd.factorize(b["_label"], use_na_sentinel=False)
-        onehot = np.zeros((len(b), len(names)))
-        onehot[np.arange(len(b)), codes] = 1.0
-        total = np.concatenate([np.sqrt(d2) @ onehot for _, d2 in distance_chunks(a, b)])
-        n = onehot.sum(axis=0)
-        return pd.DataFrame({
-            "id": np.repeat(a["id"].to_numpy(), len(names)), "own": np.repeat(a["_label"].to_numpy(), len(names)),
-            "other": np.tile(np.asarray(names), len(a)), "total": total.ravel(), "n": np.tile(n.astype("int64"), len(a)),
-        })
-
-    t = df.schema[label].dataType.simpleString()
-    named = df.withColumn("_label", F.col(label))
-    part = blocked(
-        named, named, sums, f"id {_id_type(df, id_col)}, own {t}, other {t}, total double, n bigint", by, id_col, vec,
-        ["_label"], ["_label"], block_rows,
-    )
-    return part.groupBy(*by, "id", "own", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+def _vector_rows(df: DataFrame, by: Sequence[str], id_col: str, vec: str, *more) -> tuple[DataFrame, list[str]]:
+    """(keys…, id, v, …) as ``pairpass`` takes them; without ``by`` all rows are one group."""
+    keys = list(by) or ["_k"]
+    df = df if by else df.withColumn("_k", F.lit(0))
+    return df.select(*keys, F.col(id_col).alias("id"), F.transform(vec, lambda v: v.cast("double")).alias("v"), *more), keys
 
 
 def silhouette_rows(df: DataFrame, label: str, by: Sequence[str] = (), id_col: str = "obs_id", vec: str = "vec", block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Exact Euclidean silhouette per row; a singleton cluster scores 0."""
-    s = distance_sums(df, label, by, id_col, vec, block_rows)
-    own = F.col("own") == F.col("other")
-    g = s.groupBy(*by, "id", F.col("own").alias(label)).agg(
-        F.max(F.when(own, F.col("n"))).alias("_n"),
-        F.max(F.when(own & (F.col("n") > 1), F.col("total") / (F.col("n") - 1))).alias("_a"),
-        F.min(F.when(~own, F.col("total") / F.col("n"))).alias("_b"),
-    )
-    top = F.greatest("_a", "_b")
-    return g.select(
-        *by, F.col("id").alias(id_col), label,
-        F.when((F.col("_n") == 1) | (top == 0), 0.0).otherwise((F.col("_b") - F.col("_a")) / top).alias("silhouette"),
-    )
+    """Exact Euclidean silhouette per row; a singleton cluster scores 0.  Rows without a label take no part."""
+    rows, keys = _vector_rows(df, by, id_col, vec, F.col(label).cast("string").alias("_label"))
+    scored = pair_statistics(rows.where("_label is not null"), keys, ["_label"], block_rows=block_rows)["_label"]
+    return scored.select(*by, F.col("id").alias(id_col), F.col("_named").cast(df.schema[label].dataType).alias(label), "silhouette")
 
 
 def silhouette(df: DataFrame, label: str, by: Sequence[str] = (), **kw) -> DataFrame:
@@ -169,41 +133,27 @@ def silhouette(df: DataFrame, label: str, by: Sequence[str] = (), **kw) -> DataF
     return silhouette_rows(df, label, by, **kw).groupBy(*by).agg(F.avg("silhouette").alias("silhouette"))
 
 
+def pair_distance(a: str, b: str):
+    """Euclidean distance of two array columns."""
+    gap = F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double")))
+    return F.sqrt(F.aggregate(gap, F.lit(0.0), lambda s, v: s + v))
+
+
 def paired_retrieval(ref: DataFrame, query: DataFrame, by: Sequence[str] = (), id_col: str = "obs_id", vec: str = "vec", block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Per query: is the same-id reference the nearest, and at which rank.
 
-    The tolerance is 1e-12 + 1e-9·max(1, nearest distance).
+    The tolerance is 1e-12 + 1e-9·max(1, nearest distance).  Queries without a
+    partner are left out.
     """
     keys = [*by, id_col]
-    squares = F.aggregate(
-        F.zip_with("_p", vec, lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))),
-        F.lit(0.0), lambda acc, v: acc + v,
-    )
-    q = query.join(ref.select(*keys, F.col(vec).alias("_p")), keys).withColumn("_paired", F.sqrt(squares)).drop("_p")
-    t = _id_type(query, id_col)
-
-    def low(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        m = np.concatenate([np.sqrt(d2.min(axis=1)) for _, d2 in distance_chunks(a, b)])
-        return pd.DataFrame({"id": a["id"].to_numpy(), "m": m})
-
-    minimum = blocked(q, ref, low, f"id {t}, m double", by, id_col, vec, block_rows=block_rows).groupBy(*by, "id").agg(
-        F.min("m").alias("_min")
-    ).withColumn("_tol", 1e-12 + 1e-9 * F.greatest(F.lit(1.0), F.abs("_min")))
-    q = q.join(minimum.withColumnRenamed("id", id_col), keys)
-    q = q.withColumn("_cut", F.col("_paired") - F.col("_tol"))
-
-    def closer(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        cut = a["_cut"].to_numpy()
-        n = np.concatenate([(np.sqrt(d2) < cut[part, None]).sum(axis=1) for part, d2 in distance_chunks(a, b)])
-        return pd.DataFrame({"id": a["id"].to_numpy(), "n": n.astype("int64")})
-
-    ranks = blocked(q, ref, closer, f"id {t}, n bigint", by, id_col, vec, ["_cut"], block_rows=block_rows).groupBy(
-        *by, "id"
-    ).agg((F.sum("n") + 1).alias("rank"))
-    return q.join(ranks.withColumnRenamed("id", id_col), keys).select(
-        *keys, F.col("_paired").alias("paired_distance"),
-        (F.col("_paired") <= F.col("_min") + F.col("_tol")).alias("top1"), "rank",
+    asks = query.join(ref.select(*keys, F.col(vec).alias("_p")), keys).withColumn("_paired", pair_distance("_p", vec))
+    side = lambda df, name, paired: df.select(
+        *by, F.concat(F.lit(name), F.col(id_col).cast("string")).alias("_id"), vec, F.lit(name == "q").alias("_asks"), F.lit(name == "r").alias("_answers"), paired.alias("_paired")
     )
+    both = side(asks, "q", F.col("_paired")).unionByName(side(ref, "r", F.lit(None).cast("double")))
+    rows, group = _vector_rows(both, by, "_id", vec, "_asks", "_answers", "_paired")
+    found = pair_statistics(rows, group, retrieval=True, block_rows=block_rows)["retrieval"]
+    return found.select(*by, F.substring("id", 2, 1 << 30).cast(query.schema[id_col].dataType).alias(id_col), "paired_distance", "top1", "rank")
 
 
 def retrieval_summary(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -213,70 +163,18 @@ def retrieval_summary(rows: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return attach(s, exact_quantiles(rows, by, "rank", {"median_rank": 0.5}), by)
 
 
-def mmd2_rbf(df: DataFrame, batch: str, first, second, by: Sequence[str] = (), id_col: str = "obs_id", vec: str = "vec", block_rows: int = BLOCK_ROWS) -> DataFrame:
+def mmd2_rbf(
+    df: DataFrame, batch: str, first, second, by: Sequence[str] = (), id_col: str = "obs_id", vec: str = "vec", block_rows: int = BLOCK_ROWS, sample_rows: int = SAMPLE_ROWS,
+) -> DataFrame:
     """Biased RBF-MMD² over all rows, with the median positive distance as bandwidth.
 
-    The median is selected exactly: distances are positive doubles, which sort
-    like their bits, so four passes over the block pairs count them by 16 more
-    bits each.  A task returns counts and sums, never distances.  NULL if a
-    batch is empty.
+    The median is exact: one pass counts distances by the slots of a sampled
+    bracket, the next looks at the values of the slots that hold it and sums
+    the kernel.  NULL if a batch is empty.
     """
-    keys, added = list(by), not by
-    if added:
-        df, keys = df.withColumn("_k", F.lit(0)), ["_k"]
-    rows = df.where(F.col(batch).isin(first, second)).select(*keys, F.col(id_col), F.col(vec), (F.col(batch) == F.lit(first)).alias("_first"))
-
-    def pass_over(sides: DataFrame, extra: Sequence[str], fn, schema: str) -> DataFrame:
-        return blocked(sides, rows, fn, schema, keys, id_col, vec, extra, ["_first"], block_rows)
-
-    # both middle places of the positive distances; pre is what is known of their bits
-    marks = None
-    for step in range(4):
-        shift = 48 - 16 * step
-        sides = rows if marks is None else rows.join(checkpointed(marks.groupBy(*keys).agg(F.collect_list("_pre").alias("_pres"))), keys)
-
-        def count(a: pd.DataFrame, b: pd.DataFrame, shift=shift, step=step) -> pd.DataFrame:
-            totals: dict[int, int] = {}
-            known = None if step == 0 else np.unique(np.asarray(a["_pres"].iloc[0], np.int64))
-            for _, d2 in distance_chunks(a, b):
-                bits = np.sqrt(d2[d2 > 0]).view(np.int64) >> shift
-                if known is not None:
-                    bits = bits[np.isin(bits >> 16, known)]
-                for value, n in zip(*np.unique(bits, return_counts=True), strict=True):
-                    totals[int(value)] = totals.get(int(value), 0) + int(n)
-            return pd.DataFrame({"bits": np.array(list(totals), np.int64), "n": np.array(list(totals.values()), np.int64)})
-
-        counts = checkpointed(pass_over(sides, [] if step == 0 else ["_pres"], count, "bits bigint, n bigint").groupBy(*keys, "bits").agg(F.sum("n").alias("n")))
-        if marks is None:
-            total = counts.groupBy(*keys).agg(F.sum("n").alias("_t"))
-            marks = total.select(*keys, F.explode(F.array(F.floor((F.col("_t") - 1) / 2), F.floor(F.col("_t") / 2))).alias("_at")).withColumn("_pre", F.lit(0).cast("long"))
-            marks = marks.withColumn("_which", F.row_number().over(Window.partitionBy(*keys).orderBy("_at")))
-        # at most 65 536 rows per known prefix
-        upto = counts.withColumn("_p", F.shiftright("bits", 16)).withColumn(
-            "_cum", F.sum("n").over(Window.partitionBy(*keys, "_p").orderBy("bits"))
-        )
-        found = marks.join(upto, keys).where((F.col("_p") == F.col("_pre")) & (F.col("_cum") > F.col("_at")) & (F.col("_cum") - F.col("n") <= F.col("_at")))
-        marks = checkpointed(found.select(*keys, "_which", (F.col("_at") - F.col("_cum") + F.col("n")).alias("_at"), F.col("bits").alias("_pre")))
-    middle = marks.groupBy(*keys).agg(F.collect_list("_pre").alias("_bits"))
-    sides = rows.join(checkpointed(middle), keys, "left")
-
-    def kernel(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        bits = a["_bits"].iloc[0]
-        width = float(np.mean(np.asarray(bits, np.int64).view(np.float64))) if bits is not None else 1.0
-        f, g = a["_first"].to_numpy(bool), b["_first"].to_numpy(bool)
-        sums = np.zeros((2, 2))
-        for part, d2 in distance_chunks(a, b):
-            k = np.exp(-d2 / (2.0 * max(width, 1e-12) ** 2))
-            for i, rows_ in enumerate((f[part], ~f[part])):
-                for j, cols in enumerate((g, ~g)):
-                    sums[i, j] += k[rows_][:, cols].sum()
-        pairs = [[int(x.sum()) * int(y.sum()) for y in (g, ~g)] for x in (f, ~f)]
-        return pd.DataFrame({"w": [width], "s11": sums[0, 0], "s22": sums[1, 1], "s12": sums[0, 1], "n11": pairs[0][0], "n22": pairs[1][1], "n12": pairs[0][1]})
-
-    sums = pass_over(sides, ["_first", "_bits"], kernel, "w double, s11 double, s22 double, s12 double, n11 bigint, n22 bigint, n12 bigint")
-    g = sums.groupBy(*keys).agg(F.max("w").alias("bandwidth"), *[F.sum(c).alias(c) for c in ("s11", "s22", "s12", "n11", "n22", "n12")])
-    value = F.greatest(F.col("s11") / F.col("n11") + F.col("s22") / F.col("n22") - 2.0 * F.col("s12") / F.col("n12"), F.lit(0.0))
-    return g.select(*by, F.when((F.col("n11") > 0) & (F.col("n22") > 0), value).alias("mmd2"), "bandwidth")
+    used = df.where(F.col(batch).isin(first, second))
+    rows, keys = _vector_rows(used, by, id_col, vec, (F.col(batch) == F.lit(first)).alias("_first"))
+    return pair_statistics(rows, keys, mmd=True, block_rows=block_rows, sample_rows=sample_rows)["mmd"].select(*by, "mmd2", "bandwidth")
 
 
 def distance_spearman(
@@ -299,13 +197,7 @@ def distance_spearman(
     other = F.pmod(F.col("pos") + 1 + step, F.col("n"))
     pairs = drawn.select("pos", other.alias("_q")).select(F.least("pos", "_q").alias("i"), F.greatest("pos", "_q").alias("j")).distinct()
 
-    def dist(u: str, v: str):
-        return F.sqrt(F.aggregate(
-            F.zip_with(u, v, lambda a, b: (a.cast("double") - b.cast("double")) * (a.cast("double") - b.cast("double"))),
-            F.lit(0.0), lambda acc, t: acc + t,
-        ))
-
     a = placed.select(F.col("pos").alias("i"), F.col(left).alias("_li"), F.col(right).alias("_ri"))
     b = placed.select(F.col("pos").alias("j"), F.col(left).alias("_lj"), F.col(right).alias("_rj"))
-    d = pairs.join(a, "i").join(b, "j").select(dist("_li", "_lj").alias("_dl"), dist("_ri", "_rj").alias("_dr"))
+    d = pairs.join(a, "i").join(b, "j").select(pair_distance("_li", "_lj").alias("_dl"), pair_distance("_ri", "_rj").alias("_dr"))
     return spearman(d, "_dl", "_dr", (), "distance_spearman")
