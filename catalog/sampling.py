@@ -221,3 +221,34 @@ def _(t: Tables):
 
     scores, _ = voxel.pca(t.points(), "vec", 10)
     return transform.explode_vector(scores, "pc", ["obs_id"]).groupBy("dim").agg(F.var_samp("v").alias("variance"), F.count(F.lit(1)).alias("n"))
+
+
+PCA = {
+    "lp": "SELECT obs_id, CAST(sum(value) AS DOUBLE) AS lib FROM place_counts GROUP BY 1",
+    "dp": "SELECT p.obs_id, d.feature_id, coalesce(ln(1 + c.value * (10000.0::DOUBLE / lib)), 0.0) AS v FROM points p CROSS JOIN dims d LEFT JOIN place_counts c ON c.obs_id = p.obs_id AND c.feature_id = d.feature_id LEFT JOIN lp ON lp.obs_id = p.obs_id",
+}
+
+
+@query("pc1_sparse_components", sql(
+    "SELECT k AS components, k AS n_variances, total, 0.0 AS gap, CASE WHEN k = 64 THEN total END AS held FROM (SELECT unnest([10, 20, 50, 64]) AS k) CROSS JOIN (SELECT sum(v) AS total FROM (SELECT var_samp(v) AS v FROM dp GROUP BY feature_id))",
+    "total gap held", "components n_variances", PCA))
+def _(t: Tables):
+    """Components of log-normalised sparse counts, by what must hold of them: the variance of the table, how far the
+    variance of any score is from the Rayleigh quotient of its component, and that all components hold it all."""
+    from tallyscope.operators.sparse_pca import sparse_pca
+
+    cells, obs = checkpointed(transform.log_normalize(t.place_counts())), t.points().select("obs_id")
+    out = None
+    for k in (10, 20, 50, 64):
+        found = sparse_pca(cells, obs, k, rtol=1e-6)
+        # the score of each observation again, from the loadings and the stored cells
+        again = cells.join(found.loadings, "feature_id").select("obs_id", F.posexplode(F.transform("loading", lambda v: v * F.col("value"))).alias("dim", "v")).groupBy("obs_id", "dim").agg(F.sum("v").alias("v"))
+        n = obs.count()
+        spread = again.groupBy("dim").agg(((F.sum(F.col("v") * F.col("v")) - F.sum("v") * F.sum("v") / n) / (n - 1)).alias("rayleigh"))
+        own = transform.explode_vector(found.scores, "pc", ["obs_id"]).groupBy("dim").agg(F.var_samp("v").alias("variance"))
+        row = own.join(spread, "dim").agg(
+            F.lit(k).cast("long").alias("components"), F.count(F.lit(1)).alias("n_variances"), F.lit(found.total_variance).alias("total"),
+            F.max(F.abs(F.col("variance") - F.col("rayleigh"))).alias("gap"), (F.sum("variance") if k == 64 else F.lit(None).cast("double")).alias("held"),
+        )
+        out = row if out is None else out.unionByName(row)
+    return out.select("components", "n_variances", *[(F.round(c, 6) + 0.0).alias(c) for c in ("total", "gap", "held")])
