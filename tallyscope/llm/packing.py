@@ -19,6 +19,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
@@ -47,14 +48,17 @@ class WordTokens:
     In this vocabulary a text's ids are those of its pre-tokens one after the
     other, and the last id of each pre-token marks its end.  Pre-tokens are
     found and hashed over a buffer of many texts at once; new ones are encoded
-    together, known ones are looked up by a 64-bit hash in an open table.
+    together, known ones are looked up by a 64-bit hash in an open table.  Texts
+    that hold the name of a special token go through the tokenizer as a whole;
+    the name is that token there, or with ``special_as_text`` ordinary text.
     """
 
-    def __init__(self, path: str, known: int = KNOWN_WORDS) -> None:
+    def __init__(self, path: str, known: int = KNOWN_WORDS, special_as_text: bool = False) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = special_as_text
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -113,6 +117,8 @@ class WordTokens:
         after_mark = (before == 0xC3) & PLAIN_PAIR[raw]
         odd = np.concatenate([[0], np.cumsum(~(PLAIN[raw] | after_mark))])
         slow = odd[offsets[1:]] > odd[offsets[:-1]]
+        for name in self.special:
+            slow |= pc.match_substring(texts, name).fill_null(False).to_numpy(zero_copy_only=False)
         data = LOWER[raw] + 32 * (after_mark & (raw < 0x9F)).astype(np.uint8)
         kinds = np.where(BLANKS[data], 0, np.where(LETTERS[data], 1, 2)).astype(np.uint8)
         digit = np.flatnonzero((data >= 48) & (data < 58))

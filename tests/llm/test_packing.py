@@ -60,6 +60,18 @@ def test_words_looked_up_are_the_tokenizers(words):
             assert ids[a:b].tolist() == w.tokenizer.encode(t or "", add_special_tokens=False).ids
 
 
+def test_names_of_special_tokens():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    batch = ["a <|endoftext|> b", "<|startoftext|>", "a<|endoftext|>b <|ENDOFTEXT|>", "plain", "<|endof text|>"]
+    for as_text in (False, True):
+        t = Tokenizer.from_file(tokenizer_path())
+        t.encode_special_tokens = as_text
+        ids, bounds = WordTokens(tokenizer_path(), special_as_text=as_text).encode(pa.array(batch))
+        assert [ids[a:b].tolist() for a, b in zip(bounds[:-1], bounds[1:])] == [t.encode(x, add_special_tokens=False).ids for x in batch]
+
+
 def test_pieces_spell_the_documents(spark, words):
     rows = [(i, t, "x", 5) for i, t in enumerate(texts() + [words(700) for _ in range(30)])] + [(None, "no id", "x", 1), (0, texts()[0], "x", 5)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, ids string, start int").repartition(3)
@@ -67,7 +79,6 @@ def test_pieces_spell_the_documents(spark, words):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_path())
-    t.encode_special_tokens = True
     want = {}
     for i, text, *_ in rows:
         want.setdefault(i, []).append([*t.encode(text or "", add_special_tokens=False).ids, 1])
