@@ -53,9 +53,9 @@ def _(t: Tables):
     return pairing.pair_observations(*_pair_sides(t), ["case"])
 
 
-@query("jn3_common_features", sql("SELECT feature_id, brand FROM features WHERE feature_id IN (SELECT l_partkey FROM lineitem WHERE l_quantity >= 49)"))
+@query("jn3_common_features", sql("SELECT feature_id, brand FROM features WHERE feature_id IN (SELECT l_partkey FROM lineitem)"))
 def _(t: Tables):
-    sim = t.read("lineitem").where("l_quantity >= 49").select(F.col("l_partkey").alias("feature_id"))
+    sim = t.read("lineitem").select(F.col("l_partkey").alias("feature_id"))
     return pairing.common_features(t.features().select("feature_id", "brand"), sim)
 
 

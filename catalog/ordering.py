@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from catalog.registry import query
 from catalog.tables import METRICS, Tables, pear, sql
+from tallyscope.functions.session import checkpointed
 from tallyscope.operators import axis, stats, topk
 
 
@@ -80,12 +81,12 @@ def _(t: Tables):
 
 
 @query("wn6_continuity_summary", sql(
-    """SELECT count(*) FILTER (WHERE label < 'e') AS generated_n, avg(z_coherence) FILTER (WHERE label < 'e') AS generated_mean, quantile_cont(z_coherence, 0.5::DOUBLE) FILTER (WHERE label < 'e') AS generated_median, count(*) AS baseline_n, avg(z_coherence) AS baseline_mean, quantile_cont(z_coherence, 0.5::DOUBLE) AS baseline_median,
-    quantile_cont(z_coherence, 0.5::DOUBLE) FILTER (WHERE label < 'e') / quantile_cont(z_coherence, 0.5::DOUBLE) AS normalized_z_coherence FROM co WHERE n_z_levels >= 3 AND z_coherence IS NOT NULL""",
+    """SELECT count(*) AS generated_n, avg(g) AS generated_mean, quantile_cont(g, 0.5::DOUBLE) AS generated_median, count(*) AS baseline_n, avg(z_coherence) AS baseline_mean, quantile_cont(z_coherence, 0.5::DOUBLE) AS baseline_median,
+    quantile_cont(g, 0.5::DOUBLE) / quantile_cont(z_coherence, 0.5::DOUBLE) AS normalized_z_coherence FROM (SELECT *, z_coherence * abs(z_coherence) AS g FROM co WHERE n_z_levels >= 3 AND z_coherence IS NOT NULL)""",
     "generated_mean generated_median baseline_mean baseline_median normalized_z_coherence", extra=HALF))
 def _(t: Tables):
-    c = axis.z_coherence(_halves(t))
-    return axis.continuity_summary(c.where("label < 'e'"), c)
+    c = checkpointed(axis.z_coherence(_halves(t)))
+    return axis.continuity_summary(c.withColumn("z_coherence", F.col("z_coherence") * F.abs("z_coherence")), c)
 
 
 @query("wn7_age_summary", sql(

@@ -38,7 +38,7 @@ def _(t: Tables):
 
 WEIGHTED = {
     "rfs": "SELECT nation AS slice_id, label, obs_id, row_number() OVER (PARTITION BY nation, label ORDER BY obs_id) - 1 AS idx, count(*) OVER (PARTITION BY nation, label) AS n FROM obs",
-    "opt": "SELECT DISTINCT label, slice_id, 1.0::DOUBLE + slice_id % 3 AS w, n FROM rfs WHERE slice_id < 20",
+    "opt": "SELECT DISTINCT label, slice_id, CASE WHEN label = 0 THEN 1.0::DOUBLE ELSE 1.0::DOUBLE + slice_id % 3 END AS w, n FROM rfs",
     "tgs": "SELECT obs_id AS target_id, label, r AS replicate, ((obs_id * 48271 + r * 7919) % 1000003) / 1000003.0::DOUBLE AS u FROM obs CROSS JOIN (SELECT unnest(range(0, 2)) AS r) WHERE label IN (SELECT label FROM opt)",
     "cum": "SELECT *, sum(w) OVER (PARTITION BY label ORDER BY slice_id) AS hi, sum(w) OVER (PARTITION BY label ORDER BY slice_id) - w AS lo, sum(w) OVER (PARTITION BY label) AS tot FROM opt",
 }
@@ -48,12 +48,12 @@ WEIGHTED = {
     "SELECT t.target_id, t.replicate, c.slice_id, t.label FROM tgs t JOIN cum c ON c.label = t.label AND t.u * c.tot >= c.lo AND t.u * c.tot < c.hi", "", "replicate", WEIGHTED))
 def _(t: Tables):
     o = t.obs().select("obs_id", "label", F.col("nation").alias("slice_id"))
-    weights = o.where("slice_id < 20").select("slice_id").distinct().select(
+    # the slices of one class have no weights, so that its donors are the declared ones
+    weights = o.where("label <> 0").select("slice_id").distinct().select(
         F.lit(0).alias("target_slice"), "slice_id", (1.0 + F.col("slice_id") % 3).alias("weight")
     )
-    spare = o.where("slice_id >= 20").select(F.lit(0).alias("target_slice"), "label", "slice_id").limit(0)
-    labels = o.where("slice_id < 20").select("label").distinct()
-    target = o.join(labels, "label", "left_semi").select(F.lit(0).alias("target_slice"), "label", "obs_id")
+    spare = o.where("label = 0").select(F.lit(0).alias("target_slice"), "label", "slice_id").distinct()
+    target = o.select(F.lit(0).alias("target_slice"), "label", "obs_id")
     u = F.pmod(F.col("obs_id") * 48271 + F.col("replicate") * 7919, F.lit(1000003)) / 1000003.0
     d = resample.weighted_donors(o, weights, spare, target, 2, 5, uniform=u)
     return d.select("target_id", F.col("replicate").cast("long").alias("replicate"), "slice_id", "label")
@@ -92,13 +92,15 @@ def _(t: Tables):
 
 # --- rankings and gene sets --------------------------------------------------
 
-SETS = {"sets": "SELECT p_brand AS term, p_partkey AS feature_id FROM part UNION SELECT p_type || '-' || CAST(p_size % 7 AS VARCHAR), p_partkey FROM part"}
+# The number of sets grows with the parts, their size does not.
+SETS = {"sets": "SELECT p_brand || '-' || CAST(p_partkey // 1000 AS VARCHAR) AS term, p_partkey AS feature_id FROM part UNION SELECT p_type || '-' || CAST(p_size % 7 AS VARCHAR) || '-' || CAST(p_partkey // 2000 AS VARCHAR), p_partkey FROM part"}
 
 
 def _sets(t: Tables):
     p = t.read("part")
-    rows = p.select(F.col("p_brand").alias("term"), "p_partkey").unionByName(
-        p.select(F.concat_ws("-", "p_type", (F.col("p_size") % 7).cast("string")).alias("term"), "p_partkey")
+    part = lambda n: F.floor(F.col("p_partkey") / n).cast("string")
+    rows = p.select(F.concat_ws("-", "p_brand", part(1000)).alias("term"), "p_partkey").unionByName(
+        p.select(F.concat_ws("-", "p_type", (F.col("p_size") % 7).cast("string"), part(2000)).alias("term"), "p_partkey")
     )
     return rows.groupBy("term").agg(F.collect_set("p_partkey").alias("members"))
 
@@ -154,16 +156,53 @@ def _(t: Tables):
     return e.withColumn("leading_edge", F.concat_ws(",", F.transform("leading_edge", lambda g: g.cast("string"))))
 
 
-def _significance(t: Tables, permutations: int = 200):
+PERMUTATIONS = 100
+
+
+def _placed(walks: int = 6) -> str:
+    """(label, m, n, p, pos): the keyed bijection at 0 … m - 1, round by round."""
+    prime, mix, keyed, step = enrich.PRIME, enrich.MIX, enrich.KEYED, enrich.STEP
+    key = f"(p * 7919 + m * 104729 + 2026) % {prime}"
+    q = f"SELECT label, m, n, p, {key} AS key, CAST(ceil(sqrt(n)) AS BIGINT) AS a, CAST(ceil(n / ceil(sqrt(n))) AS BIGINT) AS b, i AS x, true AS todo FROM (SELECT DISTINCT label, CAST(n_hits AS BIGINT) AS m, CAST(n_genes AS BIGINT) AS n FROM es) CROSS JOIN (SELECT unnest(range(0, {PERMUTATIONS})) AS p), LATERAL (SELECT unnest(range(0, m)) AS i)"
+    for _ in range(walks):
+        q = f"SELECT label, m, n, p, key, a, b, x, todo, x // b AS l, x % b AS r FROM ({q})"
+        for j in range(enrich.ROUNDS):
+            v, digit, size = ("r", "l", "a") if j % 2 == 0 else ("l", "r", "b")
+            t = f"(({v} + 1) * {mix} + key * {keyed} + {j} * {step}) % {prime}"
+            q = f"SELECT label, m, n, p, key, a, b, x, todo, l, r, (t * t % {prime} * {keyed} + {v}) % {prime} AS t FROM (SELECT *, {t} AS t FROM ({q}))"
+            other = "r" if digit == "l" else "l"
+            q = f"SELECT label, m, n, p, key, a, b, x, todo, ({digit} + t * t % {prime}) % {size} AS {digit}, {other} FROM ({q})"
+        q = f"SELECT label, m, n, p, key, a, b, x, x >= n AS todo FROM (SELECT label, m, n, p, key, a, b, CASE WHEN todo THEN l * b + r ELSE x END AS x FROM ({q}))"
+    return f"SELECT label, m, n, p, x + 1 AS pos FROM ({q})"
+
+
+NULLS = {**ES,
+    "nullhits": "SELECT d.label, d.m, d.n, d.p, d.pos, abs(o.score) AS w, row_number() OVER v AS k, sum(abs(o.score)) OVER v AS cw, sum(abs(o.score)) OVER (PARTITION BY d.label, d.m, d.p) AS tot FROM (" + _placed() + ") d JOIN op o ON o.label = d.label AND o.pos = d.pos WINDOW v AS (PARTITION BY d.label, d.m, d.p ORDER BY d.pos)",
+    "nn": "SELECT label, m, p, CASE WHEN abs(up) >= abs(dn) THEN up ELSE dn END AS e FROM (SELECT label, m, p, max(cw / tot - (pos - k) / CAST(n - m AS DOUBLE)) AS up, min((cw - w) / tot - (pos - k) / CAST(n - m AS DOUBLE)) AS dn FROM nullhits GROUP BY 1, 2, 3)",
+    "nm": "SELECT label, m, sign(e) AS s, count(*) AS c, avg(abs(e)) AS mean FROM nn GROUP BY ALL",
+    "sc": "SELECT es.label, es.term, es.n_hits, es.es, sign(es.es) AS s, mean, CASE WHEN c >= 10 AND mean > 0 THEN es.es / mean END AS nes FROM es LEFT JOIN nm ON nm.label = es.label AND nm.m = es.n_hits AND nm.s = sign(es.es)",
+    "np": "SELECT sc.label, sc.term, count(*) FILTER (WHERE abs(e) >= abs(es)) / CAST(count(*) AS DOUBLE) AS p FROM sc JOIN nn ON nn.label = sc.label AND nn.m = sc.n_hits AND sign(e) = sc.s WHERE nes IS NOT NULL GROUP BY 1, 2",
+    "pool": "SELECT nn.label, sign(e) AS s, abs(e) / mean AS v, k AS c FROM nn JOIN nm ON nm.label = nn.label AND nm.m = nn.m AND nm.s = sign(e) JOIN (SELECT label, n_hits, count(*) AS k FROM sc WHERE nes IS NOT NULL GROUP BY 1, 2) t ON t.label = nn.label AND t.n_hits = nn.m WHERE mean > 0",
+    "fq": "SELECT label, term, least(((SELECT coalesce(sum(c), 0) FROM pool WHERE pool.label = sc.label AND pool.s = sc.s AND pool.v >= abs(sc.nes)) / CAST((SELECT sum(c) FROM pool WHERE pool.label = sc.label AND pool.s = sc.s) AS DOUBLE)) / ((SELECT count(*) FROM sc d WHERE d.label = sc.label AND d.s = sc.s AND abs(d.nes) >= abs(sc.nes)) / CAST((SELECT count(*) FROM sc d WHERE d.label = sc.label AND d.s = sc.s AND d.nes IS NOT NULL) AS DOUBLE)), 1.0) AS q FROM sc WHERE nes IS NOT NULL",
+}
+
+
+def _null(t: Tables):
     r = _ranking(t)
     e = checkpointed(enrich.enrichment_scores(r, _sets(t), ["label"]))
-    null = enrich.permutation_null(r, e.select("label", "n_hits"), ["label"], permutations)
-    return enrich.enrichment_significance(e.select("label", "term", "n_hits", "es"), null, ["label"])
+    return e, enrich.permutation_null(r, e.select("label", "n_hits"), ["label"], PERMUTATIONS)
 
 
-@query("gs5_enrichment_significance")
+@query("gs5_permutation_null", sql("SELECT label, m AS n_hits, p AS permutation, e AS null_es FROM nn", "null_es", "n_hits permutation", NULLS))
 def _(t: Tables):
-    return _significance(t)
+    return _null(t)[1].withColumn("permutation", F.col("permutation").cast("long"))
+
+
+@query("gs5_enrichment_significance", sql(
+    "SELECT sc.label, sc.term, sc.n_hits, sc.es, sc.nes, np.p AS nominal_p, fq.q AS fdr_q FROM sc LEFT JOIN np USING (label, term) LEFT JOIN fq USING (label, term)", "es nes nominal_p fdr_q", "n_hits", NULLS))
+def _(t: Tables):
+    e, null = _null(t)
+    return enrich.enrichment_significance(e.select("label", "term", "n_hits", "es"), null, ["label"])
 
 
 ENR = {

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -151,48 +151,72 @@ def enrichment_scores(ranking: DataFrame, sets: DataFrame, by: Sequence[str] = (
     )
 
 
-def permutation_null(ranking: DataFrame, sizes: DataFrame, by: Sequence[str], permutations: int = 1000, seed: int = 2026, weight: float = 1.0, chunks: int = 16) -> DataFrame:
+# A prime below 2^31 and multipliers below it, whose products stay inside 63 bits.
+PRIME, MIX, KEYED, STEP = 2_147_483_647, 48_271, 69_621, 16_807
+ROUNDS = 6
+
+
+def permuted_places(places: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Keyed bijections of 0 … n - 1, each evaluated at one place; all are arrays of whole numbers.
+
+    A Feistel network over a · b places, a and b about the root of n: its two
+    digits are shifted in turn by a hash of the other.  Places that land
+    behind n walk on through the same network until they land inside.
+    """
+    a = np.ceil(np.sqrt(n)).astype(np.int64)
+    b = np.ceil(n / a).astype(np.int64)
+    out, todo = places.astype(np.int64).copy(), np.arange(len(places))
+    while len(todo):
+        base, k, high = b[todo], key[todo], a[todo]
+        left, right = out[todo] // base, out[todo] % base
+        for j in range(ROUNDS):
+            v = right if j % 2 == 0 else left
+            t = ((v + 1) * MIX + k * KEYED + j * STEP) % PRIME
+            t = (t * t % PRIME * KEYED + v) % PRIME
+            t = t * t % PRIME
+            if j % 2 == 0:
+                left = (left + t) % high
+            else:
+                right = (right + t) % base
+        out[todo] = left * base + right
+        todo = todo[out[todo] >= n[todo]]
+    return out
+
+
+def permutation_null(ranking: DataFrame, sizes: DataFrame, by: Sequence[str], permutations: int = 1000, seed: int = 2026, weight: float = 1.0, chunks: int | None = None) -> DataFrame:
     """(by…, n_hits, permutation, null_es) of random sets of the given sizes.
 
-    The permutations of one ranking are spread over ``chunks`` tasks, each
-    seeing the scores of one panel; ``sizes`` is (by…, n_hits).
+    The members of a permutation are the images of 0 … m - 1 under a bijection
+    keyed by seed, size and permutation, so they are m evaluations and a join by
+    position; nothing is drawn from a whole ranking.  ``sizes`` is (by…, n_hits);
+    sizes as large as the ranking have no null.  ``chunks`` sets in how many tasks sets are drawn.
     """
     # fresh aliases: both sides may stem from one frame
     own = [F.col(c).alias(c) for c in by]
-    ordered = order_ranking(ranking, by).select(*own, "score", "pos").withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    wanted = sizes.select(*own, F.col("n_hits").alias("n_hits")).distinct().withColumn("_chunk", F.explode(F.sequence(F.lit(0), F.lit(chunks - 1))))
-    keys = [*by, "_chunk"]
-    fields = T.StructType([f for f in ordered.schema.fields if f.name in by])
-    schema = T.StructType([*fields.fields, T.StructField("n_hits", T.LongType()), T.StructField("permutation", T.IntegerType()), T.StructField("null_es", T.DoubleType())])
-    names, n_keys = schema.names, len(by)
-
-    def draw(key: tuple, genes: pd.DataFrame, want: pd.DataFrame) -> pd.DataFrame:
-        if not len(genes) or not len(want):
-            return pd.DataFrame({n: [] for n in names})
-        chunk = int(key[n_keys])
-        mine = np.arange(chunk, permutations, chunks)
-        if not len(mine):
-            return pd.DataFrame({n: [] for n in names})
-        power = np.abs(genes.sort_values("pos")["score"].to_numpy()) ** weight
-        n, out = len(power), []
-        for m in sorted(int(v) for v in want["n_hits"]):
-            if m >= n:
-                continue
-            at = np.stack([np.sort(np.random.default_rng([seed, m, int(p)]).choice(n, m, replace=False)) for p in mine])
-            w = power[at]
-            total = w.sum(axis=1, keepdims=True)
-            cum = np.where(total > 0, np.cumsum(w, axis=1) / np.where(total > 0, total, 1.0), np.arange(1, m + 1) / m)
-            before = np.concatenate([np.zeros((len(mine), 1)), cum[:, :-1]], axis=1)
-            miss = (at - np.arange(m)) / (n - m)
-            up, down = (cum - miss).max(axis=1), (before - miss).min(axis=1)
-            best = np.where(np.abs(up) >= np.abs(down), up, down)
-            out.extend((m, int(p), float(b)) for p, b in zip(mine, best, strict=True))
-        frame = pd.DataFrame(out, columns=["n_hits", "permutation", "null_es"])
-        for i, f in enumerate(fields.names):
-            frame.insert(i, f, key[i])
-        return frame[names]
-
-    return ordered.groupBy(*keys).cogroup(wanted.groupBy(*keys)).applyInPandas(draw, schema)
+    ordered = checkpointed(order_ranking(ranking, by).select(*own, "score", F.col("pos").cast("long").alias("pos"), F.col("n_genes").cast("long").alias("n_genes")))
+    lengths = ordered.groupBy(*by).agg(F.max("n_genes").alias("n_genes"))
+    wanted = attach(sizes.select(*own, F.col("n_hits").cast("long").alias("n_hits")).distinct(), lengths, by).where("n_hits < n_genes")
+    sets = wanted.withColumn("permutation", F.explode(F.sequence(F.lit(0), F.lit(permutations - 1))))
+    sets = sets.repartition(*([chunks] if chunks else []), *by, "n_hits", "permutation")
+    key = (F.col("permutation").cast("long") * 7919 + F.col("n_hits") * 104_729 + seed) % PRIME
+    drawn = sets.select(*by, "n_hits", "n_genes", "permutation", key.alias("_key"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_hits") - 1)).alias("pos"))
+
+    def place(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield f.assign(pos=permuted_places(*(f[c].to_numpy(np.int64) for c in ("pos", "n_genes", "_key"))) + 1)
+
+    drawn = drawn.mapInPandas(place, drawn.schema).drop("_key")
+    hits = drawn.join(ordered.drop("n_genes"), [*by, "pos"]).withColumn("_w", F.pow(F.abs("score"), F.lit(float(weight))))
+    g = [*by, "n_hits", "permutation"]
+    w, all_ = Window.partitionBy(*g).orderBy("pos"), Window.partitionBy(*g)
+    run = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # a set has n_hits rows
+    h = hits.withColumns({"_k": F.row_number().over(w), "_cum": F.sum("_w").over(run), "_tot": F.sum("_w").over(all_)})
+    miss = (F.col("pos") - F.col("_k")) / (F.col("n_genes") - F.col("n_hits"))
+    share = F.when(F.col("_tot") > 0, F.col("_cum") / F.col("_tot")).otherwise(F.col("_k") / F.col("n_hits"))
+    prev = F.when(F.col("_tot") > 0, (F.col("_cum") - F.col("_w")) / F.col("_tot")).otherwise((F.col("_k") - 1) / F.col("n_hits"))
+    peak = h.groupBy(*g).agg(F.max(share - miss).alias("_up"), F.min(prev - miss).alias("_down"))
+    return peak.select(*g, F.when(F.abs("_up") >= F.abs("_down"), F.col("_up")).otherwise(F.col("_down")).alias("null_es"))
 
 
 def enrichment_significance(scores: DataFrame, null: DataFrame, by: Sequence[str], minimum_null: int = 10) -> DataFrame:
