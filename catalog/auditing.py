@@ -48,6 +48,16 @@ def _(t: Tables):
     return audit.check_bounds(_versions(t)[0], ["k"], {"discount": (0.048, 0.052), "tax": (0.04, None), "n": (None, 200.0)})
 
 
+@query("au3_rank_in_support", sql(
+    "SELECT l_returnflag AS dataset, count(*) AS n_defined, count(*) FILTER (WHERE l_linenumber > n) AS n_outside_support FROM (SELECT l_returnflag, l_linenumber, count(*) OVER (PARTITION BY l_orderkey) - CAST(l_quantity AS BIGINT) % 2 AS n FROM lineitem) GROUP BY 1"))
+def _(t: Tables):
+    """Line numbers as ranks among the lines of their order, of which odd quantities take one away."""
+    lines = t.read("lineitem").select("l_orderkey", F.col("l_returnflag").alias("dataset"), "l_linenumber", "l_quantity")
+    sizes = lines.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("_n"))
+    ranked = lines.join(sizes, "l_orderkey").withColumn("support", F.col("_n") - F.col("l_quantity").cast("long") % 2)
+    return audit.check_rank_in_support(ranked, "l_linenumber", "support", ["dataset"])
+
+
 @query("au4_check_availability", sql(
     "SELECT metric, count(*) FILTER (WHERE ok AND v IS NULL) AS n_missing_value, count(*) FILTER (WHERE NOT ok AND v IS NOT NULL) AS n_unsupported_value, count(*) FILTER (WHERE ok <> (v IS NOT NULL)) = 0 AS consistent FROM (SELECT metric, v, k % 4 > 0 AS ok FROM lo WHERE metric <> 'n') GROUP BY 1", extra=WIDE))
 def _(t: Tables):

@@ -52,6 +52,13 @@ def check_bounds(df: DataFrame, keys: Sequence[str], rules: Mapping[str, tuple[f
     return long.groupBy("metric").agg(F.count("value").alias("n_defined"), F.count_if(out).alias("n_out_of_bounds"))
 
 
+def check_rank_in_support(df: DataFrame, rank: str, support: str, by: Sequence[str] = (), tol: float = 1e-9) -> DataFrame:
+    """Ranks that are defined, and those below 1 or beyond their support; a rank without support is beyond it."""
+    r, n = F.col(rank).cast("double"), F.coalesce(F.col(support).cast("double"), F.lit(0.0))
+    out = r.isNotNull() & (F.isnan(r) | (r < 1 - tol) | (r > n + tol))
+    return df.groupBy(*by).agg(F.count(r).alias("n_defined"), F.count_if(out).alias("n_outside_support"))
+
+
 def check_availability(df: DataFrame, support: str, metrics: Sequence[str]) -> DataFrame:
     """A metric is defined exactly where its support is positive."""
     long = melt(df, [support], metrics)

@@ -79,9 +79,13 @@ def panel_order(medians: DataFrame, metric: str = "metric", method: str = "metho
     return medians.withColumn("position", F.row_number().over(w))
 
 
-def select_panel(counts: DataFrame, obs: DataFrame, n_top: int, span: float = 0.3, bins: int = 200) -> DataFrame:
+def select_panel(counts: DataFrame, obs: DataFrame, n_top: int, span: float = 0.3, bins: int = 200, features: DataFrame | None = None) -> DataFrame:
     """Highly variable features by variance-stabilised counts.
 
+    The panel is that of ``features``, by default of the features with counts.
+    Constant features score 0 and come last, so a panel of at most ``n_top``
+    features is returned whole.
+
     log10 variance is regressed on log10 mean by a local quadratic fit; counts
     are standardised with the fitted deviation and clipped at √n; the features
     with the largest standardised variance win.  The local fit is evaluated on
@@ -142,7 +146,9 @@ def select_panel(counts: DataFrame, obs: DataFrame, n_top: int, span: float = 0.
     scored = sums.select(
         "feature_id", ((square - total * total / F.col("n_obs")) / (F.col("n_obs") - 1)).alias("variance_norm")
     )
-    return top_by(scored, (), [F.col("variance_norm").desc(), F.col("feature_id")], n_top)
+    panel = (counts if features is None else features).select("feature_id").distinct()
+    whole = panel.join(scored, "feature_id", "left").fillna(0.0, ["variance_norm"])
+    return top_by(whole, (), [F.col("variance_norm").desc(), F.col("feature_id")], n_top)
 
 
 # --- set operations ----------------------------------------------------------

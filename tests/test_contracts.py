@@ -425,3 +425,15 @@ def test_a_cluster_needs_a_shared_folder():
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         checkpoint_folder(session("yarn"))
     assert checkpoint_folder(session("yarn", "hdfs://x/y")) == "hdfs://x/y"
+
+
+def test_a_small_panel_is_returned_whole_with_constants_last(spark):
+    rng = np.random.default_rng(51)
+    x = rng.poisson(2.0, (20, 5)) + 1
+    x[:, 1] = 3
+    counts = spark.createDataFrame([(i, j, int(x[i, j])) for i in range(20) for j in range(5)], "obs_id long, feature_id long, value long")
+    obs = spark.range(20).withColumnRenamed("id", "obs_id")
+    panel = spark.range(7).withColumnRenamed("id", "feature_id")
+    got = [r.feature_id for r in topk.select_panel(counts, obs, 50, features=panel).orderBy("rank").collect()]
+    assert sorted(got) == list(range(7)) and got[4:] == [1, 5, 6]
+    assert len(topk.select_panel(counts, obs, 3).collect()) == 3
