@@ -28,6 +28,27 @@ def _(t: Tables):
     return readers.integral_samples(rows)
 
 
+@query("io1_wide_tables", sql(
+    """SELECT sample_id, obs_id, feature_id, value, CAST(NULL AS VARCHAR) AS skip_reason FROM (SELECT o_orderstatus AS sample_id, CAST(o_custkey AS VARCHAR) AS obs_id, 'day' || CAST(date_diff('day', DATE '1990-01-01', CAST(o_orderdate AS DATE)) % 5000 AS VARCHAR) AS feature_id, count(*) AS value FROM orders WHERE o_orderstatus = 'O' GROUP BY 1, 2, 3)
+    UNION ALL SELECT DISTINCT o_orderstatus, NULL, NULL, CAST(NULL AS BIGINT), CASE o_orderstatus WHEN 'F' THEN 'fractional_value' ELSE 'first_column' END FROM orders WHERE o_orderstatus <> 'O'"""))
+def _(t: Tables):
+    """Tables of 5 000 features a sample: orders by customer and day.  One sample has halves, one another first column."""
+    day = F.pmod(F.date_diff(F.col("o_orderdate").cast("date"), F.lit("1990-01-01").cast("date")), F.lit(5000))
+    cells = t.read("orders").groupBy(F.col("o_orderstatus").alias("sample"), F.col("o_custkey").alias("obs"), day.alias("day")).agg(F.count(F.lit(1)).alias("n"))
+    step = F.when(F.col("sample") == "F", 0.5).otherwise(1.0)
+    held = cells.groupBy("sample", "obs").agg(F.map_from_entries(F.collect_list(F.struct("day", "n"))).alias("m"))
+    days = F.sequence(F.lit(0), F.lit(4999))
+    text = F.when(F.col("sample") == "F", F.transform(days, lambda d: (F.coalesce(F.element_at("m", d), F.lit(0)) * step).cast("string"))).otherwise(
+        F.transform(days, lambda d: F.coalesce(F.element_at("m", d), F.lit(0)).cast("string")))
+    lines = held.select("sample", F.concat_ws(",", F.col("obs").cast("string"), F.array_join(text, ",")).alias("value"))
+    first = F.when(F.col("sample").isin("O", "F"), "cell").otherwise("EntityID")
+    heads = cells.select("sample").distinct().select("sample", F.concat_ws(",", first, F.array_join(F.transform(days, lambda d: F.concat(F.lit("day"), d.cast("string"))), ",")).alias("value"))
+    path = scratch_path(t.spark, "tables")
+    heads.unionByName(lines).write.partitionBy("sample").text(path)
+    counts, skipped = readers.read_count_tables(t.spark, path, sample="sample=([^/]+)/")
+    return counts.withColumn("skip_reason", F.lit(None).cast("string")).unionByName(skipped, allowMissingColumns=True)
+
+
 @query("io2_read_table", sql("SELECT lpad(CAST(p_partkey AS VARCHAR), 9, '0') AS slice_id, p_name, p_size, p_retailprice FROM part", "p_retailprice"))
 def _(t: Tables):
     path = scratch_path(t.spark, "table")

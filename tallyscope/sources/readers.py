@@ -36,6 +36,39 @@ def read_wide_counts(spark: SparkSession, path: str, id_col: str = "cell", sep:
     return long.select("obs_id", "feature_id", F.expr("try_cast(raw AS double)").alias("value")), None
 
 
+def read_count_tables(spark: SparkSession, path: str, id_col: str = "cell", sep: str = ",", sample: str = "([^/]+)$") -> tuple[DataFrame, DataFrame]:
+    """Wide count tables of many samples → counts (sample_id, obs_id, feature_id, value) and (sample_id, skip_reason).
+
+    Lines are read as text and split by bytes, so the plan has no column per
+    feature and is as small for 20 000 features as for two; zeros are dropped before
+    the names are joined to their places.  ``sample`` finds the sample in
+    the path of a file.  The line that begins with ``id_col`` names the
+    features; a field may stand in double quotes but holds no separator.
+
+    A sample is skipped as a whole, with its reason, if it has no such line
+    (``first_column``), a line of another number of fields (``ragged_line``), or a value
+    that is unreadable, fractional or negative.  Empty lines do not count.
+    """
+    file = F.regexp_extract(F.col("_metadata.file_path"), sample, 1).alias("sample_id")
+    lines = spark.read.text(path).select(file, F.regexp_replace("value", '"', "").alias("line")).where("line <> ''")
+    named = F.startswith("line", F.lit(id_col + sep)) | (F.col("line") == id_col)
+    split = F.split("line", f"\\Q{sep}\\E")
+    # a header repeated in every part of a sample counts once
+    heads = lines.where(named).select("sample_id", split.alias("_f")).distinct()
+    features = heads.select("sample_id", F.posexplode("_f").alias("_place", "feature_id")).where("_place > 0")
+    width = heads.groupBy("sample_id").agg(F.max(F.size("_f")).alias("_width"))
+    rows = lines.where(~named).select("sample_id", split.alias("_f"))
+    shape = rows.groupBy("sample_id").agg(F.min(F.size("_f")).alias("_least"), F.max(F.size("_f")).alias("_most"))
+    shape = lines.select("sample_id").distinct().join(width, "sample_id", "left").join(shape, "sample_id", "left")
+    wrong = shape.select("sample_id", F.when(F.col("_width").isNull(), "first_column").when((F.col("_least") != F.col("_width")) | (F.col("_most") != F.col("_width")), "ragged_line").alias("skip_reason"))
+    wrong = wrong.where("skip_reason is not null")
+    cells = rows.select("sample_id", F.element_at("_f", 1).alias("obs_id"), F.posexplode("_f").alias("_place", "raw")).where("_place > 0")
+    cells = cells.withColumn("value", F.expr("try_cast(raw AS double)")).where("value is null or value <> 0").drop("raw")
+    long = cells.join(wrong.select("sample_id"), "sample_id", "left_anti").join(features, ["sample_id", "_place"])
+    counts, skipped = usable_counts(long.select("sample_id", "obs_id", "feature_id", "value"))
+    return counts, wrong.unionByName(skipped)
+
+
 def integral_samples(long: DataFrame, sample: str = "sample_id") -> DataFrame:
     """Per sample: can it be used, and if not why (the samples are skipped, not failed)."""
     v = F.col("value")
