@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; what it returns
 is written as Parquet and read again as the next stage's documents.  All but the
-last keep the columns of ``documents``.
+last keep the columns of ``documents``, and extra columns of any name pass through.
+An empty table gives an empty table.  Long texts are taken whole.
 """
 
 from __future__ import annotations
@@ -29,29 +30,48 @@ def measured(docs: DataFrame) -> DataFrame:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the machine does not call toxic; it learns from the labelled rows outside fold 0 of five."""
+    """Documents that the machine does not call toxic; it learns from the labelled rows outside fold 0 of five.
+
+    NULL and empty texts have a score like others, that of no terms.  Rows
+    without an id are scored, not learned from; repeated rows share their fate.
+    """
     machine = learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), fold(F.col("doc_id"), 5) != 0)
     name = free_name(docs, "_score")
     return with_scores(docs, machine, name=name).where(F.col(name) < 0.5).drop(name)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates."""
+    """One document of each group of near-duplicates, the one of least id.
+
+    Repeated rows leave one.  Texts without words are linked with nothing, so
+    all of them stay, and so do rows without an id.
+    """
     return without_duplicates(docs)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Surrogates for personal data."""
+    """Surrogates for personal data, and n_chars of the new text.
+
+    NULL and empty texts stay as they are; repeated rows stay alike.
+    """
     return measured(replace_entities(docs, SURROGATE_KEY))
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources mixed at 1 : 2 : 3, up to three times each document."""
+    """Sources mixed at 1 : 2 : 3, up to three times each document.
+
+    NULL is a source like others.  Texts without words weigh nothing and stay.
+    Repeated rows are counted one by one; ids do not matter.
+    """
     return measured(mixed_documents(docs, cyclic_weight()))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences of up to 2048, one row per piece of a document."""
+    """Token sequences of up to 2048, one row per piece of a document.
+
+    NULL and empty texts are their closing id alone; repeated rows and rows
+    without an id are documents of their own.
+    """
     import public_tokenizers
 
     return pack_documents(docs, str(public_tokenizers.path(TOKENIZER)))
