@@ -148,14 +148,12 @@ def _(t: Tables):
 
 HVG = {
     "st": "SELECT feature_id, m, log10(m) AS x, log10(v) AS y FROM (SELECT feature_id, avg(value) AS m, avg(value * value) - avg(value) * avg(value) AS v FROM dense GROUP BY 1) WHERE v > 0",
-    "gd": "SELECT st.*, CAST(floor((x - (SELECT min(x) FROM st)) / greatest(((SELECT max(x) FROM st) - (SELECT min(x) FROM st)) / 200, 1e-12)) AS INTEGER) AS b FROM st",
-    "ce": "SELECT b, count(*) AS w, avg(x) AS x, avg(y) AS y FROM gd GROUP BY 1",
-    "nr": "SELECT k.b AS kb, k.x AS kx, c.b, c.w, c.x, c.y, abs(c.x - k.x) AS gap, sum(c.w) OVER (PARTITION BY k.b ORDER BY abs(c.x - k.x), c.b) AS cum FROM ce c CROSS JOIN ce k",
-    "bw": "SELECT kb, min(gap) AS h FROM nr WHERE cum >= ceil((SELECT count(*) FROM st) * 0.3::DOUBLE) GROUP BY 1",
-    "kn": "SELECT kb, kx, pow(1 - pow(least(gap / greatest(h, 1e-9), 1.0), 3), 3) * w AS k, x - kx AS d, y FROM nr JOIN bw USING (kb)",
-    "su": "SELECT kb, max(kx) AS kx, sum(k) AS s0, sum(k * d) AS s1, sum(k * d ** 2) AS s2, sum(k * d ** 3) AS s3, sum(k * d ** 4) AS s4, sum(k * y) AS t0, sum(k * d * y) AS t1, sum(k * d ** 2 * y) AS t2 FROM kn GROUP BY 1",
-    "de": "SELECT kb, kx, t0 / s0 AS flat, s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2) AS dw, t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2) AS d0, s0 * (t1 * s4 - s3 * t2) - t0 * (s1 * s4 - s3 * s2) + s2 * (s1 * t2 - t1 * s2) AS d1 FROM su",
-    "ft": "SELECT g.feature_id, g.m, sqrt(pow(10.0, CASE WHEN abs(dw) > 1e-12 THEN d0 / dw ELSE flat END + CASE WHEN abs(dw) > 1e-12 THEN d1 / dw ELSE 0 END * (g.x - kx))) AS sd FROM gd g JOIN de ON kb = g.b",
+    "nr": "SELECT k.feature_id, c.x - k.x AS d, c.y, row_number() OVER (PARTITION BY k.feature_id ORDER BY abs(c.x - k.x), c.feature_id) AS near FROM st k CROSS JOIN st c",
+    "bw": "SELECT feature_id, greatest(max(abs(d)), 1e-9) AS h FROM nr WHERE near <= ceil((SELECT count(*) FROM st) * 0.3::DOUBLE) GROUP BY 1",
+    "kn": "SELECT feature_id, pow(1 - pow(abs(d) / h, 3), 3) AS k, d / h AS t, y FROM nr JOIN bw USING (feature_id) WHERE abs(d) <= h",
+    "su": "SELECT feature_id, sum(k) AS s0, sum(k * t) AS s1, sum(k * t ** 2) AS s2, sum(k * t ** 3) AS s3, sum(k * t ** 4) AS s4, sum(k * y) AS t0, sum(k * t * y) AS t1, sum(k * t ** 2 * y) AS t2 FROM kn GROUP BY 1",
+    "de": "SELECT feature_id, s0, t0 / s0 AS flat, s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2) AS dw, t0 * (s2 * s4 - s3 * s3) - s1 * (t1 * s4 - s3 * t2) + s2 * (t1 * s3 - s2 * t2) AS d0 FROM su",
+    "ft": "SELECT feature_id, m, sqrt(pow(10.0, CASE WHEN dw > 1e-10 * s0 ** 3 THEN d0 / dw ELSE flat END)) AS sd FROM st JOIN de USING (feature_id)",
     "vn": "SELECT d.feature_id, var_samp(least((d.value - f.m) / f.sd, sqrt(CAST((SELECT count(*) FROM obs) AS DOUBLE)))) AS variance_norm FROM dense d JOIN ft f ON f.feature_id = d.feature_id GROUP BY 1",
 }
 

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from tallyscope.functions.exprs import attach
 from tallyscope.functions.ordered import exact_quantiles
+from tallyscope.functions.session import checkpointed
+from tallyscope.operators.local_fit import local_quadratic
 from tallyscope.operators.stats import gene_stats, n_obs
 
 
@@ -79,58 +81,21 @@ def panel_order(medians: DataFrame, metric: str = "metric", method: str = "metho
     return medians.withColumn("position", F.row_number().over(w))
 
 
-def select_panel(counts: DataFrame, obs: DataFrame, n_top: int, span: float = 0.3, bins: int = 200, features: DataFrame | None = None) -> DataFrame:
+def select_panel(counts: DataFrame, obs: DataFrame, n_top: int, span: float = 0.3, features: DataFrame | None = None) -> DataFrame:
     """Highly variable features by variance-stabilised counts.
 
     The panel is that of ``features``, by default of the features with counts.
     Constant features score 0 and come last, so a panel of at most ``n_top``
     features is returned whole.
 
-    log10 variance is regressed on log10 mean by a local quadratic fit; counts
-    are standardised with the fitted deviation and clipped at √n; the features
-    with the largest standardised variance win.  The local fit is evaluated on
-    a fixed number of knots along log10 mean, each from (mean, variance) cells
-    of a fine grid, so its cost does not grow with features².
+    log10 variance is regressed on log10 mean by a local quadratic fit of every
+    feature's own; counts are standardised with the fitted deviation and clipped
+    at √n; the features with the largest standardised variance win.
     """
     stats = gene_stats(counts, obs).where(F.col("variance") > 0)
-    xy = stats.select("feature_id", "mean", F.log10("mean").alias("x"), F.log10("variance").alias("y"))
-    rng = xy.agg(F.min("x").alias("_lo"), F.max("x").alias("_hi"), F.count(F.lit(1)).alias("_all"))
-    grid = attach(xy, rng, ())
-    width = F.greatest((F.col("_hi") - F.col("_lo")) / bins, F.lit(1e-12))
-    grid = grid.withColumn("_b", F.floor((F.col("x") - F.col("_lo")) / width).cast("int"))
-    # at most bins + 1 rows from here to the fit
-    cells = grid.groupBy("_b").agg(
-        F.count(F.lit(1)).alias("w"), F.avg("x").alias("x"), F.avg("y").alias("y"), F.max("_all").alias("_all")
-    )
-    knots = cells.agg(F.collect_list(F.struct(F.col("_b").alias("_kb"), F.col("x").alias("kx"))).alias("_knots"))
-    near = attach(cells, knots, ()).select(*cells.columns, F.inline("_knots")).withColumn("gap", F.abs(F.col("x") - F.col("kx")))
-    # bandwidth: the gap at which the span of features is covered
-    order = Window.partitionBy("_kb").orderBy("gap", "_b")
-    near = near.withColumn("_cum", F.sum("w").over(order))
-    h = near.where(F.col("_cum") >= F.ceil(F.col("_all") * span)).groupBy("_kb").agg(F.min("gap").alias("_h"))
-    u = F.least(F.col("gap") / F.greatest(F.col("_h"), F.lit(1e-9)), F.lit(1.0))
-    tri = F.pow(1 - F.pow(u, 3), 3) * F.col("w")
-    d = F.col("x") - F.col("kx")
-    fit = near.join(h, "_kb").withColumns({"k": tri, "d": d}).groupBy("_kb").agg(
-        F.first("kx").alias("kx"), *[F.sum(F.col("k") * F.pow("d", i)).alias(f"s{i}") for i in range(5)],
-        *[F.sum(F.col("k") * F.pow("d", i) * F.col("y")).alias(f"t{i}") for i in range(3)],
-    )
-    s = [F.col(f"s{i}") for i in range(5)]
-    t = [F.col(f"t{i}") for i in range(3)]
-
-    def det(a, b, c, e, f, g, h_, i, j):
-        return a * (f * j - g * i) - b * (e * j - g * h_) + c * (e * i - f * h_)
-
-    whole = det(s[0], s[1], s[2], s[1], s[2], s[3], s[2], s[3], s[4])
-    first = det(t[0], s[1], s[2], t[1], s[2], s[3], t[2], s[3], s[4])
-    slope_n = det(s[0], t[0], s[2], s[1], t[1], s[3], s[2], t[2], s[4])
-    solid = F.abs(whole) > 1e-12
-    knots = fit.select(
-        F.col("_kb").alias("_b"), "kx", F.when(solid, first / whole).otherwise(t[0] / s[0]).alias("_c0"),
-        F.when(solid, slope_n / whole).otherwise(0.0).alias("_c1"),
-    )
-    fitted = grid.join(F.broadcast(knots), "_b").select(
-        "feature_id", "mean", F.sqrt(F.pow(F.lit(10.0), F.col("_c0") + F.col("_c1") * (F.col("x") - F.col("kx")))).alias("_sd")
+    xy = checkpointed(stats.select("feature_id", "mean", F.log10("mean").alias("x"), F.log10("variance").alias("y")))
+    fitted = xy.join(local_quadratic(xy, span), "feature_id").select(
+        "feature_id", "mean", F.sqrt(F.pow(F.lit(10.0), F.col("fitted"))).alias("_sd")
     )
     n = n_obs(obs)
     z = attach(counts.where(F.col("value") != 0).join(fitted, "feature_id"), n, ())
