@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalog.registry import query
 from catalog.tables import METRICS, Tables, sql
 from tallyscope.functions.session import scratch_path
-from tallyscope.sources import readers, writers
+from tallyscope.sources import manifest_log, readers, writers
 
 
 @query("io1_read_wide_counts", sql(
@@ -143,6 +143,22 @@ def _(t: Tables):
     return writers.append_manifest(m.where("l_linestatus = 'F'").drop("l_linestatus"), m.where("l_linestatus = 'O'").drop("l_linestatus"), ["k"])
 
 
+@query("io10_manifest_log", sql(
+    "SELECT k, arrival, status FROM (SELECT l_suppkey AS k, l_orderkey AS arrival, l_returnflag AS status, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_linenumber DESC, l_orderkey DESC, l_returnflag DESC) AS r FROM lineitem) WHERE r = 1"))
+def _(t: Tables):
+    """A batch per line number in mixed order, a compaction between them, and one batch that was never committed."""
+    path = scratch_path(t.spark, "manifest")
+    m = t.read("lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_orderkey").alias("arrival"), F.col("l_returnflag").alias("status"), "l_linenumber")
+    batch = lambda i: m.where(F.col("l_linenumber") == i).drop("l_linenumber")
+    for i in (3, 1, 6, 4):
+        manifest_log.append(batch(i), path, at=i)
+    manifest_log.compact(t.spark, path, ["k"], "arrival")
+    for i in (2, 7, 5):
+        manifest_log.append(batch(i), path, at=i)
+    batch(7).withColumn("status", F.lit("lost")).write.parquet(f"{path}/rows/_batch=half")
+    return manifest_log.current(t.spark, path, ["k"], "arrival")
+
+
 @query("io11_append_metrics", sql("SELECT sample AS job_id, method, quantity, discount, tax FROM metric_wide", "quantity discount tax"))
 def _(t: Tables):
     path = scratch_path(t.spark, "metrics")
