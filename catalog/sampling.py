@@ -8,6 +8,7 @@ from catalog.registry import query
 from catalog.tables import METRICS, Tables, sql
 from tallyscope.functions.session import checkpointed
 from tallyscope.operators import enrich, resample, stats, transform
+from tallyscope.operators.multinomial import multiplicities
 
 DRAWS = {
     "src": "SELECT obs_id, label, row_number() OVER (PARTITION BY label ORDER BY obs_id) - 1 AS idx, count(*) OVER (PARTITION BY label) AS n FROM obs WHERE nation % 2 = 0",
@@ -77,6 +78,25 @@ def _(t: Tables):
     return _boot(t)[0].withColumn("replicate", F.col("replicate").cast("long"))
 
 
+@query("rs3_split_multiplicities", sql(
+    """SELECT b.label, r AS replicate, n_spots * 500000 AS drawn, n AS donors, TRUE AS inside, TRUE AS even FROM bp b JOIN (SELECT label, max(n) AS n FROM src GROUP BY 1) USING (label) CROSS JOIN (SELECT unnest(range(0, 2)) AS r)""",
+    "", "replicate drawn donors", BOOT))
+def _(t: Tables):
+    """A million draws per target: their sum, the donors met, and whether chi-square is that of even draws."""
+    src, tgt = _sides(t)
+    n = src.groupBy("label").agg(F.count(F.lit(1)).alias("n_donors"))
+    g = tgt.groupBy("label").agg((F.count(F.lit(1)) * 1_000_000).alias("n_draws")).join(n, "label")
+    g = g.withColumn("replicate", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(1).cast("long"))))
+    m = multiplicities(g, ["label", "replicate"], seed=4).join(g, ["label", "replicate"])
+    mean = F.col("n_draws") / F.col("n_donors")
+    square = F.sum(F.pow(F.col("times") - mean, F.lit(2)) / mean)
+    free = F.max("n_donors") - 1
+    return m.groupBy("label", "replicate").agg(
+        F.sum("times").alias("drawn"), F.countDistinct("idx").alias("donors"), F.max((F.col("idx") >= 0) & (F.col("idx") < F.col("n_donors"))).alias("inside"),
+        (F.abs(square - free) <= 6 * F.sqrt(2 * free) + 6).alias("even"),
+    )
+
+
 @query("rs3_sampled_state", sql("SELECT replicate, feature_id, sum(n_spots / CAST((SELECT sum(n_spots) FROM bp) AS DOUBLE) * mean) AS mean FROM bm GROUP BY 1, 2", "mean", "replicate", BOOT))
 def _(t: Tables):
     return resample.sampled_state(*_boot(t)).withColumn("replicate", F.col("replicate").cast("long"))

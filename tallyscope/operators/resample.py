@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tallyscope.functions.exprs import attach, col
 from tallyscope.functions.ordered import positions
+from tallyscope.operators.multinomial import multiplicities
 from tallyscope.operators.stats import melt
 
 # Fixed values of the arithmetic draw, which other engines can repeat.
@@ -102,22 +103,27 @@ def weighted_donors(
 
 def bootstrap_region_mean(
     counts: DataFrame, source: DataFrame, blueprint: DataFrame, replicates: int, seed: int = 0, by: Sequence[str] = (),
-    label: str = "label", draw=hashed_draw,
+    label: str = "label", draw=None,
 ) -> DataFrame:
     """Mean of ``n_spots`` donor rows per region, feature and replicate.
 
-    ``blueprint`` is (by…, label, n_spots); draws are folded into multiplicities
-    before they meet the counts, so only sufficient sums exist.
+    ``blueprint`` is (by…, label, n_spots).  Multiplicities meet the counts, so
+    only sufficient sums exist.  They come from binomial splitting, a row per
+    donor drawn; with ``draw``, a row per spot is drawn and counted instead.
     """
     keys = [*by, label]
     n = source.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
     d = blueprint.select(*keys, "n_spots").join(n, keys).withColumn(
         "replicate", F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
     )
-    d = d.withColumn("_d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_spots").cast("long") - 1)))
-    d = d.withColumn("idx", draw("_d", "replicate", seed, "_n")).groupBy(*keys, "replicate", "idx", "n_spots").agg(
-        F.count(F.lit(1)).alias("_m")
-    )
+    if draw is None:
+        times = multiplicities(d, [*keys, "replicate"], "_n", "n_spots", seed).withColumnRenamed("times", "_m")
+        d = times.join(d.select(*keys, "replicate", "n_spots"), [*keys, "replicate"])
+    else:
+        d = d.withColumn("_d", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_spots").cast("long") - 1)))
+        d = d.withColumn("idx", draw("_d", "replicate", seed, "_n")).groupBy(*keys, "replicate", "idx", "n_spots").agg(
+            F.count(F.lit(1)).alias("_m")
+        )
     picked = d.join(label_index(source, keys), [*keys, "idx"])
     return counts.join(picked, [*by, "obs_id"]).groupBy(*keys, "replicate", "feature_id", "n_spots").agg(
         F.sum(F.col("value") * F.col("_m")).alias("_s")
