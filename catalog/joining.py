@@ -39,10 +39,10 @@ def _pair_sides(t: Tables):
 
 @query("jn2_pairing_diagnostics", sql(
     """SELECT 'ids' AS "case", (SELECT count(*) FROM ra) AS n_reference, (SELECT count(*) FROM sb) AS n_simulated, 'exact_identifier' AS spot_pairing, '' AS pairing_issue, (SELECT count(*) FROM ra JOIN sb USING (obs_id)) AS n_paired, CAST(NULL AS BIGINT) AS n_coordinate_overlap, CAST(NULL AS BIGINT) AS n_reference_duplicate_rows, CAST(NULL AS BIGINT) AS n_simulated_duplicate_rows,
-    (SELECT count(*) FROM ra JOIN sb USING (obs_id)) / CAST((SELECT count(*) FROM ra) AS DOUBLE) AS pairing_fraction_reference, (SELECT count(*) FROM ra JOIN sb USING (obs_id)) / CAST((SELECT count(*) FROM sb) AS DOUBLE) AS pairing_fraction_simulated
-    UNION ALL SELECT 'coords', (SELECT count(*) FROM ra), (SELECT count(*) FROM ra), 'unique_spatial_coordinate', '', (SELECT count(*) FROM ra), (SELECT count(*) FROM ra), 0, 0, 1.0, 1.0
-    UNION ALL SELECT 'incomplete', (SELECT count(*) FROM ra), (SELECT count(*) FROM sd), 'unavailable', 'incomplete_spatial_coordinate_bijection', 0, (SELECT count(*) FROM sd), 0, 0, (SELECT count(*) FROM sd) / CAST((SELECT count(*) FROM ra) AS DOUBLE), 1.0""",
-    "pairing_fraction_reference pairing_fraction_simulated", extra=SIDES))
+    (SELECT count(*) FROM ra JOIN sb USING (obs_id)) / CAST((SELECT count(*) FROM ra) AS DOUBLE) AS pairing_fraction_reference, (SELECT count(*) FROM ra JOIN sb USING (obs_id)) / CAST((SELECT count(*) FROM sb) AS DOUBLE) AS pairing_fraction_simulated, CAST(NULL AS DOUBLE) AS coordinate_max_abs_delta
+    UNION ALL SELECT 'coords', (SELECT count(*) FROM ra), (SELECT count(*) FROM ra), 'unique_spatial_coordinate', '', (SELECT count(*) FROM ra), (SELECT count(*) FROM ra), 0, 0, 1.0, 1.0, (SELECT max(greatest(abs(ra.x - sc.x), abs(ra.y - sc.y))) FROM ra JOIN sc ON sc.obs_id = ra.obs_id + 1000000)
+    UNION ALL SELECT 'incomplete', (SELECT count(*) FROM ra), (SELECT count(*) FROM sd), 'unavailable', 'incomplete_spatial_coordinate_bijection', 0, (SELECT count(*) FROM sd), 0, 0, (SELECT count(*) FROM sd) / CAST((SELECT count(*) FROM ra) AS DOUBLE), 1.0, NULL""",
+    "pairing_fraction_reference pairing_fraction_simulated coordinate_max_abs_delta", extra=SIDES))
 def _(t: Tables):
     return pairing.pairing_diagnostics(*_pair_sides(t), ["case"])
 

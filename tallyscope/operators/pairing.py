@@ -56,11 +56,20 @@ def pairing_diagnostics(
         v = F.col(d).cast("double")
         bad |= v.isNull() | F.isnan(v) | (F.abs(v) == float("inf"))
     rounded = [f"_r{i}" for i in range(len(dims))]
-    at = ref.select(*by, *_rounded(ref, dims, decimals), bad.cast("int").alias("_bad"), r, none_s).unionByName(
-        sim.select(*by, *_rounded(sim, dims, decimals), bad.cast("int").alias("_bad"), none_r, s)
-    ).groupBy(*by, *rounded).agg(F.sum("r").alias("r"), F.sum("s").alias("s"), F.max("_bad").alias("_bad"))
+
+    def places(df: DataFrame, here: str, there: str) -> list[Column]:
+        exact = [F.col(d).cast("double") for d in dims]
+        return [c.alias(f"_{here}{i}") for i, c in enumerate(exact)] + [F.lit(None).cast("double").alias(f"_{there}{i}") for i in range(len(dims))]
+
+    at = ref.select(*by, *_rounded(ref, dims, decimals), bad.cast("int").alias("_bad"), r, none_s, *places(ref, "a", "b")).unionByName(
+        sim.select(*by, *_rounded(sim, dims, decimals), bad.cast("int").alias("_bad"), none_r, s, *places(sim, "b", "a"))
+    ).groupBy(*by, *rounded).agg(
+        F.sum("r").alias("r"), F.sum("s").alias("s"), F.max("_bad").alias("_bad"),
+        # in a bijection a place has one row of either side, so a maximum is that row's coordinate
+        F.array_max(F.array(*[F.abs(F.max(f"_a{i}") - F.max(f"_b{i}")) for i in range(len(dims))])).alias("_delta"),
+    )
     coords = at.groupBy(*by).agg(
-        F.max("_bad").alias("_bad"),
+        F.max("_bad").alias("_bad"), F.max("_delta").alias("_delta"),
         F.sum(F.when((F.col("r") > 0) & (F.col("s") > 0), 1).otherwise(0)).alias("n_coordinate_overlap"),
         F.sum(F.when(F.col("r") > 1, F.col("r")).otherwise(0)).alias("n_reference_duplicate_rows"),
         F.sum(F.when(F.col("s") > 1, F.col("s")).otherwise(0)).alias("n_simulated_duplicate_rows"),
@@ -90,6 +99,7 @@ def pairing_diagnostics(
         F.when(seen, F.col("n_simulated_duplicate_rows")).alias("n_simulated_duplicate_rows"),
         (shared / F.col("n_reference")).alias("pairing_fraction_reference"),
         (shared / F.col("n_simulated")).alias("pairing_fraction_simulated"),
+        F.when(method == "unique_spatial_coordinate", F.col("_delta")).alias("coordinate_max_abs_delta"),
     )
 
 
