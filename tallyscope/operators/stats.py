@@ -307,7 +307,9 @@ def perturbation_audit(base: DataFrame, cand: DataFrame) -> DataFrame:
     """
     j = base.select("feature_id", F.col("mean").alias("_bm"), F.col("variance").alias("_bv"), F.col("zero_fraction").alias("_bz")).join(
         cand.select("feature_id", F.col("mean").alias("_cm"), F.col("variance").alias("_cv"), F.col("zero_fraction").alias("_cz")), "feature_id"
-    ).withColumn("_r", F.when(F.col("_bm") > 0, F.col("_cm") / F.col("_bm")))
+    ).withColumns({
+        "_r": F.when(F.col("_bm") > 0, F.col("_cm") / F.col("_bm")), "_v": F.when(F.col("_bv") > 0, F.col("_cv") / F.col("_bv")),
+    })
     g = j.agg(
         ratio(F.avg("_cm"), F.avg("_bm")).alias("global_mean_ratio"),
         ratio(F.avg("_cv"), F.avg("_bv")).alias("global_variance_ratio"),
@@ -316,8 +318,58 @@ def perturbation_audit(base: DataFrame, cand: DataFrame) -> DataFrame:
         F.count("_r").alias("n_positive_genes"),
     )
     q = exact_quantiles(j, (), "_r", {"median_gene_ratio": 0.5})
-    return attach(g, q, ()).withColumns({
-        "mean_increased": F.col("global_mean_ratio") > 1, "sparsity_increased": F.col("zero_fraction_ratio") > 1
+    v = exact_quantiles(j, (), "_v", {"median_variance_ratio": 0.5})
+    mean, zeros = F.col("global_mean_ratio"), F.col("zero_fraction_delta")
+    return attach(attach(g, q, ()), v, ()).withColumns({
+        "mean_increased": mean > 1, "mean_decreased": mean < 1, "sparsity_increased": zeros > 0, "sparsity_decreased": zeros < 0,
+        "variance_increased": F.col("median_variance_ratio") > 1,
+    })
+
+
+# The directions a perturbation may be expected to take.
+DIRECTIONS = {
+    "mean_up": "mean_increased", "mean_down": "mean_decreased", "zeros_up": "sparsity_increased", "zeros_down": "sparsity_decreased",
+    "variance_up": "variance_increased",
+}
+
+
+def structural_checks(counts: DataFrame, base_obs: DataFrame, cand_obs: DataFrame, base_features: DataFrame, cand_features: DataFrame, order: str | None = None) -> DataFrame:
+    """One row: are the stored counts finite, non-negative and whole, and are the supports those of the base?
+
+    NULL counts are not finite.  ``order`` names a position column that
+    must agree too.  Without counts the three checks of values hold.
+    """
+    v = F.col("value").cast("double")
+    real = v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))
+    all_of = lambda c: F.coalesce(F.min(F.coalesce(c, F.lit(False)).cast("int")) == 1, F.lit(True))
+    values = counts.agg(
+        all_of(real).alias("finite"), all_of(real & (v >= 0)).alias("nonnegative"), all_of(real & (v == F.floor(v))).alias("integer_counts")
+    )
+
+    def same(base: DataFrame, cand: DataFrame, key: str, name: str) -> DataFrame:
+        cols = [key, *([order] if order else [])]
+        both = base.select(*cols, F.lit(1).alias("_d")).unionByName(cand.select(*cols, F.lit(-1).alias("_d"))).groupBy(*cols).agg(F.sum("_d").alias("_d"))
+        return both.agg((F.count(F.when(F.col("_d") != 0, 1)) == 0).alias(name))
+
+    return attach(attach(values, same(base_obs, cand_obs, "obs_id", "same_observations"), ()), same(base_features, cand_features, "feature_id", "same_features"), ())
+
+
+def perturbation_check(audit: DataFrame, structure: DataFrame, expected: Sequence[str]) -> DataFrame:
+    """The audit with its structural checks, whether all ``expected`` directions hold, and ok or failed.
+
+    A direction that is undefined does not hold.  Unknown directions are refused.
+    """
+    unknown = sorted(set(expected) - set(DIRECTIONS))
+    if unknown:
+        raise ValueError(f"unknown directions: {unknown}")
+    holds = structural = F.lit(True)
+    for d in expected:
+        holds &= F.coalesce(F.col(DIRECTIONS[d]), F.lit(False))
+    for c in structure.columns:
+        structural &= F.col(c)
+    return attach(audit, structure, ()).withColumns({
+        "expected_directions": F.lit(";".join(expected)), "direction_checks_passed": holds,
+        "status": F.when(structural & holds, "ok").otherwise("failed"),
     })
 
 

@@ -39,6 +39,8 @@ def test_permuted_coordinates_are_recovered(spark):
 def test_rounding_noise_is_ignored(spark):
     sim = [("p", 1e-12, 1.0), ("q", 0.0, -1e-12), ("r", 1.0, 1e-11)]
     assert len(pairs(spark, REF, sim)) == 3
+    assert diag(spark, REF, sim).coordinate_max_abs_delta == pytest.approx(1e-11, rel=1e-3)
+    assert diag(spark, REF, REF).coordinate_max_abs_delta is None
 
 
 @pytest.mark.parametrize("ref, sim, issue", [
@@ -391,6 +393,43 @@ def test_a_feature_lost_in_the_candidate_has_ratio_zero(spark):
     cand = spark.createDataFrame([("a", 0.0, 0.0, 1.0), ("b", 2.0, 1.0, 0.5), ("c", 6.0, 1.0, 0.5), ("d", 1.0, 1.0, 0.5)], cols)
     r = stats.perturbation_audit(base, cand).first()
     assert (r.n_positive_genes, r.median_gene_ratio) == (3, 1.0)
+    assert (r.mean_increased, r.mean_decreased, r.sparsity_increased, r.sparsity_decreased) == (True, False, False, False)
+    assert (r.median_variance_ratio, r.variance_increased) == (1.0, False)
+
+
+@pytest.mark.parametrize("values, found", [
+    ([1.0, 2.0], (True, True, True)), ([1.0, 2.5], (True, True, False)), ([1.0, -2.0], (True, False, True)),
+    ([1.0, float("nan")], (False, False, False)), ([1.0, float("inf")], (False, False, False)), ([1.0, None], (False, False, False)), ([], (True, True, True)),
+])
+def test_structure_of_a_perturbed_table(spark, values, found):
+    counts = spark.createDataFrame([(i, "a", v) for i, v in enumerate(values)], "obs_id long, feature_id string, value double")
+    obs, panel = spark.range(2).withColumnRenamed("id", "obs_id"), spark.createDataFrame([("a",), ("b",)], "feature_id string")
+    r = stats.structural_checks(counts, obs, obs, panel, panel.where("feature_id = 'a'")).first()
+    assert (r.finite, r.nonnegative, r.integer_counts) == found
+    assert (r.same_observations, r.same_features) == (True, False)
+
+
+def test_expected_directions_decide_the_status(spark):
+    cols = "feature_id string, mean double, variance double, zero_fraction double"
+    base = spark.createDataFrame([("a", 2.0, 1.0, 0.0)], cols)
+    cand = spark.createDataFrame([("a", 1.0, 2.0, 0.25)], cols)
+    fine = spark.sql("select true as finite, true as same_features")
+    check = lambda s, d: stats.perturbation_check(stats.perturbation_audit(base, cand), s, d).first().status
+    assert check(fine, ["mean_down", "zeros_up", "variance_up"]) == "ok"
+    assert check(fine, ["mean_down", "zeros_down"]) == "failed"
+    assert check(spark.sql("select true as finite, false as same_features"), ["mean_down"]) == "failed"
+    with pytest.raises(ValueError, match="sideways"):
+        check(fine, ["sideways"])
+
+
+def test_section_and_donor_ids(spark):
+    ids = spark.createDataFrame([("E16.5_E1S3",), ("E9_E2S1",), ("E9_odd",), ("GSM1_MBM05_rep2",), ("GSM1_ECM7",), ("plain",), (None,)], "s string")
+    got = {r.s: (r.stage, r.embryo, r.section) for r in qc.parse_section_id(ids, "s").collect()}
+    assert got["E16.5_E1S3"] == ("E16.5", "E1", "S3") and got["E9_E2S1"] == ("E9", "E2", "S1")
+    assert got["E9_odd"] == ("unknown", "unknown", "E9_odd") and got[None] == ("unknown", "unknown", None)
+    got = {r.s: (r.condition, r.donor, r.replicate) for r in qc.parse_donor_id(ids, "s").collect()}
+    assert got["GSM1_MBM05_rep2"] == ("MBM", "MBM05", "rep2") and got["GSM1_ECM7"] == ("ECM", "ECM7", "rep1")
+    assert got["plain"] == ("unknown", "plain", "rep1") and got[None] == ("unknown", None, "rep1")
 
 
 def test_features_empty_on_both_sides_count(spark):
