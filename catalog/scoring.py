@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-
+import numpy as np
 from pyspark.sql import functions as F
 
 from catalog.registry import query
 from catalog.tables import Tables, pear, sql
-from tallyscope.operators import alignment, composition, neighbors, scores
+from tallyscope.operators import alignment, composition, coupling, scores
 
 CLUSTER = {"lab": "SELECT l_returnflag AS g, l_linenumber AS t, CAST((l_linenumber + l_partkey % 3) % 5 AS INTEGER) AS p FROM lineitem"}
 
@@ -119,11 +119,10 @@ COUPLE = {
 }
 
 
-def _coupling(t: Tables):
-    """Mass from vector distance over the pairs closer than a cutoff, found block by block."""
-    p = t.points().select("obs_id", "vec", "batch")
-    pairs = neighbors.within_radius(p.where("batch = 1"), p.where("batch = 0"), 1.25)
-    return pairs.select(F.col("dst").alias("ref_idx"), F.col("src").alias("mov_idx"), F.exp(-F.sqrt("d2") * 4.0).alias("mass"))
+def _coupling(t: Tables, truth=None):
+    """Mass from vector distance over the pairs closer than a cutoff, summed up block by block."""
+    p = t.points().select("obs_id", "vec", "batch", "x", "y")
+    return coupling.radius_marginals(p.where("batch = 1"), p.where("batch = 0"), 1.25, lambda d: np.exp(-d * 4.0), truth)
 
 
 def _sides(t: Tables):
@@ -143,8 +142,7 @@ FIT = {**COUPLE,
 @query("al3_weighted_procrustes", sql(
     "SELECT m.obs_id, f.rx + cos(a) * (m.x - f.mx) - sin(a) * (m.y - f.my) AS tx, f.ry + sin(a) * (m.x - f.mx) + cos(a) * (m.y - f.my) AS ty, degrees(a) AS angle_degrees FROM mv m CROSS JOIN ang f", "tx ty angle_degrees", extra=FIT))
 def _(t: Tables):
-    ref, mov, _ = _sides(t)
-    return alignment.weighted_procrustes(_coupling(t), ref, mov).select("obs_id", "tx", "ty", "angle_degrees")
+    return alignment.procrustes_of_marginals(_coupling(t), _sides(t)[1]).select("obs_id", "tx", "ty", "angle_degrees")
 
 
 @query("al4_angular_error", sql(
@@ -182,7 +180,7 @@ TRANSPORT = {**COUPLE,
     "total_mass moving_coverage exact_recovery conditional_accuracy active_reference_fraction overlap_precision overlap_recall pair_precision pair_recall mutual_consistency true_mass_fraction overlap_f1 pair_f1", extra=TRANSPORT))
 def _(t: Tables):
     ref, _, truth = _sides(t)
-    return alignment.transport_metrics(_coupling(t), truth, ref.select(F.col("obs_id").alias("ref_idx")))
+    return alignment.transport_of_marginals(_coupling(t, truth), truth, ref.select(F.col("obs_id").alias("ref_idx")))
 
 
 MAPPED = {**TRANSPORT, "ml": "SELECT mp.active, m.label AS t, r.label AS p, 0 AS g FROM mp JOIN mv m ON m.obs_id = mp.mov_idx LEFT JOIN rf r ON r.obs_id = mp.choice", "mla": "SELECT * FROM ml WHERE active"}
@@ -193,7 +191,7 @@ MAPPED = {**TRANSPORT, "ml": "SELECT mp.active, m.label AS t, r.label AS p, 0 AS
     "label_recovery conditional_label_accuracy active_ari", "n_moving n_active", MAPPED))
 def _(t: Tables):
     ref, mov, truth = _sides(t)
-    return alignment.mapped_label_metrics(alignment.mapped_moving(_coupling(t), truth), ref, mov)
+    return alignment.mapped_label_metrics(alignment.mapped_of_marginals(_coupling(t, truth), truth), ref, mov)
 
 
 @query("al8_ordered_subset", sql(
@@ -207,7 +205,7 @@ def _(t: Tables):
     "SELECT (SELECT sum(mass) FROM cp) AS total_mass, (SELECT max(m - 0.5) FROM (SELECT sum(mass) AS m FROM cp GROUP BY ref_idx)) AS row_excess, (SELECT max(m - 0.25) FROM (SELECT sum(mass) AS m FROM cp GROUP BY mov_idx)) AS column_excess, false AS feasible",
     "total_mass row_excess column_excess", extra=COUPLE))
 def _(t: Tables):
-    return alignment.coupling_audit(_coupling(t), 0.5, 0.25, 1.0)
+    return alignment.audit_of_marginals(_coupling(t), 0.5, 0.25, 1.0)
 
 
 # --- composition -------------------------------------------------------------

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyscope.functions.exprs import attach, ratio
 from tallyscope.functions.ordered import exact_quantiles, positions
+from tallyscope.operators.coupling import marginals
 from tallyscope.operators.neighbors import knn
 from tallyscope.operators.scores import clustering_scores
 
@@ -59,6 +60,24 @@ def weighted_procrustes(coupling: DataFrame, ref: DataFrame, mov: DataFrame) ->
         mean("rx").alias("_rx"), mean("ry").alias("_ry"), mean("mx").alias("_mx"), mean("my").alias("_my"),
         F.atan2(cross("mx", "ry") - cross("my", "rx"), cross("mx", "rx") + cross("my", "ry")).alias("_a"),
     )
+    return _moved(mov, fit)
+
+
+def procrustes_of_marginals(summary: DataFrame, mov: DataFrame) -> DataFrame:
+    """``weighted_procrustes`` from the moving rows of a coupling summary with coordinates."""
+    j = summary.where("side = 'mov'").select(F.col("idx").alias("obs_id"), "total", "sx", "sy").join(mov.select("obs_id", "x", "y"), "obs_id")
+    m = F.sum("total")
+    mx, my = F.sum(F.col("total") * F.col("x")) / m, F.sum(F.col("total") * F.col("y")) / m
+    rx, ry = F.sum("sx") / m, F.sum("sy") / m
+
+    def cross(a, b, ma, mb):
+        return F.sum(F.col(a) * F.col(b)) / m - ma * mb
+
+    turn = F.atan2(cross("x", "sy", mx, ry) - cross("y", "sx", my, rx), cross("x", "sx", mx, rx) + cross("y", "sy", my, ry))
+    return _moved(mov, j.agg(rx.alias("_rx"), ry.alias("_ry"), mx.alias("_mx"), my.alias("_my"), turn.alias("_a")))
+
+
+def _moved(mov: DataFrame, fit: DataFrame) -> DataFrame:
     out = attach(mov, fit, ())
     dx, dy = F.col("x") - F.col("_mx"), F.col("y") - F.col("_my")
     c, s = F.cos("_a"), F.sin("_a")
@@ -93,12 +112,8 @@ def spatial_error(pairs: DataFrame, spacing: DataFrame, by: Sequence[str] = ())
 SUPPORT_TOLERANCE = 1e-12
 
 
-def _argmax(coupling: DataFrame, group: str, other: str) -> DataFrame:
-    """Mass of each row or column and the partner with most mass, ties to the lowest index."""
-    best = F.min(F.struct((-F.col("mass")).alias("m"), F.col(other).alias("o")))
-    return coupling.groupBy(group).agg(F.sum("mass").alias("total"), best.alias("_b")).select(
-        group, "total", F.col("_b.o").alias("choice")
-    )
+def _side(summary: DataFrame, side: str, own: str) -> DataFrame:
+    return summary.where(F.col("side") == side).select(F.col("idx").alias(own), "total", "choice", "true_mass")
 
 
 def check_coupling(coupling: DataFrame, negative_tolerance: float = 1e-12) -> DataFrame:
@@ -111,7 +126,12 @@ def check_coupling(coupling: DataFrame, negative_tolerance: float = 1e-12) -> Da
 
 def mapped_moving(coupling: DataFrame, truth: DataFrame, tolerance: float = SUPPORT_TOLERANCE) -> DataFrame:
     """(mov_idx, true_ref, active, choice) for all moving observations in ``truth``."""
-    best = _argmax(check_coupling(coupling), "mov_idx", "ref_idx")
+    return mapped_of_marginals(marginals(check_coupling(coupling), truth), truth, tolerance)
+
+
+def mapped_of_marginals(summary: DataFrame, truth: DataFrame, tolerance: float = SUPPORT_TOLERANCE) -> DataFrame:
+    """``mapped_moving`` from a coupling summary."""
+    best = _side(summary, "mov", "mov_idx")
     active = F.coalesce(F.col("total") > tolerance, F.lit(False))
     return truth.select("mov_idx", F.col("ref_idx").alias("true_ref")).join(best, "mov_idx", "left").select(
         "mov_idx", "true_ref", active.alias("active"), F.when(active, F.col("choice")).alias("choice")
@@ -124,13 +144,17 @@ def transport_metrics(coupling: DataFrame, truth: DataFrame, ref: DataFrame, tol
     ``truth`` is (mov_idx, ref_idx) for every moving row, ``ref`` (ref_idx) all
     reference rows.
     """
-    c = check_coupling(coupling)
-    mov = mapped_moving(coupling, truth, tolerance)
+    return transport_of_marginals(marginals(check_coupling(coupling), truth), truth, ref, tolerance)
+
+
+def transport_of_marginals(summary: DataFrame, truth: DataFrame, ref: DataFrame, tolerance: float = SUPPORT_TOLERANCE) -> DataFrame:
+    """``transport_metrics`` from a coupling summary that was made with ``truth``."""
+    mov = mapped_of_marginals(summary, truth, tolerance)
     m = mov.agg(
         F.count(F.lit(1)).alias("n_moving"), F.count_if("active").alias("_na"),
         F.count_if(F.col("active") & (F.col("choice") == F.col("true_ref"))).alias("_nc"),
     )
-    best = _argmax(c, "ref_idx", "mov_idx").where(F.col("total") > tolerance)
+    best = _side(summary, "ref", "ref_idx").where(F.col("total") > tolerance).select("ref_idx", "choice")
     back = mov.where("active").select(F.col("mov_idx").alias("choice"), F.col("choice").alias("_back"))
     owner = truth.select("ref_idx", F.col("mov_idx").alias("_true_mov"))
     active_ref = best.join(owner, "ref_idx", "left").join(back, "choice", "left")
@@ -140,9 +164,7 @@ def transport_metrics(coupling: DataFrame, truth: DataFrame, ref: DataFrame, tol
         F.count_if(F.col("_back") == F.col("ref_idx")).alias("_mutual"),
     )
     n_ref = ref.agg(F.count(F.lit(1)).alias("n_reference"))
-    mass = c.join(truth.withColumn("_t", F.lit(True)), ["ref_idx", "mov_idx"], "left").agg(
-        F.sum("mass").alias("total_mass"), F.coalesce(F.sum(F.when(F.col("_t"), F.col("mass"))), F.lit(0.0)).alias("_tm")
-    )
+    mass = _side(summary, "mov", "mov_idx").agg(F.sum("total").alias("total_mass"), F.coalesce(F.sum("true_mass"), F.lit(0.0)).alias("_tm"))
     positive = F.when(F.col("total_mass") > 0, F.lit(True)).otherwise(F.raise_error("coupling without positive mass").cast("boolean"))
     j = attach(attach(attach(m, r, ()), n_ref, ()), mass.where(positive), ())
 
@@ -194,9 +216,15 @@ def ordered_subset(subset: DataFrame, full: DataFrame, id_col: str = "obs_id", p
 
 def coupling_audit(coupling: DataFrame, row_limit: float, col_limit: float, expected_mass: float, tol: float = 1e-9) -> DataFrame:
     """Largest excess over the row and column marginals, and the mass against the overlap."""
-    rows = coupling.groupBy("ref_idx").agg(F.sum("mass").alias("m")).agg(F.max(F.col("m") - row_limit).alias("row_excess"))
-    cols = coupling.groupBy("mov_idx").agg(F.sum("mass").alias("m")).agg(F.max(F.col("m") - col_limit).alias("column_excess"))
-    total = coupling.agg(F.sum("mass").alias("total_mass"))
+    return audit_of_marginals(marginals(coupling), row_limit, col_limit, expected_mass, tol)
+
+
+def audit_of_marginals(summary: DataFrame, row_limit: float, col_limit: float, expected_mass: float, tol: float = 1e-9) -> DataFrame:
+    """``coupling_audit`` from a coupling summary."""
+    rows = _side(summary, "ref", "ref_idx").agg(F.max(F.col("total") - row_limit).alias("row_excess"))
+    moving = _side(summary, "mov", "mov_idx")
+    cols = moving.agg(F.max(F.col("total") - col_limit).alias("column_excess"))
+    total = moving.agg(F.sum("total").alias("total_mass"))
     j = attach(attach(total, rows, ()), cols, ())
     return j.withColumn(
         "feasible", (F.col("row_excess") <= tol) & (F.col("column_excess") <= tol) & (F.abs(F.col("total_mass") - expected_mass) <= tol)

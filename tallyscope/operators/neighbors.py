@@ -82,7 +82,7 @@ def blocked(
 
     def reduce_pair(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if not len(a) or not len(b):
-            return pd.DataFrame({f: [] for f in names})
+            return pd.DataFrame({f: [] for f in names}, dtype=object)
         out = fn(a, b)
         for i in range(n_keys):
             out.insert(i, key_fields[i].name, key[i])
