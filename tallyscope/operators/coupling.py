@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 
 from tallyscope.functions.session import checkpointed
 from tallyscope.operators.neighbors import BLOCK_ROWS, blocked
-from tallyscope.operators.pairpass import distance_rows
+from tallyscope.operators.pairpass import again, distance_rows
 
+CLOSE = 1e-9
 COLUMNS = ("side", "idx", "total", "best", "choice", "true_mass", "sx", "sy")
 
 
@@ -49,6 +50,13 @@ def marginals(coupling: DataFrame, truth: DataFrame | None = None) -> DataFrame:
 
 
 def _block(radius: float, mass: Callable[[np.ndarray], np.ndarray]):
+    def weigh(d2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        gap = np.sqrt(d2)
+        near = gap < radius
+        w = np.zeros(d2.shape)
+        w[near] = mass(gap[near])
+        return near, w, np.where(near, w, -np.inf)
+
     def reduce(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         # in the order of ids, so that the first of equal masses is that of the lowest
         a, b = a.sort_values("id"), b.sort_values("id")
@@ -56,13 +64,17 @@ def _block(radius: float, mass: Callable[[np.ndarray], np.ndarray]):
         at = b[["_rx", "_ry"]].to_numpy(dtype=float)
         true = np.where(a["_has"].to_numpy(), pd.Index(ref).get_indexer(a["_true"]), -1)
         total, best, choice, met = np.zeros(len(ref)), np.full(len(ref), -np.inf), np.zeros(len(ref), dtype=int), np.zeros(len(ref), dtype=bool)
-        for part, d2 in distance_rows(np.stack(a["vec"].to_numpy()), np.stack(b["vec"].to_numpy())):
-            gap = np.sqrt(d2)
-            near = gap < radius
-            w = np.where(near, mass(gap), 0.0)
-            own, t = near.any(axis=1), true[part]
+        x, y = (np.stack(f["vec"].to_numpy()).astype(float) for f in (a, b))
+        for part, d2 in distance_rows(x, y):
+            again(d2, x[part], y, np.abs(d2 - radius * radius) <= CLOSE * radius * radius)
             # pairs beyond the radius are no partners, even of mass 0
-            top = np.where(near, w, -np.inf)
+            near, w, top = weigh(d2)
+            # of nearly equal masses the exact ones decide
+            lead = top.max(axis=1, keepdims=True), np.maximum(top.max(axis=0), best)
+            tied = near & ((top >= lead[0] - CLOSE * np.abs(lead[0])) | (top >= lead[1] - CLOSE * np.abs(lead[1])))
+            again(d2, x[part], y, tied)
+            top[tied] = w[tied] = mass(np.sqrt(d2[tied]))
+            own, t = near.any(axis=1), true[part]
             won = top.argmax(axis=1)
             rows = np.arange(len(w))
             whole = (np.full(len(w), "mov"), mov[part], w.sum(axis=1), top[rows, won], ref[won], np.where(t >= 0, w[rows, t], 0.0), w @ at[:, 0], w @ at[:, 1])

@@ -50,3 +50,17 @@ def test_odd_rows(spark):
     assert flat(radius_marginals(mov.limit(0), ref, 1.0, lambda d: d)) == {}
     with pytest.raises(Exception, match="finite and non-negative"):
         radius_marginals(mov, ref, 1.0, lambda d: -d).collect()
+
+
+def test_equal_vectors_of_many_dimensions_tie_to_the_lowest_index(spark):
+    """Copies in different blocks and places: their masses must be equal to the last bit."""
+    rng = np.random.default_rng(9)
+    base = rng.normal(size=(12, 64)) / 8
+    own = lambda k, many: spark.createDataFrame([(i, [float(v) for v in base[i % k]], 0.0, 0.0) for i in range(many)], COLS)
+    mov, ref = own(12, 60), own(11, 77)
+    got = {(r.side, r.idx): r.choice for r in radius_marginals(mov, ref, 4.0, lambda d: np.exp(-d), block_rows=9).collect()}
+    d = ((base[:, None] - base[None]) ** 2).sum(-1)
+    for i in range(60):
+        assert got["mov", i] == int(np.argmin(d[i % 12, :11]))
+    for i in range(77):
+        assert got["ref", i] == int(np.argmin(d[i % 11]))

@@ -82,3 +82,44 @@ def test_no_vector_is_exploded(spark):
     one = spark.createDataFrame([(0, [1.0]), (1, [2.0]), (1, [4.0])], "batch int, vec array<double>")
     assert distance.covariance_distance(one, "vec", "batch").first()[0] is None
     assert distance.centroid_distance(one, "vec", "batch").first()[0] == 2.0
+
+
+def test_distances_by_inner_products_are_exact_where_rows_are_equal_or_close():
+    from tallyscope.operators.pairpass import distance_rows, differences
+
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(300, 64)).astype(np.float32)
+    y = np.concatenate([x[:40], x[40:80] + np.float32(1e-4), rng.normal(size=(500, 64)).astype(np.float32), x[:40]]).astype(float)
+    got = np.concatenate([d for _, d in distance_rows(x, y)])
+    i, j = np.divmod(np.arange(got.size), len(y))
+    want = differences(x.astype(float), y, i, j).reshape(got.shape)
+    assert (got[np.arange(40), np.arange(40)] == 0).all() and (got[:40, :40] == got[:40, -40:])[np.eye(40, dtype=bool)].all()
+    assert np.allclose(got, want, rtol=1e-12, atol=0)
+    far = np.full((3, 64), np.inf)
+    assert all(np.isinf(d).all() for _, d in distance_rows(far, y))
+
+
+def test_distances_are_not_summed_dimension_by_dimension():
+    """Four million pairs of 64 dimensions: differences alone took about 20 times as long as a plain product."""
+    import time
+
+    from tallyscope.operators.pairpass import distance_rows
+
+    x = np.random.default_rng(6).normal(size=(2048, 64))
+
+    def seconds(run):
+        times = []
+        for _ in range(3):
+            t = time.perf_counter()
+            run()
+            times.append(time.perf_counter() - t)
+        return min(times)
+
+    def by_differences():
+        for start in range(0, len(x), 256):
+            d2 = np.zeros((256, len(x)))
+            for j in range(x.shape[1]):
+                gap = x[start : start + 256, j, None] - x[None, :, j]
+                d2 += gap * gap
+
+    assert seconds(lambda: [None for _ in distance_rows(x, x)]) < seconds(by_differences) / 2
