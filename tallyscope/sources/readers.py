@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyscope.functions.session import checkpointed
 from tallyscope.operators.qc import INTEGER_TOLERANCE, normalize_label
 
 POSITION_NAMES = {
@@ -41,8 +42,8 @@ def read_count_tables(spark: SparkSession, path: str, id_col: str = "cell", sep:
 
     Lines are read as text and split by bytes, so the plan has no column per
     feature and is as small for 20 000 features as for two; zeros are dropped before
-    the names are joined to their places.  ``sample`` finds the sample in
-    the path of a file.  The line that begins with ``id_col`` names the
+    the names are joined to their places, and what is left of the cells is written once.
+    Compressed files are read by extension.  ``sample`` finds the sample in the path of a file.  The line that begins with ``id_col`` names the
     features; a field may stand in double quotes but holds no separator.
 
     A sample is skipped as a whole, with its reason, if it has no such line
@@ -53,18 +54,21 @@ def read_count_tables(spark: SparkSession, path: str, id_col: str = "cell", sep:
     lines = spark.read.text(path).select(file, F.regexp_replace("value", '"', "").alias("line")).where("line <> ''")
     named = F.startswith("line", F.lit(id_col + sep)) | (F.col("line") == id_col)
     split = F.split("line", f"\\Q{sep}\\E")
+    # as many as ``split`` would give, without making them
+    fields = F.lit(1) + F.floor((F.length("line") - F.length(F.replace("line", F.lit(sep), F.lit("")))) / len(sep))
     # a header repeated in every part of a sample counts once
     heads = lines.where(named).select("sample_id", split.alias("_f")).distinct()
     features = heads.select("sample_id", F.posexplode("_f").alias("_place", "feature_id")).where("_place > 0")
     width = heads.groupBy("sample_id").agg(F.max(F.size("_f")).alias("_width"))
     rows = lines.where(~named).select("sample_id", split.alias("_f"))
-    shape = rows.groupBy("sample_id").agg(F.min(F.size("_f")).alias("_least"), F.max(F.size("_f")).alias("_most"))
-    shape = lines.select("sample_id").distinct().join(width, "sample_id", "left").join(shape, "sample_id", "left")
+    shape = lines.groupBy("sample_id").agg(F.min(F.when(~named, fields)).alias("_least"), F.max(F.when(~named, fields)).alias("_most"))
+    shape = shape.join(width, "sample_id", "left")
     wrong = shape.select("sample_id", F.when(F.col("_width").isNull(), "first_column").when((F.col("_least") != F.col("_width")) | (F.col("_most") != F.col("_width")), "ragged_line").alias("skip_reason"))
-    wrong = wrong.where("skip_reason is not null")
-    cells = rows.select("sample_id", F.element_at("_f", 1).alias("obs_id"), F.posexplode("_f").alias("_place", "raw")).where("_place > 0")
+    wrong = checkpointed(wrong.where("skip_reason is not null"))
+    rows = rows.join(wrong.select("sample_id"), "sample_id", "left_anti")
+    cells = rows.select("sample_id", F.element_at("_f", 1).alias("obs_id"), F.posexplode("_f").alias("_place", "raw")).where("_place > 0 and raw not in ('0', '0.0')")
     cells = cells.withColumn("value", F.expr("try_cast(raw AS double)")).where("value is null or value <> 0").drop("raw")
-    long = cells.join(wrong.select("sample_id"), "sample_id", "left_anti").join(features, ["sample_id", "_place"])
+    long = checkpointed(cells).join(features, ["sample_id", "_place"])
     counts, skipped = usable_counts(long.select("sample_id", "obs_id", "feature_id", "value"))
     return counts, wrong.unionByName(skipped)
 

@@ -35,3 +35,17 @@ def test_the_plan_does_not_grow_with_the_features(spark, tmp_path):
         return len(counts._jdf.queryExecution().optimizedPlan().toString())
 
     assert plan(20_000) <= plan(2000) + 200
+
+
+def test_tables_of_the_query_are_compressed(spark, tmp_path, monkeypatch):
+    """Lines of 5 000 zeros: as plain text they took some 10 KB each."""
+    import os
+
+    import catalog.files as files
+    from __spark_entry__ import queries
+
+    monkeypatch.setattr(files, "scratch_path", lambda spark, name: str(tmp_path / name))
+    queries()["io1_wide_tables"](spark, "/root/testdata/sf0.001")
+    sizes = [os.path.getsize(os.path.join(d, f)) for d, _, names in os.walk(tmp_path / "tables") for f in names if f.startswith("part-")]
+    lines = spark.read.text(str(tmp_path / "tables")).selectExpr("count(*)", "sum(length(value))").first()
+    assert lines[0] > 100 and lines[1] > 9000 * lines[0] and sum(sizes) < lines[1] / 10
