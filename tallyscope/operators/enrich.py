@@ -228,9 +228,10 @@ def enrichment_significance(scores: DataFrame, null: DataFrame, by: Sequence[str
     scores, null = checkpointed(scores), checkpointed(null)  # both are read several times below
     g = [*by, "n_hits"]
     sign = F.signum("null_es")
-    stats = null.withColumn("_s", sign).groupBy(*g, "_s").agg(
+    # written: a mean summed again in another order differs in its last digit, and what is normalised by it would no longer meet
+    stats = checkpointed(null.withColumn("_s", sign).groupBy(*g, "_s").agg(
         F.count(F.lit(1)).alias("_c"), F.avg(F.abs("null_es")).alias("_m")
-    )
+    ))
     s = scores.withColumn("_s", F.signum("es")).join(stats, [*g, "_s"], "left")
     s = s.withColumn("nes", F.when((F.coalesce("_c", F.lit(0)) >= minimum_null) & (F.col("_m") > 0), F.col("es") / F.col("_m")))
     # nominal p: pooled order of |ES| among the same size and sign
