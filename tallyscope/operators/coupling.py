@@ -25,6 +25,8 @@ from tallyscope.operators.neighbors import BLOCK_ROWS, blocked
 from tallyscope.operators.pairpass import again, distance_rows
 
 CLOSE = 1e-9
+# much is done once per piece here, so that larger pieces pay
+CELLS = 1 << 20
 COLUMNS = ("side", "idx", "total", "best", "choice", "true_mass", "sx", "sy")
 
 
@@ -65,7 +67,7 @@ def _block(radius: float, mass: Callable[[np.ndarray], np.ndarray]):
         true = np.where(a["_has"].to_numpy(), pd.Index(ref).get_indexer(a["_true"]), -1)
         total, best, choice, met = np.zeros(len(ref)), np.full(len(ref), -np.inf), np.zeros(len(ref), dtype=int), np.zeros(len(ref), dtype=bool)
         x, y = (np.stack(f["vec"].to_numpy()).astype(float) for f in (a, b))
-        for part, d2 in distance_rows(x, y):
+        for part, d2 in distance_rows(x, y, CELLS):
             again(d2, x[part], y, np.abs(d2 - radius * radius) <= CLOSE * radius * radius)
             # pairs beyond the radius are no partners, even of mass 0
             near, w, top = weigh(d2)
