@@ -9,6 +9,9 @@ from catalog.tables import METRICS, Tables, sql
 from tallyscope.functions.session import scratch_path
 from tallyscope.sources import manifest_log, readers, writers
 
+# io8: return flags times line numbers, and spots of a slice
+AGES_AND_LINES, SLICE_SPOTS = 21, 1024
+
 
 @query("io1_read_wide_counts", sql(
     """SELECT * FROM (SELECT CAST(o_custkey AS VARCHAR) AS obs_id, o_orderpriority AS feature_id, count(*) AS value FROM orders GROUP BY 1, 2) WHERE value > 0"""))
@@ -120,14 +123,17 @@ def _(t: Tables):
     "SELECT l_returnflag AS age, l_linenumber AS z_index, l_linenumber * 2.5::DOUBLE AS z_world, l_linenumber AS j, CAST(l_partkey AS INTEGER) AS i, CAST(l_suppkey AS INTEGER) AS k, l_quantity AS x, l_discount AS y, l_linestatus AS region FROM lineitem", "z_world x y"))
 def _(t: Tables):
     li = t.read("lineitem")
-    # slices are cut by supplier so that no array grows with the table
-    s = li.groupBy("l_returnflag", "l_linenumber", "l_suppkey", F.floor(F.col("l_orderkey") / 1000).alias("_part")).agg(
-        F.collect_list(F.col("l_partkey").cast("int")).alias("i"), F.collect_list(F.col("l_suppkey").cast("int")).alias("k"),
-        F.collect_list("l_quantity").alias("x"), F.collect_list("l_discount").alias("y"), F.collect_list("l_linestatus").alias("region"),
+    # slices are cut by a hash of the rows, into as many parts as they need to hold some SLICE_SPOTS each, whatever the keys
+    parts = -(-li.count() // (AGES_AND_LINES * SLICE_SPOTS)) or 1
+    spot = F.struct(
+        F.col("l_partkey").cast("int").alias("i"), F.col("l_suppkey").cast("int").alias("k"), F.col("l_quantity").alias("x"),
+        F.col("l_discount").alias("y"), F.col("l_linestatus").alias("region"),
     )
+    part = F.pmod(F.xxhash64("l_orderkey", "l_partkey", "l_suppkey"), F.lit(parts))
+    s = li.groupBy("l_returnflag", "l_linenumber", part.alias("_part")).agg(F.collect_list(spot).alias("v"))
     entry = F.struct(
         F.col("l_linenumber").alias("z_index"), (F.col("l_linenumber") * 2.5).alias("z_world"), F.col("l_linenumber").alias("voxel_j"),
-        F.col("i").alias("voxel_i"), F.col("k").alias("voxel_k"), "x", "y", "region",
+        F.col("v.i").alias("voxel_i"), F.col("v.k").alias("voxel_k"), F.col("v.x").alias("x"), F.col("v.y").alias("y"), F.col("v.region").alias("region"),
     )
     path = scratch_path(t.spark, "blueprint")
     nested = s.select(F.struct(F.col("l_returnflag").alias("age")).alias("metadata"), F.array(entry).alias("slices"))
