@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyscope.functions.exprs import attach, finite, pearson, plogp
 from tallyscope.functions.session import checkpointed
+from tallyscope.operators.pairpass import dealt
 from tallyscope.operators.stats import label_sizes, n_obs
 
 
@@ -17,11 +20,79 @@ def weighted(edges: DataFrame, k: int | None = None) -> DataFrame:
     return edges.withColumn("weight", F.lit(1.0 / k if k else 1.0))
 
 
+# cells of the sources of one task, cells of an observation in one row, products looked up at a time
+BLOCK_CELLS, ROW_CELLS, LOOKUPS = 1 << 18, 1 << 14, 1 << 20
+
+
+def _products(sources: pd.DataFrame, ends: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """(features, Σ w·xi·xj) of the edges between ``sources(obs_id, f, x)`` and ``ends(srcs, ws, f, x)``, whose rows hold arrays."""
+    joined = lambda column: np.concatenate([np.asarray(v) for v in column])
+    lengths = lambda column: np.array([len(v) for v in column], int)
+    code, features = pd.factorize(joined(sources["f"]))
+    # repeated cells of an observation add up
+    held, at = np.unique(np.repeat(np.arange(len(sources)), lengths(sources["f"])) * len(features) + code, return_inverse=True)
+    x = np.bincount(at, joined(sources["x"]))
+    degree, size = lengths(ends["srcs"]), lengths(ends["f"])
+    src, weight = pd.Index(sources["obs_id"]).get_indexer(joined(ends["srcs"])), joined(ends["ws"])
+    # only cells of features that some source of this block has
+    row, feature, value = np.repeat(np.arange(len(ends)), size), pd.Index(features).get_indexer(joined(ends["f"])), joined(ends["x"])
+    row, feature, value = (c[feature >= 0] for c in (row, feature, value))
+    first, times = np.cumsum(degree) - degree, degree[row]
+    total, cuts = np.zeros(len(features)), np.cumsum(times)
+    lo = 0
+    while lo < len(row):
+        hi = max(lo + 1, int(np.searchsorted(cuts, (cuts[lo - 1] if lo else 0) + LOOKUPS, side="right")))
+        cell = np.repeat(np.arange(lo, hi), times[lo:hi])
+        edge = first[row[cell]] + np.arange(len(cell)) - np.repeat(np.cumsum(times[lo:hi]) - times[lo:hi], times[lo:hi])
+        key = src[edge] * len(features) + feature[cell]
+        place = np.minimum(np.searchsorted(held, key), len(held) - 1)
+        met = (held[place] == key) & (src[edge] >= 0)
+        total += np.bincount(feature[cell[met]], weight[edge[met]] * x[place[met]] * value[cell[met]], len(features))
+        lo = hi
+    return features, total
+
+
+def edge_products(cells: DataFrame, edges: DataFrame, by: Sequence[str] = (), block_cells: int = BLOCK_CELLS, row_cells: int = ROW_CELLS) -> DataFrame:
+    """(by…, feature_id, _cross): parts of Σ w·xi·xj over ``edges(by…, src, dst, weight)`` of ``cells(by…, obs_id, feature_id, x)``.
+
+    An observation's cells travel as arrays to the blocks of sources that have an edge to
+    it; products are looked up there, so no row is made for a cell and an edge.
+    """
+    cells = cells.where(F.col("feature_id").isNotNull())
+    per = cells.groupBy(*by, "obs_id").agg(F.count(F.lit(1)).alias("_n"))
+    loads = per.agg(
+        F.greatest(F.lit(1), F.ceil(F.sum("_n") / block_cells)).cast("int").alias("_blocks"), F.greatest(F.lit(1), F.ceil(F.max("_n") / row_cells)).cast("int").alias("_parts"),
+    )
+    block = lambda c: F.pmod(F.xxhash64(c), F.col("_blocks")).cast("int")
+    packed = attach(cells, loads, ()).withColumn("_c", F.pmod(F.xxhash64("feature_id"), F.col("_parts")).cast("int")).groupBy(*by, "obs_id", "_blocks", "_c").agg(
+        F.collect_list("feature_id").alias("f"), F.collect_list("x").alias("x")
+    )
+    asked = attach(edges, loads, ()).groupBy(*by, F.col("dst").alias("obs_id"), block("src").alias("_b")).agg(F.collect_list("src").alias("srcs"), F.collect_list(F.col("weight").cast("double")).alias("ws"))
+    group = [*by, "_b", "_c"]
+    left = packed.withColumn("_b", block("obs_id")).select(*group, "obs_id", "f", "x")
+    # fresh names: both sides stem from one frame
+    right = packed.select(*[F.col(c).alias(c) for c in (*by, "obs_id", "_c", "f", "x")]).join(asked, [*by, "obs_id"]).select(*group, "srcs", "ws", "f", "x")
+    schema = cells.select(*by, "feature_id", F.lit(0.0).alias("_cross")).schema
+    n_keys, names = len(by), schema.names
+
+    def meet(key: tuple, a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
+        if not len(a) or not len(b):
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in names})
+        features, total = _products(a, b)
+        some = np.flatnonzero(total)
+        out = pd.DataFrame({"feature_id": features[some], "_cross": total[some]})
+        for i in range(n_keys):
+            out.insert(i, names[i], key[i])
+        return out
+
+    return dealt(left, group).groupBy(*group).cogroup(dealt(right, group).groupBy(*group)).applyInPandas(meet, schema)
+
+
 def _moran_parts(counts: DataFrame, edges: DataFrame, obs: DataFrame, by: Sequence[str]) -> DataFrame:
     """Per feature the pieces of Moran's I without making the table dense.
 
     Σ w (xi−m)(xj−m) = Σ w xi xj − m Σ out_i xi − m Σ in_j xj + m² Σ w.
-    The edges are joined only to stored cells.
+    The edges meet only stored cells (``edge_products``).
     """
     keys = [*by, "feature_id"]
     cells = counts.where(F.col("value") != 0).select(
@@ -37,11 +108,7 @@ def _moran_parts(counts: DataFrame, edges: DataFrame, obs: DataFrame, by: Sequen
         F.sum("x").alias("sx"), F.sum(F.col("x") * F.col("x")).alias("sxx"),
         F.sum((F.col("_out") + F.col("_in")) * F.col("x")).alias("_lin"),
     )
-    src = cells.select(*by, F.col("obs_id").alias("src"), "feature_id", F.col("x").alias("xi"))
-    dst = cells.select(*by, F.col("obs_id").alias("dst"), "feature_id", F.col("x").alias("xj"))
-    # neighbour sums first: Σ_j w·xj per (src, feature), reduced before it meets xi
-    lag = edges.join(dst, [*by, "dst"]).groupBy(*by, "src", "feature_id").agg(F.sum(F.col("weight") * F.col("xj")).alias("wx"))
-    cross = src.join(lag, [*by, "src", "feature_id"]).groupBy(*keys).agg(F.sum(F.col("xi") * F.col("wx")).alias("_cross"))
+    cross = edge_products(cells, edges, by).groupBy(*keys).agg(F.sum("_cross").alias("_cross"))
     total = strength.groupBy(*by).agg(F.sum("_out").alias("_w"))
     base = own.join(cross, keys, "left").fillna(0.0, ["_cross"])
     base = attach(attach(base, total, by), n_obs(obs, by), by)
