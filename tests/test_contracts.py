@@ -365,6 +365,15 @@ def test_manifest_keeps_the_last_row(spark):
     assert {r.k: r.status for r in writers.append_manifest(old, new, ["k"]).collect()} == {"a": "skipped", "b": "ok"}
 
 
+def test_manifest_rows_of_one_arrival_have_one_winner(spark):
+    cols = "k string, arrival int, status string, note string"
+    old = spark.createDataFrame([("a", 9, "A", "x"), ("b", 2, "R", "y"), ("b", 2, "N", "z"), ("b", 2, "N", None), ("c", None, "A", "x"), ("c", 1, "R", "x")], cols)
+    new = [("a", 1, s, "x") for s in ("R", "A", "N", None)]
+    for rows in (new, new[::-1]):
+        got = {r.k: tuple(r)[1:] for r in writers.append_manifest(old, spark.createDataFrame(rows, cols), ["k"]).collect()}
+        assert got == {"a": (1, "A", "x"), "b": (2, "N", "z"), "c": (1, "R", "x")}
+
+
 def test_fractional_samples_are_skipped_with_a_reason(spark):
     rows = [("s1", "a", 1.0), ("s1", "b", 0.0), ("s2", "a", 2.4), ("s3", "a", None), ("s4", "a", 3.0)]
     long = spark.createDataFrame(rows, "sample_id string, feature_id string, value double")
