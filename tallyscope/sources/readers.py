@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,6 +17,10 @@ POSITION_NAMES = {
     # Column names of headed coordinate tables, and their meaning here.
     "barcode": "obs_id", "pxl_col_in_fullres": "x", "pxl_row_in_fullres": "y", "imagecol": "x", "imagerow": "y", "x": "x", "y": "y",
 }
+# zeros as tables of counts are written; others are found as numbers
+ZEROS = (b"0", b"0.0")
+# text taken apart at a time, which stays in a core's cache with its fields
+PIECE_BYTES = 1 << 18
 POSITION_FIELDS = ("barcode", "in_tissue", "array_row", "array_col", "pxl_row_in_fullres", "pxl_col_in_fullres")
 
 
@@ -37,12 +43,56 @@ def read_wide_counts(spark: SparkSession, path: str, id_col: str = "cell", sep:
     return long.select("obs_id", "feature_id", F.expr("try_cast(raw AS double)").alias("value")), None
 
 
+def _apart(batches: Iterator[pa.RecordBatch], sep: bytes) -> Iterator[pa.RecordBatch]:
+    """(sample_id, line, named) → a row per line: its fields by number, the first of them and those that are no zeros.
+
+    Lines end with a newline, so that some of them are looked at as one array of bytes.
+    """
+    for batch in batches:
+        step = max(1, PIECE_BYTES * len(batch) // max(1, batch.nbytes))
+        for part in (batch.slice(i, step) for i in range(0, len(batch), step)):
+            line, head = part.column("line"), part.column("named").to_numpy(zero_copy_only=False)
+            _, ends, held = line.cast(pa.string()).buffers()
+            ends = np.frombuffer(ends, np.int32)[line.offset : line.offset + len(line) + 1]
+            text = b"\n" + memoryview(held)[ends[0] : ends[-1]].tobytes()
+            # a byte that no text has stands for a longer separator
+            text = np.frombuffer(text if len(sep) == 1 else text.replace(sep, b"\xff"), np.uint8)
+            new = text == ord("\n")
+            end = (text == (sep[0] if len(sep) == 1 else 0xFF)) | new
+            full = end.copy()
+            for zero in ZEROS:
+                n = len(zero) + 1
+                hit = end[n:] & end[:-n]
+                for i, c in enumerate(zero, 1):
+                    hit &= text[i : len(text) - n + i] == c
+                full[n:] &= ~hit
+            # field j is what stands between the ends j and j + 1
+            cut = np.flatnonzero(end)
+            first = np.searchsorted(cut, np.flatnonzero(new))
+            at = np.flatnonzero(full[cut[1:]])
+            of = np.searchsorted(first, at, "right") - 1
+            at = at[(at != first[of]) & ~head[of]]
+            upto = np.searchsorted(at, first).astype(np.int32)
+
+            def some(j: np.ndarray, cut: np.ndarray = cut, text: np.ndarray = text) -> pa.StringArray:
+                size = cut[j + 1] - cut[j] - 1
+                ends = np.concatenate([[0], np.cumsum(size)])
+                held = text[np.repeat(cut[j] + 1 - ends[:-1], size) + np.arange(ends[-1])]
+                return pa.StringArray.from_buffers(len(j), pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(held))
+
+            place = at - np.repeat(first[:-1], np.diff(upto))
+            yield pa.RecordBatch.from_arrays([
+                part.column("sample_id"), pa.array(np.diff(first).astype(np.int32)), some(first[:-1]), line.take(pa.array(np.arange(len(part)), mask=~head)),
+                pa.ListArray.from_arrays(upto, pa.array(place.astype(np.int32))), pa.ListArray.from_arrays(upto, some(at)),
+            ], ["sample_id", "_fields", "obs_id", "_head", "_places", "_raw"])
+
+
 def read_count_tables(spark: SparkSession, path: str, id_col: str = "cell", sep: str = ",", sample: str = "([^/]+)$") -> tuple[DataFrame, DataFrame]:
     """Wide count tables of many samples → counts (sample_id, obs_id, feature_id, value) and (sample_id, skip_reason).
 
-    Lines are read as text and split by bytes, so the plan has no column per
-    feature and is as small for 20 000 features as for two; zeros are dropped before
-    the names are joined to their places, and what is left of the cells is written once.
+    Lines are read as text, once, and taken apart as Arrow arrays, so the plan has no column per
+    feature and is as small for 20 000 features as for two; a line is written as one row of
+    the values that are not zero, from which headers, widths and cells are read.
     Compressed files are read by extension.  ``sample`` finds the sample in the path of a file.  The line that begins with ``id_col`` names the
     features; a field may stand in double quotes but holds no separator.
 
@@ -51,24 +101,24 @@ def read_count_tables(spark: SparkSession, path: str, id_col: str = "cell", sep:
     that is unreadable, fractional or negative.  Empty lines do not count.
     """
     file = F.regexp_extract(F.col("_metadata.file_path"), sample, 1).alias("sample_id")
-    lines = spark.read.text(path).select(file, F.regexp_replace("value", '"', "").alias("line")).where("line <> ''")
+    plain = F.when(F.contains("value", F.lit('"')), F.replace("value", F.lit('"'), F.lit(""))).otherwise(F.col("value"))
+    text = spark.read.text(path).select(file, plain.alias("line")).where("line <> ''")
     named = F.startswith("line", F.lit(id_col + sep)) | (F.col("line") == id_col)
-    split = F.split("line", f"\\Q{sep}\\E")
-    # as many as ``split`` would give, without making them
-    fields = F.lit(1) + F.floor((F.length("line") - F.length(F.replace("line", F.lit(sep), F.lit("")))) / len(sep))
+    text = text.select("sample_id", F.concat("line", F.lit("\n")).alias("line"), named.alias("named"))
+    apart = text.mapInArrow(lambda batches: _apart(batches, sep.encode()), "sample_id string, _fields int, obs_id string, _head string, _places array<int>, _raw array<string>")
+    numbers = F.transform("_raw", lambda raw: raw.try_cast("double"))
+    lines = checkpointed(apart.select("sample_id", "_fields", "obs_id", "_head", F.arrays_zip(F.col("_places").alias("_place"), numbers.alias("value")).alias("_cells")))
+    named = F.col("_head").isNotNull()
     # a header repeated in every part of a sample counts once
-    heads = lines.where(named).select("sample_id", split.alias("_f")).distinct()
+    heads = lines.where(named).select("sample_id", F.split(F.replace("_head", F.lit("\n"), F.lit("")), f"\\Q{sep}\\E").alias("_f")).distinct()
     features = heads.select("sample_id", F.posexplode("_f").alias("_place", "feature_id")).where("_place > 0")
     width = heads.groupBy("sample_id").agg(F.max(F.size("_f")).alias("_width"))
-    rows = lines.where(~named).select("sample_id", split.alias("_f"))
-    shape = lines.groupBy("sample_id").agg(F.min(F.when(~named, fields)).alias("_least"), F.max(F.when(~named, fields)).alias("_most"))
+    shape = lines.groupBy("sample_id").agg(F.min(F.when(~named, F.col("_fields"))).alias("_least"), F.max(F.when(~named, F.col("_fields"))).alias("_most"))
     shape = shape.join(width, "sample_id", "left")
     wrong = shape.select("sample_id", F.when(F.col("_width").isNull(), "first_column").when((F.col("_least") != F.col("_width")) | (F.col("_most") != F.col("_width")), "ragged_line").alias("skip_reason"))
     wrong = checkpointed(wrong.where("skip_reason is not null"))
-    rows = rows.join(wrong.select("sample_id"), "sample_id", "left_anti")
-    cells = rows.select("sample_id", F.element_at("_f", 1).alias("obs_id"), F.posexplode("_f").alias("_place", "raw")).where("_place > 0 and raw not in ('0', '0.0')")
-    cells = cells.withColumn("value", F.expr("try_cast(raw AS double)")).where("value is null or value <> 0").drop("raw")
-    long = checkpointed(cells).join(features, ["sample_id", "_place"])
+    cells = lines.where(~named).join(wrong.select("sample_id"), "sample_id", "left_anti").select("sample_id", "obs_id", F.inline("_cells"))
+    long = cells.where("value is null or value <> 0").join(features, ["sample_id", "_place"])
     counts, skipped = usable_counts(long.select("sample_id", "obs_id", "feature_id", "value"))
     return counts, wrong.unionByName(skipped)
 

@@ -37,6 +37,22 @@ def test_the_plan_does_not_grow_with_the_features(spark, tmp_path):
     assert plan(20_000) <= plan(2000) + 200
 
 
+def test_text_is_read_once_and_split_as_it_stands(spark, tmp_path):
+    files = {
+        "good.txt": 'cell::"g1"::gä::g3\nü::0::5::0.0\n"c2"::-0::0.00::00\nc3::1e1::0::30\n',
+        "twice.txt": "cell::g1\nc1::0\ncell::g1\nc1::4\n",
+        "colon.txt": "cell::g1\nc1::2:\n:c2::1\n",
+        "blank.txt": "cell::g1::g2\nc1::0::\n",
+        "long.txt": "cell::g1\nc1::0::0\n",
+    }
+    for name, text in files.items():
+        (tmp_path / name).write_text(text)
+    counts, skipped = readers.read_count_tables(spark, str(tmp_path), sep="::")
+    assert sorted(tuple(r) for r in counts.collect()) == [("good.txt", "c3", "g1", 10), ("good.txt", "c3", "g3", 30), ("good.txt", "ü", "gä", 5), ("twice.txt", "c1", "g1", 4)]
+    assert {r.sample_id: r.skip_reason for r in skipped.collect()} == {"colon.txt": "unreadable_value", "blank.txt": "unreadable_value", "long.txt": "ragged_line"}
+    assert not any("FileScan text" in df._jdf.queryExecution().toString() for df in (counts, skipped))
+
+
 def test_tables_of_the_query_are_compressed(spark, tmp_path, monkeypatch):
     """Lines of 5 000 zeros: as plain text they took some 10 KB each."""
     import os
