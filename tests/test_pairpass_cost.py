@@ -32,3 +32,19 @@ def test_squares_of_very_different_size_do_not_hide_what_cancels():
     i, j = np.divmod(np.arange(got.size), len(y))
     want = pairpass.differences(x, y, i, j).reshape(got.shape)
     assert (got[np.arange(40), np.arange(40)[::-1]] == 0).all() and np.allclose(got, want, rtol=1e-12, atol=0)
+
+
+def test_roots_are_shared_and_limits_hold_to_the_last_bit():
+    limits = np.array([0.0, -1.0, 1e-160, 1.0, 0.1, 9.0, 11.3, 1 / 3, 1e5, np.nan])
+    squares = pairpass._square(limits)
+    assert np.isnan(squares[-1]) and not squares[:2].any()
+    some = squares[3:-1]
+    assert (np.sqrt(some) >= limits[3:-1]).all() and (np.sqrt(np.nextafter(some, 0)) < limits[3:-1]).all()
+    rng = np.random.default_rng(3)
+    d2 = np.concatenate([rng.random(2000) * 200, some, np.nextafter(some, 0), np.nextafter(some, np.inf)])
+    for limit, square in zip(limits, squares, strict=True):
+        assert ((np.sqrt(d2) < limit) == (d2 < square)).all()
+    # rows come with what answers in one span, whatever their ids
+    f = pd.DataFrame({"id": [5, 1, 4, 2, 3], "_answers": [True, False, True, False, True], "_first": pd.Series([True, None, True, False, True], dtype=object)})
+    assert pairpass.ordered(f)["id"].tolist() == [3, 4, 5, 2, 1] and "_side" not in pairpass.ordered(f)
+    assert pairpass._span(np.array([False, True, True, False])) == slice(1, 3) and isinstance(pairpass._span(np.array([True, False, True])), np.ndarray)
