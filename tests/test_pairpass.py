@@ -61,6 +61,29 @@ def test_embedding_row_takes_two_passes_and_both_supports(spark):
     assert got["all_spots"].paired_expression_correlation == pytest.approx(want, rel=1e-9)
 
 
+def test_full_row_shares_its_passes_and_searches(spark, monkeypatch):
+    from tallyscope.operators import graph, neighbors
+    from tallyscope.operators.transform import standardize
+    from tallyscope.plans import scoring
+
+    rng = np.random.default_rng(6)
+    rows = [(i, i % 2, "xyz"[i // 2 % 3], *rng.normal(size=2).tolist(), rng.normal(size=4).tolist(), rng.normal(size=3).tolist()) for i in range(120)]
+    df = spark.createDataFrame(rows, "obs_id long, batch int, label string, x double, y double, vec array<double>, base array<double>")
+    calls = []
+    counted = lambda module, name: monkeypatch.setattr(module, name, lambda *a, f=getattr(module, name), **b: calls.append(name) or f(*a, **b))
+    with monkeypatch.context():
+        counted(pairpass, "pair_pass")
+        counted(neighbors, "knn_vectors")
+        got = scoring.full_metric_row(df, "base", "batch", 0, 1, k=8).first()
+    assert calls.count("pair_pass") == 3 and calls.count("knn_vectors") == 5
+    z = standardize(df, "vec")
+    mean = lambda frame, c: frame.agg({c: "avg"}).first()[0]
+    assert got.conditional_batch_asw_macro == pytest.approx(mean(neighbors.silhouette(z, "batch", ["label"]), "silhouette"), rel=1e-9)
+    assert got.conditional_mmd2_macro == pytest.approx(mean(neighbors.mmd2_rbf(z, "batch", 0, 1, ["label"]), "mmd2"), rel=1e-9)
+    alone = graph.knn_jaccard(neighbors.knn(df, 6, ("x", "y"), ["batch"]), neighbors.knn_vectors(z, None, 6, ["batch"]), 6, ["batch"])
+    assert got.spatial_embedding_knn_overlap == pytest.approx(mean(alone, "knn_jaccard"), rel=1e-9)
+
+
 def test_summaries_merge_to_numpy(spark, monkeypatch):
     monkeypatch.setattr(gram, "FAN_IN", 2)
     rng = np.random.default_rng(5)
